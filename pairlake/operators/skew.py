@@ -27,35 +27,36 @@ def salted_join(
     spread: list[str],
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join where a key of `many` may hold a large share of its rows.
 
-    Keys with more than `rows_per_salt` rows are counted first (a partial aggregate over
-    the key columns only). Their rows are spread over ceil(count / rows_per_salt) salts by
-    the hash of `spread`, and only their partners in `few` are repeated once per salt. The
-    list of such keys has at most rows(many) / rows_per_salt rows. The result is the plain
-    equi-join. `how` is `inner` or `left`.
+    Keys with more than `rows_per_salt` rows are found by a partial aggregate over the key
+    columns (of `count_from` if given, a cheaper table with the same hot keys). Their rows
+    are spread over ceil(count / rows_per_salt) salts by the hash of `spread`, and only
+    their partners in `few` are repeated once per salt. The list of hot keys is broadcast:
+    it holds at most rows / rows_per_salt rows, so its size is bounded by construction.
+    The result is the plain equi-join. `how` is `inner` or `left`.
     """
-    salts = (
-        many.groupBy(*on)
+    counted = many if count_from is None else count_from
+    keys = [k for k in on if k in counted.columns]
+    hot = F.broadcast(
+        counted.groupBy(*keys)
         .agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_salt)).cast("int").alias("_salts"))
         .filter(F.col("_salts") > 1)
+        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
     )
-    hot = salts.select(*[F.col(k).alias(f"_hot_{k}") for k in on], "_salts")
-    if not within_rows(hot, BROADCAST_ROWS):
-        raise ValueError("raise rows_per_salt: too many hot keys to list")
-    hot = F.broadcast(hot)
 
-    def match(side: DataFrame):
+    def with_salts(side: DataFrame) -> DataFrame:
         condition = F.lit(True)
-        for key in on:
-            condition = condition & (side[key] == F.col(f"_hot_{key}"))
-        return side.join(hot, condition, "left").drop(*[f"_hot_{k}" for k in on])
+        for key in keys:
+            condition = condition & (F.col(key) == F.col(f"_hot_{key}"))
+        return side.join(hot, condition, "left").drop(*[f"_hot_{k}" for k in keys])
 
-    salted_many = match(many).withColumn(
+    salted_many = with_salts(many).withColumn(
         SALT, F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")
-    ).drop("_salts")
-    salted_few = match(few).withColumn(
+    )
+    salted_few = with_salts(few).withColumn(
         SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    ).drop("_salts")
-    return salted_many.join(salted_few, [*on, SALT], how).drop(SALT)
+    )
+    return salted_many.drop("_salts").join(salted_few.drop("_salts"), [*on, SALT], how).drop(SALT)

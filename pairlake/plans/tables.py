@@ -170,3 +170,149 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") == 50, 1.0).otherwise((F.col("p_size") + k % 40) / 96.0).alias("value"),
         (k % 9 == 0).alias("strictly_worse"),
     )
+
+
+# -- manifest (documents) ----------------------------------------------------------
+
+MANIFEST_SQL = """
+manifest AS (
+  SELECT *, folder || CASE WHEN role = 'gt' THEN '/gt/' ELSE '/' END || filename AS path FROM (
+    SELECT *,
+      'ds/' || CASE WHEN from_bayer THEN 'src/Bayer/' ELSE 'proc/lin_rec2020/' END || image_set AS folder,
+      CASE WHEN seq % 23 = 7 THEN 'IMG' || seq % 3 || '.' || ext
+        ELSE sensor || '_' || image_set || CASE WHEN role = 'gt' THEN '_GT' ELSE '' END
+          || '_ISO' || iso_text || '_no=' || seq || '.' || ext END AS filename
+    FROM (
+      SELECT doc_id AS seq, text AS content, sha1(text) AS sha1, n_chars,
+        CASE WHEN doc_id % 7 = 3 THEN 'X-Trans' ELSE 'Bayer' END AS sensor,
+        'set_' || lang || '-' || (doc_id // 20) AS image_set,
+        CASE WHEN doc_id % 4 = 0 THEN 'gt' ELSE 'noisy' END AS role,
+        doc_id // 20 % 3 > 0 OR doc_id % 2 = 0 AS from_bayer,
+        ['cr2', 'ARW', 'nef', 'raf', 'dng', 'CR2', 'xmp', 'txt', 'exr'][doc_id % 9 + 1] AS ext,
+        100 * (doc_id % 8 + 1) AS iso_text,
+        CASE WHEN doc_id % 11 <> 5 THEN 100 * (doc_id % 8 + 1) END AS iso,
+        CASE WHEN doc_id % 6 > 0 THEN ' Camera ' || doc_id % 6 END AS camera,
+        1700000000 + n_chars AS mtime, n_chars * 5000 AS size
+      FROM documents)))
+"""
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    exts = F.array(*[F.lit(e) for e in ("cr2", "ARW", "nef", "raf", "dng", "CR2", "xmp", "txt", "exr")])
+    base = table(spark, sf_dir, "documents").select(
+        k.alias("seq"),
+        F.col("text").alias("content"),
+        F.sha1("text").alias("sha1"),
+        "n_chars",
+        F.when(k % 7 == 3, "X-Trans").otherwise("Bayer").alias("sensor"),
+        F.concat(F.lit("set_"), "lang", F.lit("-"), F.expr("doc_id div 20").cast("string")).alias("image_set"),
+        F.when(k % 4 == 0, "gt").otherwise("noisy").alias("role"),
+        ((F.expr("doc_id div 20") % 3 > 0) | (k % 2 == 0)).alias("from_bayer"),
+        F.element_at(exts, (k % 9 + 1).cast("int")).alias("ext"),
+        (100 * (k % 8 + 1)).alias("iso_text"),
+        F.when(k % 11 != 5, 100 * (k % 8 + 1)).alias("iso"),
+        F.when(k % 6 > 0, F.concat(F.lit(" Camera "), (k % 6).cast("string"))).alias("camera"),
+        (1700000000 + F.col("n_chars")).alias("mtime"),
+        (F.col("n_chars") * 5000).alias("size"),
+    )
+    folder = F.concat(
+        F.lit("ds/"), F.when(F.col("from_bayer"), "src/Bayer/").otherwise("proc/lin_rec2020/"), "image_set"
+    )
+    name = F.when(
+        F.col("seq") % 23 == 7,
+        F.concat(F.lit("IMG"), (F.col("seq") % 3).cast("string"), F.lit("."), "ext"),
+    ).otherwise(
+        F.concat(
+            "sensor", F.lit("_"), "image_set", F.when(F.col("role") == "gt", "_GT").otherwise(""),
+            F.lit("_ISO"), F.col("iso_text").cast("string"), F.lit("_no="), F.col("seq").cast("string"),
+            F.lit("."), "ext",
+        )
+    )
+    return base.withColumns({"folder": folder, "filename": name}).withColumn(
+        "path", F.concat("folder", F.when(F.col("role") == "gt", "/gt/").otherwise("/"), "filename")
+    )
+
+
+CROPS_SQL = """
+crops AS (
+  SELECT image_set, seq, x, y, 'ds/crops/proc/lin_rec2020/' || image_set || '/' ||
+    CASE WHEN role = 'gt' THEN 'gt/' ELSE '' END || filename || '.' || x || '_' || y || '.tif' AS path
+  FROM (SELECT *, 768 * (seq % 2) AS y, unnest(range(0, 768 * (seq % 3 + 1), 768)) AS x FROM manifest))
+"""
+
+
+def crops(files: DataFrame) -> DataFrame:
+    tiled = files.select(
+        "image_set",
+        "seq",
+        "role",
+        "filename",
+        (768 * (F.col("seq") % 2)).alias("y"),
+        F.explode(F.sequence(F.lit(0), 768 * (F.col("seq") % 3), F.lit(768))).alias("x"),
+    )
+    return tiled.select(
+        "image_set",
+        "seq",
+        F.concat(
+            F.lit("ds/crops/proc/lin_rec2020/"), "image_set", F.lit("/"),
+            F.when(F.col("role") == "gt", "gt/").otherwise(""), "filename", F.lit("."),
+            F.col("x").cast("string"), F.lit("_"), F.col("y").cast("string"), F.lit(".tif"),
+        ).alias("path"),
+    )
+
+
+# -- pair descriptors (lineitem) ---------------------------------------------------
+
+PAIRS_SQL = """
+pairs AS (
+  SELECT 'scene-' || l_suppkey AS image_set, l_linestatus = 'O' OR l_partkey % 3 > 0 AS is_bayer,
+    'ds/src/Bayer/scene-' || l_suppkey || '/gt/g' || l_partkey % 5 || '.cr2' AS gt_fpath,
+    'ds/src/Bayer/scene-' || l_suppkey || CASE WHEN l_linenumber = 1 THEN '/gt/g' || l_partkey % 5
+      ELSE '/n' || l_orderkey || '_' || l_linenumber END || '.cr2' AS f_fpath,
+    CASE WHEN l_orderkey % 50 <> 7 THEN 1 - l_quantity / 100.0::DOUBLE END AS rgb_msssim_score,
+    l_tax AS best_alignment_loss, 1 - 3 * l_discount AS mask_mean, l_quantity / 25.0::DOUBLE AS raw_gain,
+    l_linenumber % 4 AS n_crops, l_partkey AS partkey, l_orderkey AS orderkey, l_linenumber AS linenumber,
+    l_orderkey % 11 - 5 AS dy, l_partkey % 9 - 4 AS dx
+  FROM lineitem)
+"""
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    image_set = F.concat(F.lit("scene-"), F.col("l_suppkey").cast("string"))
+    clean = F.concat(F.lit("/gt/g"), (p % 5).cast("string"))
+    noisy = F.concat(F.lit("/n"), o.cast("string"), F.lit("_"), n.cast("string"))
+    root, ext = F.lit("ds/src/Bayer/"), F.lit(".cr2")
+    return table(spark, sf_dir, "lineitem").select(
+        image_set.alias("image_set"),
+        ((F.col("l_linestatus") == "O") | (p % 3 > 0)).alias("is_bayer"),
+        F.concat(root, image_set, clean, ext).alias("gt_fpath"),
+        F.concat(root, image_set, F.when(n == 1, clean).otherwise(noisy), ext).alias("f_fpath"),
+        F.when(o % 50 != 7, 1 - F.col("l_quantity") / 100.0).alias("rgb_msssim_score"),
+        F.col("l_tax").alias("best_alignment_loss"),
+        (1 - 3 * F.col("l_discount")).alias("mask_mean"),
+        (F.col("l_quantity") / 25.0).alias("raw_gain"),
+        # Crops in descending order of x, so that sorting them matters.
+        F.transform(
+            F.slice(F.array(F.lit(2), F.lit(1), F.lit(0)), 1, (n % 4).cast("int")),
+            lambda i: F.struct((768 * i).cast("int").alias("x"), (768 * (p % 2)).cast("int").alias("y")),
+        ).alias("crops"),
+        p.alias("partkey"),
+        o.alias("orderkey"),
+        n.alias("linenumber"),
+        (o % 11 - 5).cast("int").alias("dy"),
+        (p % 9 - 4).cast("int").alias("dx"),
+    )
+
+
+RESERVE_SQL = """
+reserve AS (SELECT 'scene-' || s_suppkey AS image_set FROM supplier WHERE s_suppkey % 10 = 3)
+"""
+
+
+def reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").filter(k % 10 == 3).select(
+        F.concat(F.lit("scene-"), k.cast("string")).alias("image_set")
+    )
