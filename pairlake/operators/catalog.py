@@ -220,9 +220,11 @@ def import_names(files: DataFrame) -> DataFrame:
 
 def prefer_bayer(files: DataFrame) -> DataFrame:
     """Drop developed files of scenes that also exist as Bayer captures."""
-    bayer_sets = files.filter("from_bayer").select("image_set").distinct()
-    return files.filter("from_bayer").unionByName(
-        files.filter(~F.col("from_bayer")).join(bayer_sets, "image_set", "left_anti")
+    in_bayer = files.filter("from_bayer").select("image_set").distinct().withColumn("_in_bayer", F.lit(True))
+    return (
+        files.join(in_bayer, "image_set", "left")
+        .filter(F.col("from_bayer") | F.col("_in_bayer").isNull())
+        .drop("_in_bayer")
     )
 
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pairlake.plans import catalog_queries, result_queries  # noqa: F401
+from pairlake.plans import catalog_queries, frame_queries, gate_queries, result_queries  # noqa: F401
 from pairlake.plans.common import ORACLES, QUERIES
 
 FLAGSHIP = "prepare_pairs"

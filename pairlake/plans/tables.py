@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlake.operators.skew import salted_join
 from pairlake.plans.common import table
 
 # -- results (events) --------------------------------------------------------------
@@ -26,26 +27,24 @@ results AS (
 
 
 def results_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metric = (
-        F.when(F.col("event_type") == "view", "val_msssim_loss.None")
-        .when(F.col("event_type") == "signup", "val_mse.None")
-        .when(F.col("event_type") == "click", "test_msssim_loss")
-        .when(F.col("event_type") == "error", "test_bpp")
-        .otherwise("val_combined.gamma22")
-    )
     return (
         table(spark, sf_dir, "events")
-        .groupBy(
-            F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model"),
-            F.expr("event_id div 400").alias("step"),
-            metric.alias("metric"),
+        .selectExpr(
+            "'m' || user_id AS model",
+            "event_id div 400 AS step",
+            "CASE event_type WHEN 'view' THEN 'val_msssim_loss.None' WHEN 'signup' THEN 'val_mse.None' "
+            "WHEN 'click' THEN 'test_msssim_loss' WHEN 'error' THEN 'test_bpp' "
+            "ELSE 'val_combined.gamma22' END AS metric",
+            "value",
+            "event_id",
         )
-        .agg(F.min("value").alias("raw"), F.min("event_id").alias("no"))
-        .select(
+        .groupBy("model", "step", "metric")
+        .agg(F.expr("min(value) AS raw"), F.expr("min(event_id) AS no"))
+        .selectExpr(
             "model",
             "step",
             "metric",
-            F.when(F.col("no") % 97 != 0, F.floor(F.col("raw") / 5.0).cast("double") / 100.0).alias("value"),
+            "CASE WHEN no % 97 <> 0 THEN CAST(floor(raw / 5.0D) AS double) / 100.0D END AS value",
         )
     )
 
@@ -64,20 +63,15 @@ image_results AS (
 
 
 def image_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = (
-        F.when(F.col("l_returnflag") == "R", "manproc")
-        .when(F.col("l_returnflag") == "A", "test")
-        .otherwise("val")
-    )
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("model"),
-        test.alias("test"),
-        (F.col("l_linenumber") * 15000).alias("step"),
-        F.concat(F.lit("img"), F.col("l_partkey").cast("string")).alias("image_key"),
-        F.col("l_tax").alias("msssim_loss"),
-        (F.col("l_quantity") / 50.0).alias("bpp"),
-        F.col("l_discount").alias("mse"),
-        F.col("l_orderkey").alias("no"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "'m' || l_suppkey AS model",
+        "CASE l_returnflag WHEN 'R' THEN 'manproc' WHEN 'A' THEN 'test' ELSE 'val' END AS test",
+        "l_linenumber * 15000 AS step",
+        "'img' || l_partkey AS image_key",
+        "l_tax AS msssim_loss",
+        "l_quantity / 50.0D AS bpp",
+        "l_discount AS mse",
+        "l_orderkey AS no",
     )
 
 
@@ -120,30 +114,28 @@ definitions AS (
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("m"), k.cast("string")).alias("model"),
-        k.alias("position"),
-        F.when(k % 2 == 0, 3).otherwise(4).alias("in_channels"),
-        F.when(k % 5 == 0, k % 10 == 0).alias("processed_input"),
-        F.when(k % 3 == 0, "x_x").alias("data_pairing"),
-        F.when(k % 4 == 0, "None").when(k % 4 == 1, "gamma22").when(k % 4 == 2, "pq").alias("transfer_fun"),
-        F.when(k % 7 == 0, True).alias("passthrough"),
-        F.when(k % 11 == 0, False).alias("incl_cc"),
-        F.when(k % 3 == 0, "mse").when(k % 3 == 1, "msssim_loss").alias("loss"),
-        F.when(k % 6 == 1, F.col("s_acctbal") / 100.0).alias("lambda"),
-        F.when(k % 13 == 0, "test_msssim_loss").alias("val_key"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "'m' || s_suppkey AS model",
+        "s_suppkey AS position",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 4 END AS in_channels",
+        "CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 10 = 0 END AS processed_input",
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'x_x' END AS data_pairing",
+        "CASE s_suppkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'gamma22' WHEN 2 THEN 'pq' END AS transfer_fun",
+        "CASE WHEN s_suppkey % 7 = 0 THEN true END AS passthrough",
+        "CASE WHEN s_suppkey % 11 = 0 THEN false END AS incl_cc",
+        "CASE s_suppkey % 3 WHEN 0 THEN 'mse' WHEN 1 THEN 'msssim_loss' END AS loss",
+        "CASE WHEN s_suppkey % 6 = 1 THEN s_acctbal / 100.0D END AS lambda",
+        "CASE WHEN s_suppkey % 13 = 0 THEN 'test_msssim_loss' END AS val_key",
     )
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").select(
-        F.col("n_name").alias("definition"),
-        F.when(k % 2 == 0, 3).otherwise(4).alias("in_channels"),
-        (k % 5 == 0).alias("processed_input"),
-        F.when(k % 3 == 0, "x_x").otherwise("x_y").alias("data_pairing"),
-        (k % 7 == 0).alias("passthrough"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "n_name AS definition",
+        "CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 4 END AS in_channels",
+        "n_nationkey % 5 = 0 AS processed_input",
+        "CASE WHEN n_nationkey % 3 = 0 THEN 'x_x' ELSE 'x_y' END AS data_pairing",
+        "n_nationkey % 7 = 0 AS passthrough",
     )
 
 
@@ -160,15 +152,14 @@ points AS (
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("group"),
-        F.col("p_type").alias("test"),
-        F.concat(F.lit("p"), k.cast("string")).alias("model"),
-        F.lit("msssim").alias("metric"),
-        ((k % 40) / 32.0).alias("bpp"),
-        F.when(F.col("p_size") == 50, 1.0).otherwise((F.col("p_size") + k % 40) / 96.0).alias("value"),
-        (k % 9 == 0).alias("strictly_worse"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_brand AS group",
+        "p_type AS test",
+        "'p' || p_partkey AS model",
+        "'msssim' AS metric",
+        "(p_partkey % 40) / 32.0D AS bpp",
+        "CASE WHEN p_size = 50 THEN 1.0D ELSE (p_size + p_partkey % 40) / 96.0D END AS value",
+        "p_partkey % 9 = 0 AS strictly_worse",
     )
 
 
@@ -198,39 +189,33 @@ manifest AS (
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    exts = F.array(*[F.lit(e) for e in ("cr2", "ARW", "nef", "raf", "dng", "CR2", "xmp", "txt", "exr")])
-    base = table(spark, sf_dir, "documents").select(
-        k.alias("seq"),
-        F.col("text").alias("content"),
-        F.sha1("text").alias("sha1"),
-        "n_chars",
-        F.when(k % 7 == 3, "X-Trans").otherwise("Bayer").alias("sensor"),
-        F.concat(F.lit("set_"), "lang", F.lit("-"), F.expr("doc_id div 20").cast("string")).alias("image_set"),
-        F.when(k % 4 == 0, "gt").otherwise("noisy").alias("role"),
-        ((F.expr("doc_id div 20") % 3 > 0) | (k % 2 == 0)).alias("from_bayer"),
-        F.element_at(exts, (k % 9 + 1).cast("int")).alias("ext"),
-        (100 * (k % 8 + 1)).alias("iso_text"),
-        F.when(k % 11 != 5, 100 * (k % 8 + 1)).alias("iso"),
-        F.when(k % 6 > 0, F.concat(F.lit(" Camera "), (k % 6).cast("string"))).alias("camera"),
-        (1700000000 + F.col("n_chars")).alias("mtime"),
-        (F.col("n_chars") * 5000).alias("size"),
-    )
-    folder = F.concat(
-        F.lit("ds/"), F.when(F.col("from_bayer"), "src/Bayer/").otherwise("proc/lin_rec2020/"), "image_set"
-    )
-    name = F.when(
-        F.col("seq") % 23 == 7,
-        F.concat(F.lit("IMG"), (F.col("seq") % 3).cast("string"), F.lit("."), "ext"),
-    ).otherwise(
-        F.concat(
-            "sensor", F.lit("_"), "image_set", F.when(F.col("role") == "gt", "_GT").otherwise(""),
-            F.lit("_ISO"), F.col("iso_text").cast("string"), F.lit("_no="), F.col("seq").cast("string"),
-            F.lit("."), "ext",
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr(
+            "doc_id AS seq",
+            "text AS content",
+            "sha1(text) AS sha1",
+            "n_chars",
+            "CASE WHEN doc_id % 7 = 3 THEN 'X-Trans' ELSE 'Bayer' END AS sensor",
+            "'set_' || lang || '-' || (doc_id div 20) AS image_set",
+            "CASE WHEN doc_id % 4 = 0 THEN 'gt' ELSE 'noisy' END AS role",
+            "doc_id div 20 % 3 > 0 OR doc_id % 2 = 0 AS from_bayer",
+            "element_at(array('cr2', 'ARW', 'nef', 'raf', 'dng', 'CR2', 'xmp', 'txt', 'exr'), "
+            "CAST(doc_id % 9 + 1 AS int)) AS ext",
+            "100 * (doc_id % 8 + 1) AS iso_text",
+            "CASE WHEN doc_id % 11 <> 5 THEN 100 * (doc_id % 8 + 1) END AS iso",
+            "CASE WHEN doc_id % 6 > 0 THEN ' Camera ' || doc_id % 6 END AS camera",
+            "1700000000 + n_chars AS mtime",
+            "n_chars * 5000 AS size",
+        )
+        .selectExpr(
+            "*",
+            "'ds/' || CASE WHEN from_bayer THEN 'src/Bayer/' ELSE 'proc/lin_rec2020/' END || image_set AS folder",
+            "CASE WHEN seq % 23 = 7 THEN 'IMG' || seq % 3 || '.' || ext "
+            "ELSE sensor || '_' || image_set || CASE WHEN role = 'gt' THEN '_GT' ELSE '' END "
+            "|| '_ISO' || iso_text || '_no=' || seq || '.' || ext END AS filename",
         )
-    )
-    return base.withColumns({"folder": folder, "filename": name}).withColumn(
-        "path", F.concat("folder", F.when(F.col("role") == "gt", "/gt/").otherwise("/"), "filename")
+        .selectExpr("*", "folder || CASE WHEN role = 'gt' THEN '/gt/' ELSE '/' END || filename AS path")
     )
 
 
@@ -243,23 +228,19 @@ crops AS (
 
 
 def crops(files: DataFrame) -> DataFrame:
-    tiled = files.select(
+    return files.selectExpr(
         "image_set",
         "seq",
         "role",
         "filename",
-        (768 * (F.col("seq") % 2)).alias("y"),
-        F.explode(F.sequence(F.lit(0), 768 * (F.col("seq") % 3), F.lit(768))).alias("x"),
-    )
-    return tiled.select(
+        "768 * (seq % 2) AS y",
+        "explode(sequence(0L, 768 * (seq % 3), 768L)) AS x",
+    ).selectExpr(
         "image_set",
         "seq",
-        F.concat(
-            F.lit("ds/crops/proc/lin_rec2020/"), "image_set", F.lit("/"),
-            F.when(F.col("role") == "gt", "gt/").otherwise(""), "filename", F.lit("."),
-            F.col("x").cast("string"), F.lit("_"), F.col("y").cast("string"), F.lit(".tif"),
-        ).alias("path"),
-    )
+        "'ds/crops/proc/lin_rec2020/' || image_set || '/' || CASE WHEN role = 'gt' THEN 'gt/' ELSE '' END "
+        "|| filename || '.' || x || '_' || y || '.tif' AS path",
+    )
 
 
 # -- pair descriptors (lineitem) ---------------------------------------------------
@@ -279,30 +260,24 @@ pairs AS (
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, p, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
-    image_set = F.concat(F.lit("scene-"), F.col("l_suppkey").cast("string"))
-    clean = F.concat(F.lit("/gt/g"), (p % 5).cast("string"))
-    noisy = F.concat(F.lit("/n"), o.cast("string"), F.lit("_"), n.cast("string"))
-    root, ext = F.lit("ds/src/Bayer/"), F.lit(".cr2")
-    return table(spark, sf_dir, "lineitem").select(
-        image_set.alias("image_set"),
-        ((F.col("l_linestatus") == "O") | (p % 3 > 0)).alias("is_bayer"),
-        F.concat(root, image_set, clean, ext).alias("gt_fpath"),
-        F.concat(root, image_set, F.when(n == 1, clean).otherwise(noisy), ext).alias("f_fpath"),
-        F.when(o % 50 != 7, 1 - F.col("l_quantity") / 100.0).alias("rgb_msssim_score"),
-        F.col("l_tax").alias("best_alignment_loss"),
-        (1 - 3 * F.col("l_discount")).alias("mask_mean"),
-        (F.col("l_quantity") / 25.0).alias("raw_gain"),
-        # Crops in descending order of x, so that sorting them matters.
-        F.transform(
-            F.slice(F.array(F.lit(2), F.lit(1), F.lit(0)), 1, (n % 4).cast("int")),
-            lambda i: F.struct((768 * i).cast("int").alias("x"), (768 * (p % 2)).cast("int").alias("y")),
-        ).alias("crops"),
-        p.alias("partkey"),
-        o.alias("orderkey"),
-        n.alias("linenumber"),
-        (o % 11 - 5).cast("int").alias("dy"),
-        (p % 9 - 4).cast("int").alias("dx"),
+    # Crops come in descending order of x, so that sorting them matters.
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "'scene-' || l_suppkey AS image_set",
+        "l_linestatus = 'O' OR l_partkey % 3 > 0 AS is_bayer",
+        "'ds/src/Bayer/scene-' || l_suppkey || '/gt/g' || l_partkey % 5 || '.cr2' AS gt_fpath",
+        "'ds/src/Bayer/scene-' || l_suppkey || CASE WHEN l_linenumber = 1 THEN '/gt/g' || l_partkey % 5 "
+        "ELSE '/n' || l_orderkey || '_' || l_linenumber END || '.cr2' AS f_fpath",
+        "CASE WHEN l_orderkey % 50 <> 7 THEN 1 - l_quantity / 100.0D END AS rgb_msssim_score",
+        "l_tax AS best_alignment_loss",
+        "1 - 3 * l_discount AS mask_mean",
+        "l_quantity / 25.0D AS raw_gain",
+        "transform(slice(array(2, 1, 0), 1, l_linenumber % 4), "
+        "i -> struct(768 * i AS x, CAST(768 * (l_partkey % 2) AS int) AS y)) AS crops",
+        "l_partkey AS partkey",
+        "l_orderkey AS orderkey",
+        "l_linenumber AS linenumber",
+        "CAST(l_orderkey % 11 - 5 AS int) AS dy",
+        "CAST(l_partkey % 9 - 4 AS int) AS dx",
     )
 
 
@@ -316,3 +291,58 @@ def reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter(k % 10 == 3).select(
         F.concat(F.lit("scene-"), k.cast("string")).alias("image_set")
     )
+
+
+# -- frames (embeddings) -----------------------------------------------------------
+# An embedding is an 8x8 frame. `mono` has its 64 samples plus an offset; `rgb` has the
+# row, the reversed row and the row read from position 21 on as channels. The first frame
+# of a label is the label's clean frame.
+
+OFFSET = 0.6
+
+MONO_SQL = f"""
+mono AS (SELECT vec_id AS image_id, label AS image_set, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x,
+    CAST(embedding[pos + 1] AS DOUBLE) + {OFFSET}::DOUBLE AS v
+  FROM (SELECT vec_id, label, embedding, unnest(range(64)) AS pos FROM embeddings))
+"""
+RGB_SQL = f"""
+rgb AS (SELECT vec_id AS image_id, label AS image_set, ch, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x,
+    CAST(embedding[CASE ch WHEN 0 THEN pos WHEN 1 THEN 63 - pos ELSE (pos + 21) % 64 END + 1] AS DOUBLE)
+      + {OFFSET}::DOUBLE AS v
+  FROM (SELECT vec_id, label, embedding, unnest(range(64)) AS pos FROM embeddings),
+    (SELECT unnest(range(3)) AS ch))
+"""
+PAIRED_SQL = """
+paired AS (SELECT g.gt_id, e.vec_id AS f_id FROM embeddings e
+  JOIN (SELECT label, min(vec_id) AS gt_id FROM embeddings GROUP BY label) g ON g.label = e.label)
+"""
+
+_SAMPLES = f"transform(embedding, v -> CAST(v AS double) + {OFFSET}D)"
+
+
+def mono_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS image_id", "label AS image_set", "1 AS c", "8 AS frame_h", "8 AS frame_w", f"{_SAMPLES} AS data"
+    )
+
+
+def rgb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "embeddings")
+        .selectExpr("vec_id AS image_id", "label AS image_set", f"{_SAMPLES} AS m")
+        .selectExpr(
+            "image_id",
+            "image_set",
+            "3 AS c",
+            "8 AS frame_h",
+            "8 AS frame_w",
+            "concat(m, reverse(m), slice(m, 22, 43), slice(m, 1, 21)) AS data",
+        )
+    )
+
+
+def frame_pairs(frames: DataFrame) -> DataFrame:
+    """Every frame with the clean frame of its label."""
+    clean = frames.groupBy("image_set").agg(F.min("image_id").alias("gt_id"))
+    others = frames.select("image_set", F.col("image_id").alias("f_id"))
+    return salted_join(others, clean, ["image_set"], spread=["f_id"]).select("gt_id", "f_id")

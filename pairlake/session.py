@@ -15,6 +15,8 @@ SETTINGS = {
     # Tile rows carry megabytes of samples, so Arrow batches are bounded by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.parquet.compression.codec": "zstd",
+    # Column call sites cost a JVM round trip per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
