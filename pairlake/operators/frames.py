@@ -168,7 +168,11 @@ def gray_world(tiles: DataFrame) -> DataFrame:
     means = [F.col(f"s{i}") / F.col("n") for i in range(3)]
     target = reduce(lambda a, b: a + b, means) / F.lit(3.0)
     gains = sums.select("image_id", *[(target / means[i]).alias(f"g{i}") for i in range(3)])
-    scaled = F.concat(*[F.transform(_plane(i), lambda v, g=F.col(f"g{i}"): v * g) for i in range(3)])
+
+    def times(gain: Column):
+        return lambda v: v * gain
+
+    scaled = F.concat(*[F.transform(_plane(i), times(F.col(f"g{i}"))) for i in range(3)])
     return tiles.join(gains, "image_id").withColumn("data", scaled).select(*tiles.columns)
 
 
@@ -176,12 +180,13 @@ def log_tonemap(tiles: DataFrame, epsilon: float = 0.001) -> DataFrame:
     """Logarithmic curve on luma, normalised to the image's own range; chroma stays."""
     from pairlake.functions import colour as K
 
-    pixels = F.arrays_zip(_plane(0).alias("r"), _plane(1).alias("g"), _plane(2).alias("b"))
-    yuv = F.transform(
-        pixels,
-        lambda p: F.struct(*[k.alias(n) for k, n in zip(K.rgb_to_yuv(p["r"], p["g"], p["b"]), "yuv")]),
+    shown = tiles.withColumns({"_r": _plane(0), "_g": _plane(1), "_b": _plane(2)}).withColumn(
+        "yuv",
+        F.transform(
+            F.arrays_zip("_r", "_g", "_b"),
+            lambda p: F.struct(*[k.alias(n) for k, n in zip(K.rgb_to_yuv(p["_r"], p["_g"], p["_b"]), "yuv")]),
+        ),
     )
-    shown = tiles.withColumn("yuv", yuv)
     # The curve is increasing, so the range of the mapped luma follows from the luma range.
     lumas = F.transform("yuv", lambda p: p["y"])
     span = shown.groupBy("image_id").agg(
@@ -201,7 +206,7 @@ def log_tonemap(tiles: DataFrame, epsilon: float = 0.001) -> DataFrame:
         "yuv",
         lambda p: F.struct(*[k.alias(n) for k, n in zip(K.yuv_to_rgb(mapped(p["y"]), p["u"], p["v"]), "rgb")]),
     )
-    planes = F.concat(*[F.transform("_rgb", lambda p, n=n: p[n]) for n in "rgb"])
+    planes = F.expr("concat(transform(_rgb, p -> p.r), transform(_rgb, p -> p.g), transform(_rgb, p -> p.b))")
     return joined.withColumn("_rgb", rgb).withColumn("data", planes).select(*tiles.columns)
 
 

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from pairlake.plans import catalog_queries, frame_queries, gate_queries, result_queries  # noqa: F401
+from pairlake.plans import (  # noqa: F401
+    catalog_queries,
+    frame_queries,
+    gate_queries,
+    result_queries,
+    sample_queries,
+)
 from pairlake.plans.common import ORACLES, QUERIES
 
 FLAGSHIP = "prepare_pairs"
