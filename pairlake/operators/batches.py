@@ -15,6 +15,7 @@ _ARROW = {
     "double": pa.float64(),
     "boolean": pa.bool_(),
     "string": pa.string(),
+    "binary": pa.binary(),
     "array<double>": pa.list_(pa.float64()),
     "array<boolean>": pa.list_(pa.bool_()),
 }
@@ -58,17 +59,21 @@ def _column(column: pa.Array) -> list:
 
 
 def map_rows(
-    df: DataFrame, fn: Callable[[SimpleNamespace], Iterable[tuple]], ddl: str
+    df: DataFrame, fn: Callable[[SimpleNamespace], Iterable[tuple]], ddl: str, per_task: bool = False
 ) -> DataFrame:
-    """Apply `fn` to each row; it yields output tuples. Rows keep no order; carry a key."""
+    """Apply `fn` to each row; it yields output tuples. Rows keep no order; carry a key.
+
+    With `per_task`, `fn()` is called once per task and returns the row function.
+    """
     fields = _fields(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(name, _ARROW[kind]) for name, kind in fields])
+        row = fn() if per_task else fn
         for batch in batches:
             names = batch.schema.names
             columns = [_column(batch.column(i)) for i in range(len(names))]
-            out = [t for values in zip(*columns) for t in fn(SimpleNamespace(**dict(zip(names, values))))]
+            out = [t for values in zip(*columns) for t in row(SimpleNamespace(**dict(zip(names, values))))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([t[i] for t in out], type=f.type) for i, f in enumerate(schema)], schema=schema
             )

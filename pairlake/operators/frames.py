@@ -20,8 +20,8 @@ TILE_COLUMNS = ["image_id", "c", "frame_h", "frame_w", "ty", "tx", "y0", "x0", "
 def window_of(data: str, c: str, h: str, w: str, y: str, x: str, wh: str, ww: str) -> str:
     """SQL text: samples of a window of a planar (c, h, w) array."""
     return (
-        f"flatten(transform(sequence(0, {c} - 1), ch -> flatten(transform(sequence(0, {wh} - 1), "
-        f"r -> slice({data}, ch * {h} * {w} + ({y} + r) * {w} + {x} + 1, {ww})))))"
+        f"flatten(transform(sequence(0, {c} - 1), _ch -> flatten(transform(sequence(0, {wh} - 1), "
+        f"_row -> slice({data}, _ch * {h} * {w} + ({y} + _row) * {w} + {x} + 1, {ww})))))"
     )
 
 

@@ -94,3 +94,136 @@ def demosaic_rggb(window: np.ndarray, y: int, x: int) -> np.ndarray:
         mean = np.divide(total, count, out=np.full((h, w), np.nan), where=count > 0)
         colours.append(np.where(site[1:-1, 1:-1], window[1:-1, 1:-1], mean))
     return np.stack(colours)
+
+
+def ms_ssim(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Multi-scale similarity of two (c, h, w) images in [0, 1]; None below 161 lines a side."""
+    if min(a.shape[1:]) <= (SSIM_TAPS - 1) * 2 ** (len(SSIM_WEIGHTS) - 1):
+        return None
+    weights = gaussian(SSIM_TAPS, SSIM_SIGMA)
+    score = np.ones(a.shape[0])
+    for scale, power in enumerate(SSIM_WEIGHTS):
+        mean_a, mean_b = blur_valid(a, weights), blur_valid(b, weights)
+        spread = blur_valid(a * a, weights) - mean_a**2 + blur_valid(b * b, weights) - mean_b**2
+        shared = blur_valid(a * b, weights) - mean_a * mean_b
+        term = (2 * shared + SSIM_C2) / (spread + SSIM_C2)
+        if scale == len(SSIM_WEIGHTS) - 1:
+            term = term * (2 * mean_a * mean_b + SSIM_C1) / (mean_a**2 + mean_b**2 + SSIM_C1)
+        score *= np.maximum(term.mean(axis=(1, 2)), 0) ** power
+        a, b = (
+            sum(p[:, i::2, j::2][:, : p.shape[1] // 2, : p.shape[2] // 2] for i in (0, 1) for j in (0, 1)) / 4
+            for p in (np.pad(v, [(0, 0)] + [(v.shape[k] % 2,) * 2 for k in (1, 2)]) for v in (a, b))
+        )
+    return float(score.mean())
+
+
+# -- evaluation --------------------------------------------------------------------
+
+
+def match_gain(anchor: np.ndarray, other: np.ndarray) -> np.ndarray:
+    mean = other.mean()
+    return other * (anchor.mean() / mean) if mean else other
+
+
+def match_output(out: np.ndarray, camera, profile, clean: np.ndarray | None) -> np.ndarray:
+    """Camera RGB to a profile; with a clean image, its mean is matched before and after."""
+    if clean is not None:
+        out = match_gain(clean, out)
+    matrix = np.asarray(profile) @ np.linalg.inv(np.array([list(row) for row in camera[:3]], dtype=np.float64))
+    out = np.tensordot(matrix, out, 1)
+    return out if clean is None else match_gain(clean, out)
+
+
+def pq(a: np.ndarray) -> np.ndarray:
+    from pairlake.functions import colour as c
+
+    light = a * c.PQ_SCALE
+    video = np.where(
+        light < c.BT709_LINEAR_END, light * 4.5, 1.099 * np.power(np.maximum(light, 0), 0.45) - 0.099
+    )
+    y = np.power(100 * np.power(np.maximum(video, 0), c.BT1886_GAMMA) / c.PQ_PEAK, c.PQ_M1)
+    return np.power((c.PQ_C1 + c.PQ_C2 * y) / (c.PQ_C3 * y + 1), c.PQ_M2)
+
+
+TRANSFERS = {
+    None: lambda a: a,
+    "None": lambda a: a,
+    "pq": pq,
+    "gamma22": lambda a: positive_gamma(a, 2.2),
+}
+
+
+def _loss(score: float | None) -> float | None:
+    return None if score is None else 1 - score
+
+
+# Loss and metric registry.
+METRICS = {
+    "l1": lambda a, b: float(np.abs(a - b).mean()),
+    "mse": lambda a, b: float(((a - b) ** 2).mean()),
+    "msssim": ms_ssim,
+    "msssim_loss": lambda a, b: _loss(ms_ssim(a, b)),
+}
+
+
+# -- augmentation ------------------------------------------------------------------
+
+# Analogue YUV luma and grey weights.
+LUMA = np.array([0.299, 0.587, 0.114])
+GREY = np.array([0.2989, 0.587, 0.114])
+SMOOTH = np.array([[1, 1, 1], [1, 5, 1], [1, 1, 1]]) / 13
+
+
+def augment(image: np.ndarray, p) -> np.ndarray:
+    """Development look of one RGB crop under the parameters of `augment_parameters`."""
+    h, w = image.shape[1:]
+    if p.wb:
+        means = image.clip(0, 1).mean(axis=(1, 2))
+        image = image * (means.mean() / means)[:, None, None]
+    if p.tonemap:
+        luma = np.tensordot(LUMA, image, 1)
+        curve = np.log(np.maximum(1 + luma, 0.001)) / np.log(max(1 + luma.max() + 0.001, 0.001))
+        curve = (curve - curve.min()) / (curve.max() - curve.min())
+        image = image + (curve - luma)
+    if p.edges:
+        blue = np.pad(image[2], 1, mode="reflect")
+        laplacian = blue[:-2, 1:-1] + blue[2:, 1:-1] + blue[1:-1, :-2] + blue[1:-1, 2:] - 4 * image[2]
+        image = image.clip(0, 1) + p.alpha * laplacian
+    if p.curve:
+        image = positive_gamma(image, p.gamma)
+    if p.sigmoid:
+        image = 1 / (1 + np.exp(np.clip(p.gain * (p.cutoff - image), -50, 50)))
+    if p.sharpen:
+        border = p.taps // 2
+        full = np.pad(image, [(0, 0), (border, border), (border, border)], mode="reflect")
+        image = 1.5 * image - 0.5 * blur_valid(full, gaussian(p.taps, p.sigma))[:, :h, :w]
+    return image.clip(0, 1)
+
+
+def equalised(channel: np.ndarray) -> np.ndarray:
+    """Histogram equalisation of an 8-bit channel."""
+    counts = np.bincount(channel.ravel(), minlength=256)
+    present = counts[counts > 0]
+    step = (present.sum() - present[-1]) // 255
+    if step == 0:
+        return channel
+    before = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return ((before + step // 2) // step).clip(0, 255).astype(np.uint8)[channel]
+
+
+def augment_simple(image: np.ndarray, p) -> np.ndarray:
+    """Equalised blend, contrast, saturation, gamma and sharpness of one RGB crop."""
+    eight = (image.clip(0, 1) * 255).astype(np.uint8)
+    flat = np.stack([equalised(c) for c in eight]) / 255
+    image = flat * p.equalize_weight + image * (1 - p.equalize_weight)
+    grey = np.tensordot(GREY, image, 1)
+    image = (p.contrast * image + (1 - p.contrast) * grey.mean()).clip(0, 1)
+    grey = np.tensordot(GREY, image, 1)
+    image = (p.saturation * image + (1 - p.saturation) * grey).clip(0, 1)
+    image = positive_gamma(image, p.gamma)
+    h, w = image.shape[1:]
+    soft = image.copy()
+    soft[:, 1:-1, 1:-1] = sum(
+        SMOOTH[i, j] * image[:, i : h - 2 + i, j : w - 2 + j] for i in range(3) for j in range(3)
+    )
+    return (p.sharpness * image + (1 - p.sharpness) * soft).clip(0, 1)

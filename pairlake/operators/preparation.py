@@ -34,7 +34,7 @@ def gain(pairs: DataFrame, tiles: DataFrame, name: str = "gain") -> DataFrame:
     clean = means.withColumnsRenamed({"image_id": "gt_id", "mean": "_gt_mean"})
     other = means.withColumnsRenamed({"image_id": "f_id", "mean": "_f_mean"})
     both = salted_join(pairs, clean, ["gt_id"], spread=["f_id"]).join(other, "f_id")
-    return both.withColumn(name, F.col("_gt_mean") / F.col("_f_mean")).select(*pairs.columns, name)
+    return both.withColumn(name, F.try_divide("_gt_mean", "_f_mean")).select(*pairs.columns, name)
 
 
 def pair_tiles(pairs: DataFrame, clean: DataFrame, noisy: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _best_shift(losses: DataFrame) -> DataFrame:
         "dy",
         "dx",
         "loss",
-        (F.col("gt_sum") / F.col("f_sum")).alias("aligned_gain"),
+        F.try_divide("gt_sum", "f_sum").alias("aligned_gain"),
     )
     return losses.groupBy(*PAIR).agg(F.min(order).alias("b")).select(
         *PAIR, "b.dy", "b.dx", F.col("b.loss").alias("best_alignment_loss"), "b.aligned_gain"
@@ -144,7 +144,7 @@ def align(
         gained.join(start, PAIR).select(
             *PAIR, "gain", "dy", "dx", F.lit(None).cast("int").alias("py"),
             F.lit(None).cast("int").alias("px"), "loss",
-            (F.col("gt_sum") / F.col("f_sum")).alias("aligned_gain"), (F.col("loss") > 0).alias("moving"),
+            F.try_divide("gt_sum", "f_sum").alias("aligned_gain"), (F.col("loss") > 0).alias("moving"),
         )
     )
     for _ in range(max_rounds):
@@ -164,7 +164,7 @@ def align(
         )
         todo = active.select(*PAIR, "gain", fresh.alias("shifts")).filter(F.size("shifts") > 0)
         tried = shift_losses(pair_tiles(todo, clean, noisy))
-        order = F.struct(F.round("loss", 9).alias("r"), "dy", "dx", "loss", (F.col("gt_sum") / F.col("f_sum")).alias("g"))
+        order = F.struct(F.round("loss", 9).alias("r"), "dy", "dx", "loss", F.try_divide("gt_sum", "f_sum").alias("g"))
         found = tried.groupBy(*PAIR).agg(F.min(order).alias("b"))
         better = F.coalesce(F.col("moving") & (F.col("b.r") < F.round("loss", 9)), F.lit(False))
         stepped = state.join(found, PAIR, "left").select(
@@ -319,7 +319,8 @@ def _similarity_sums(r, border: int) -> list[tuple]:
     size = [bottom - top, right - left]
     y, x = max(r.y0 - border, top), max(r.x0 - border, left)
     y1, x1 = min(r.y0 + r.h + border, bottom), min(r.x0 + r.w + border, right)
-    if y1 - y <= 0 or x1 - x <= 0:
+    # A side needs more than ten lines at the coarsest scale.
+    if y1 <= y or x1 <= x or min(size) <= (K.SSIM_TAPS - 1) * 2 ** (len(K.SSIM_WEIGHTS) - 1):
         return []
     a = K.assemble(r.gt_parts, r.c, y, x, y1 - y, x1 - x)
     b = K.assemble(r.f_parts, r.c, y - r.dy, x - r.dx, y1 - y, x1 - x) * r.aligned_gain
@@ -415,20 +416,8 @@ def ms_ssim(aligned: DataFrame, tiles: DataFrame, reach: int, size: int = TILE)
     score = F.lit(1.0)
     for s, weight in enumerate(K.SSIM_WEIGHTS):
         score = score * F.pow(F.greatest(F.col(f"s{s}") / F.col(f"n{s}"), F.lit(0.0)), F.lit(weight))
-    shortest = (K.SSIM_TAPS - 1) * 2 ** (scales - 1)
-    sides = tiled.select(
-        *PAIR,
-        (
-            F.least(
-                F.col("frame_h") - F.abs("dy") - F.abs("dy") % 2, F.col("frame_w") - F.abs("dx") - F.abs("dx") % 2
-            )
-            > shortest
-        ).alias("fits"),
-    ).distinct()
-    per_pair = means.groupBy(*PAIR).agg(F.avg(score).alias("score"))
-    return sides.join(per_pair, PAIR, "left").select(
-        *PAIR, F.when(F.col("fits"), F.col("score")).alias("rgb_msssim_score")
-    )
+    per_pair = means.groupBy(*PAIR).agg(F.avg(score).alias("rgb_msssim_score"))
+    return aligned.select(*PAIR).join(per_pair, PAIR, "left")
 
 
 # -- neighbourhood filters ---------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from pairlake.plans import (  # noqa: F401
     catalog_queries,
+    evaluate_queries,
     frame_queries,
     gate_queries,
     result_queries,
