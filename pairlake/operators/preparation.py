@@ -308,6 +308,28 @@ def prepare_pairs(
     return pair_mask(align_exhaustive(pairs, tiles, reach, size), tiles, reach, bound, size)
 
 
+def aligned_means(aligned: DataFrame, tiles: DataFrame, multiple: int = 32) -> DataFrame:
+    """`gt_rgb_mean` per pair: mean of the clean image's overlap, cut to a multiple."""
+    kind = dict(tiles.dtypes)["image_id"]
+    rows = salted_join(
+        aligned.select(*PAIR, "dy", "dx"), tiles.withColumnRenamed("image_id", "gt_id"), ["gt_id"], spread=["f_id"]
+    )
+
+    def run(r: SimpleNamespace) -> Iterator[tuple]:
+        span = []
+        for shift, frame, start, length in ((r.dy, r.frame_h, r.y0, r.h), (r.dx, r.frame_w, r.x0, r.w)):
+            first, end = K.overlap(shift, frame)
+            end -= (end - first) % multiple
+            span.append((max(first - start, 0), min(end - start, length)))
+        (top, bottom), (left, right) = span
+        if top < bottom and left < right:
+            part = np.asarray(r.data).reshape(r.c, r.h, r.w)[:, top:bottom, left:right]
+            yield r.gt_id, r.f_id, float(part.sum()), part.size
+
+    sums = map_rows(rows, run, f"gt_id {kind}, f_id {kind}, total double, n bigint")
+    return sums.groupBy(*PAIR).agg((F.sum("total") / F.sum("n")).alias("gt_rgb_mean"))
+
+
 # -- similarity --------------------------------------------------------------------
 
 

@@ -749,3 +749,34 @@ def shift_rectangles(spark, sf):
     )
     rect = G.shift_rectangles(F.col("dy"), F.col("dx"), F.lit(200), F.lit(300), F.col("bayer"))
     return shifts.select("k", rect.alias("r")).select("k", "r.*")
+
+
+@query(
+    "aligned_means",
+    "gt_id:i f_id:i gt_rgb_mean:d",
+    f"""WITH {T.RGB_SQL}, {T.PAIRED_SQL}, {_SHIFTED_SQL}, spans AS (SELECT *, CASE WHEN dy > 0 THEN dy ELSE abs(dy) % 2 END AS y0,
+      CASE WHEN dy > 0 THEN 8 - dy % 2 ELSE 8 + dy END AS y1, CASE WHEN dx > 0 THEN dx ELSE abs(dx) % 2 END AS x0,
+      CASE WHEN dx > 0 THEN 8 - dx % 2 ELSE 8 + dx END AS x1 FROM shifted)
+    SELECT gt_id, f_id, avg(v) AS gt_rgb_mean FROM spans JOIN rgb ON image_id = gt_id AND y >= y0 AND x >= x0
+      AND y < y1 - (y1 - y0) % 3 AND x < x1 - (x1 - x0) % 3 GROUP BY gt_id, f_id""",
+)
+def aligned_means(spark, sf):
+    return P.aligned_means(_shifted(spark, sf), M.tile_frames(T.rgb_frames(spark, sf), SIZE), multiple=3)
+
+
+@query(
+    "sql_functions",
+    _PX + " g:d s:d q:d",
+    f"""WITH {T.MONO_SQL}, {_PQ_SQL} SELECT image_id, y, x,
+      CASE WHEN v > 0.5::DOUBLE THEN pow(v - 0.5::DOUBLE, 1 / 2.2::DOUBLE) ELSE v - 0.5::DOUBLE END AS g,
+      CASE WHEN v > 0.5031308::DOUBLE THEN 1.055::DOUBLE * pow(v - 0.5::DOUBLE, 1 / 2.4::DOUBLE) - 0.055::DOUBLE
+        ELSE (v - 0.5::DOUBLE) * 12.92::DOUBLE END AS s, code AS q FROM pq""",
+)
+def sql_functions(spark, sf):
+    from pairlake.functions.sql import register_functions
+
+    register_functions(spark)
+    _mono_pixels(spark, sf).createOrReplaceTempView("mono_pixels")
+    return spark.sql(
+        "SELECT image_id, y, x, gamma22(v - 0.5D) AS g, srgb_oetf(v - 0.5D) AS s, pq_oetf(v - 0.5D) AS q FROM mono_pixels"
+    )

@@ -41,5 +41,9 @@ def write_report(df: DataFrame, header: list[str], path: str) -> None:
 
 
 def write_layout(files: DataFrame, path: str) -> None:
-    """Captures under sensor / scene / role folders; an existing layout is never overwritten."""
-    files.write.partitionBy("sensor", "scene", "role").mode("errorifexists").parquet(path)
+    """Captures under sensor / scene / role folders; an existing layout is never overwritten.
+
+    The rebalance gathers a folder's rows into few files and splits a hot folder over tasks.
+    """
+    keys = ("sensor", "scene", "role")
+    files.hint("rebalance", *[F.col(k) for k in keys]).write.partitionBy(*keys).mode("errorifexists").parquet(path)
