@@ -21,7 +21,10 @@ OUTCOMES = ("OK", "BAD_EXPOSURE", "UNREADABLE_ERROR", "UNKNOWN_ERROR")
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """Recursive listing (root, folder, name, size, mtime); file contents are not read."""
+    """Recursive listing (root, folder, name, size, mtime); file contents are not read.
+
+    Spark lists no empty files; an empty file is not a capture.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

@@ -65,9 +65,9 @@ def test_read_npy_tiles(spark, tmp_path):
 def test_scan_files_keeps_the_root(spark, tmp_path):
     (tmp_path / "x" / "gt").mkdir(parents=True)
     (tmp_path / "x" / "gt" / "f.cr2").write_bytes(b"123")
-    (tmp_path / "top.txt").write_bytes(b"")
+    (tmp_path / "top.txt").write_bytes(b"1")
     rows = {(r.folder, r.name, r["size"]) for r in L.scan_files(spark, str(tmp_path)).collect()}
-    assert rows == {("x/gt", "f.cr2", 3), ("", "top.txt", 0)}
+    assert rows == {("x/gt", "f.cr2", 3), ("", "top.txt", 1)}
 
 
 def test_validity(spark, tmp_path):
