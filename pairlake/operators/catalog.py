@@ -222,7 +222,7 @@ def prefer_bayer(files: DataFrame) -> DataFrame:
     """Drop developed files of scenes that also exist as Bayer captures."""
     in_bayer = files.filter("from_bayer").select("image_set").distinct().withColumn("_in_bayer", F.lit(True))
     return (
-        files.join(in_bayer, "image_set", "left")
+        salted_join(files, in_bayer, ["image_set"], spread=["path"], how="left")
         .filter(F.col("from_bayer") | F.col("_in_bayer").isNull())
         .drop("_in_bayer")
     )

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlake.session import shuffle_width
+
 TILE = 256
 
 TILE_COLUMNS = ["image_id", "c", "frame_h", "frame_w", "ty", "tx", "y0", "x0", "h", "w", "data"]
@@ -258,8 +260,12 @@ def with_halo(tiles: DataFrame, halo: int, size: int = TILE) -> DataFrame:
     part = f"struct(y0 + wy AS y, x0 + wx AS x, wh AS h, ww AS w, CASE WHEN wh = h AND ww = w THEN data ELSE {cut} END AS data)"
     return (
         window.selectExpr("image_id", "c", "frame_h", "frame_w", "_ty AS ty", "_tx AS tx", f"{part} AS part")
-        .groupBy("image_id", "c", "frame_h", "frame_w", "ty", "tx")
-        .agg(F.collect_list("part").alias("parts"))
+        # A fixed width: kernels do far more work per byte than the optimiser's size targets assume.
+        .repartition(shuffle_width(tiles.sparkSession), "image_id", "ty", "tx")
+        .groupBy("image_id", "ty", "tx")
+        .agg(
+            *[F.first(c).alias(c) for c in ("c", "frame_h", "frame_w")], F.collect_list("part").alias("parts")
+        )
         .selectExpr(
             "image_id",
             "c",

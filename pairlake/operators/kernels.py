@@ -57,11 +57,36 @@ def gaussian(taps: int, sigma: float) -> np.ndarray:
     return weights / weights.sum()
 
 
-def blur_valid(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Separable convolution without borders."""
+def _slide(a: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
+    """Weighted sum of shifted copies along an axis; the weights are symmetric."""
     n = len(weights)
-    rows = sum(wt * a[..., i : a.shape[-2] - n + 1 + i, :] for i, wt in enumerate(weights))
-    return sum(wt * rows[..., i : rows.shape[-1] - n + 1 + i] for i, wt in enumerate(weights))
+    length = a.shape[axis] - n + 1
+
+    def lines(i: int) -> np.ndarray:
+        cut = [slice(None)] * a.ndim
+        cut[axis] = slice(i, i + length)
+        return a[tuple(cut)]
+
+    out = weights[n // 2] * lines(n // 2)
+    for i in range(n // 2):
+        pair = lines(i) + lines(n - 1 - i)
+        pair *= weights[i]
+        out += pair
+    return out
+
+
+def blur_valid(a: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Separable convolution with a symmetric odd kernel, without borders."""
+    return _slide(_slide(a, weights, a.ndim - 2), weights, a.ndim - 1)
+
+
+def similarity_maps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contrast-structure map and full similarity map of two (c, h, w) images."""
+    weights = gaussian(SSIM_TAPS, SSIM_SIGMA)
+    mean_a, mean_b, squares, product = blur_valid(np.stack([a, b, a * a + b * b, a * b]), weights)
+    both, power = mean_a * mean_b, mean_a**2 + mean_b**2
+    contrast = (2 * (product - both) + SSIM_C2) / (squares - power + SSIM_C2)
+    return contrast, contrast * (2 * both + SSIM_C1) / (power + SSIM_C1)
 
 
 def cross_opening(mask: np.ndarray) -> np.ndarray:
@@ -100,15 +125,10 @@ def ms_ssim(a: np.ndarray, b: np.ndarray) -> float | None:
     """Multi-scale similarity of two (c, h, w) images in [0, 1]; None below 161 lines a side."""
     if min(a.shape[1:]) <= (SSIM_TAPS - 1) * 2 ** (len(SSIM_WEIGHTS) - 1):
         return None
-    weights = gaussian(SSIM_TAPS, SSIM_SIGMA)
     score = np.ones(a.shape[0])
     for scale, power in enumerate(SSIM_WEIGHTS):
-        mean_a, mean_b = blur_valid(a, weights), blur_valid(b, weights)
-        spread = blur_valid(a * a, weights) - mean_a**2 + blur_valid(b * b, weights) - mean_b**2
-        shared = blur_valid(a * b, weights) - mean_a * mean_b
-        term = (2 * shared + SSIM_C2) / (spread + SSIM_C2)
-        if scale == len(SSIM_WEIGHTS) - 1:
-            term = term * (2 * mean_a * mean_b + SSIM_C1) / (mean_a**2 + mean_b**2 + SSIM_C1)
+        contrast, full = similarity_maps(a, b)
+        term = full if scale == len(SSIM_WEIGHTS) - 1 else contrast
         score *= np.maximum(term.mean(axis=(1, 2)), 0) ** power
         a, b = (
             sum(p[:, i::2, j::2][:, : p.shape[1] // 2, : p.shape[2] // 2] for i in (0, 1) for j in (0, 1)) / 4

@@ -17,7 +17,7 @@ from pairlake.operators import kernels as K
 from pairlake.operators.batches import map_rows
 from pairlake.operators.frames import TILE, image_sums, with_halo
 from pairlake.operators.skew import salted_join
-from pairlake.session import checkpointed
+from pairlake.session import checkpointed, shuffle_width
 
 # Mask threshold, kept quantile, display gamma, search window and limit.
 LOSS_THRESHOLD = 0.4
@@ -41,14 +41,19 @@ def pair_tiles(pairs: DataFrame, clean: DataFrame, noisy: DataFrame) -> DataFram
     """One row per (pair, tile) with the parts of both images around the tile.
 
     `clean` and `noisy` are `with_halo` tables (the noisy one with the wider border). One
-    clean image may serve many pairs, so its join is salted.
+    clean image may serve many pairs, so its join is salted. The second join is always a
+    shuffle on (f_id, ty, tx), the keys `with_halo` has already grouped by: the noisy side
+    stays where it is, and the rows are spread evenly for the kernels that follow.
     """
     left = clean.select(
         F.col("image_id").alias("gt_id"), "c", "frame_h", "frame_w", "ty", "tx", "y0", "x0", "h", "w",
         F.col("parts").alias("gt_parts"),
     )
     right = noisy.select(F.col("image_id").alias("f_id"), "ty", "tx", F.col("parts").alias("f_parts"))
-    return salted_join(pairs, left, ["gt_id"], spread=["f_id"]).join(right, ["f_id", "ty", "tx"])
+    keys = ["f_id", "ty", "tx"]
+    paired = salted_join(pairs, left, ["gt_id"], spread=["f_id"])
+    paired = paired.repartition(shuffle_width(pairs.sparkSession), *keys)
+    return paired.join(right.hint("merge"), keys)
 
 
 # -- alignment ---------------------------------------------------------------------
@@ -130,16 +135,16 @@ def align(
     """Local search: from (0, 0) move to the best shift of the 7x7 neighbourhood until none
     is better, the loss is 0 or |dy| + |dx| reaches `max_shift`.
 
-    All pairs advance together; a round reads only the tiles of pairs still moving. The
-    current shift is the best of all seen, so an older shift can never win later and the
-    state is one row per pair, checkpointed after each round. A pair that ran out of
+    All pairs advance together. A round reads only the tiles of pairs still moving, with
+    borders only as wide as their shifts need. The current shift is the best of all seen,
+    so an older shift can never win later and the state is one row per pair, checkpointed
+    after each round. A pair that ran out of
     rounds is reported with `moving` true.
     """
     gained = checkpointed(gain(pairs.select(*PAIR), tiles))
     clean = with_halo(tiles, 0, size)
-    noisy = with_halo(tiles, max_shift + SEARCH_WINDOW, size)
     here = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")))
-    start = shift_losses(pair_tiles(gained, clean, noisy), here)
+    start = shift_losses(pair_tiles(gained, clean, clean), here)
     state = checkpointed(
         gained.join(start, PAIR).select(
             *PAIR, "gain", "dy", "dx", F.lit(None).cast("int").alias("py"),
@@ -147,10 +152,17 @@ def align(
             F.try_divide("gt_sum", "f_sum").alias("aligned_gain"), (F.col("loss") > 0).alias("moving"),
         )
     )
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         active = state.filter("moving")
-        if active.isEmpty():
+        span = active.agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("dy"), F.abs("dx"))).alias("far")
+        ).first()
+        if span.n == 0:
             break
+        mine = tiles
+        if turn:
+            mine = tiles.join(active.select(F.col("f_id").alias("image_id")).distinct(), "image_id", "left_semi")
+        noisy = with_halo(mine, span.far + SEARCH_WINDOW, size)
         # The previous neighbourhood holds nothing better, so only new shifts are tried.
         around = F.transform(
             _window(SEARCH_WINDOW),
@@ -351,7 +363,6 @@ def _similarity_sums(r, border: int) -> list[tuple]:
     first = [np.arange(origin[0], origin[0] + a.shape[1]), np.arange(origin[1], origin[1] + a.shape[2])]
     own = [(r.y0 - top, r.y0 - top + r.h), (r.x0 - left, r.x0 - left + r.w)]
     own = [(0 if lo <= 0 else lo, hi) for lo, hi in own]
-    weights = K.gaussian(K.SSIM_TAPS, K.SSIM_SIGMA)
     out = []
     for scale in range(len(K.SSIM_WEIGHTS)):
         if min(a.shape[1:]) >= K.SSIM_TAPS:
@@ -360,14 +371,9 @@ def _similarity_sums(r, border: int) -> list[tuple]:
                 for f, (lo, hi) in zip(first, own)
             ]
             if len(mine[0]) and len(mine[1]):
-                mean_a, mean_b = K.blur_valid(a, weights), K.blur_valid(b, weights)
-                var_a = K.blur_valid(a * a, weights) - mean_a**2
-                var_b = K.blur_valid(b * b, weights) - mean_b**2
-                cov = K.blur_valid(a * b, weights) - mean_a * mean_b
-                contrast = (2 * cov + K.SSIM_C2) / (var_a + var_b + K.SSIM_C2)
-                luma = (2 * mean_a * mean_b + K.SSIM_C1) / (mean_a**2 + mean_b**2 + K.SSIM_C1)
+                contrast, similar = K.similarity_maps(a, b)
                 part = np.ix_(range(a.shape[0]), mine[0], mine[1])
-                cs, full = contrast[part], (luma * contrast)[part]
+                cs, full = contrast[part], similar[part]
                 for ch in range(a.shape[0]):
                     out.append(
                         (r.gt_id, r.f_id, ch, scale, float(cs[ch].sum()), float(full[ch].sum()), cs[ch].size)

@@ -5,10 +5,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.operators.scan import CHUNK, in_chunks, ranked, running
@@ -119,13 +119,14 @@ def running_best(results: DataFrame) -> DataFrame:
 def plateau_schedule(
     results: DataFrame, patience: int, multiplier: float, square: bool = True, chunks: int | None = None
 ) -> DataFrame:
-    """Steps at which the rate is lowered, with the cumulative factor.
+    """Steps at which the rate is lowered, with the number of cuts and the cumulative factor.
 
     A step that brings any metric to or below its best so far moves the deadline to
-    step + patience. Any other step past the deadline emits a cut and moves it too.
-    The deadline is the only state carried along a model's log. Each (model, range) is
-    folded on its own; the deadlines at range starts are then corrected until none
-    changes, so a long log is never held in one task.
+    step + patience. Any other step past the deadline cuts the rate and moves it too.
+    The deadline is the only state carried along a model's log. Ranges of (model, step) are
+    folded on their own, so a long log is never held in one task; then the few ranges that
+    started from a wrong deadline are folded again until none is left. A range depends only
+    on the one before it, so the result is the sequential one.
     """
     scanned = running(
         results.filter(F.col("value").isNotNull()),
@@ -138,54 +139,66 @@ def plateau_schedule(
         F.max(F.col("value") <= F.col("best_so_far")).alias("improved")
     )
     ranges = in_chunks(steps, ["model"], [F.col("step")], chunks)
-    span = ranges.select("model", CHUNK).distinct()
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        deadline = rows["deadline"].iloc[0]
-        cuts = []
-        for step, improved in zip(rows["step"], rows["improved"]):
-            cut = not improved and step > deadline
-            if improved or cut:
-                deadline = step + patience
-            cuts.append(cut)
-        return pd.DataFrame(
-            {"model": rows["model"], CHUNK: rows[CHUNK], "step": rows["step"], "cut": cuts, "left": deadline}
-        )
 
-    def folded(starts: DataFrame) -> DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cuts of each range, and per range a last row without a step that holds the deadline."""
+        columns = ["model", CHUNK, "step", "nth", "start", "end"]
+        current, start, deadline, nth = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for key, step, improved, begin in zip(
+                zip(batch["model"], batch[CHUNK]), batch["step"].tolist(), batch["improved"].tolist(), batch["start"].tolist()
+            ):
+                if key != current:
+                    if current is not None:
+                        out.append((*current, None, nth, start, deadline))
+                    current, start, deadline, nth = key, begin, begin, 0
+                if improved:
+                    deadline = step + patience
+                elif step > deadline:
+                    nth += 1
+                    deadline = step + patience
+                    out.append((*key, step, nth, start, 0))
+            yield pd.DataFrame(out, columns=columns).astype({"step": "Int64"})
+        if current is not None:
+            yield pd.DataFrame([(*current, None, nth, start, deadline)], columns=columns).astype({"step": "Int64"})
+
+    def folded(rows: DataFrame) -> DataFrame:
+        # Sorted partitions stream through the fold; no range is held as a whole.
         return (
-            ranges.join(starts, ["model", CHUNK])
-            .groupBy("model", CHUNK)
-            .applyInPandas(fold, f"model string, {CHUNK} int, step bigint, cut boolean, left bigint")
+            rows.select("model", CHUNK, "step", "improved", "start")
+            .repartition(F.col("model"), F.col(CHUNK))
+            .sortWithinPartitions("model", CHUNK, "step")
+            .mapInPandas(fold, f"model string, {CHUNK} int, step bigint, nth bigint, start bigint, end bigint")
         )
 
-    starts = checkpointed(span.withColumn("deadline", F.lit(patience).cast("bigint")))
+    in_order = Window.partitionBy("model").orderBy(CHUNK)
+    found = checkpointed(folded(ranges.withColumn("start", F.lit(patience))))
     while True:
-        passed = checkpointed(folded(starts))
-        ends = passed.groupBy("model", CHUNK).agg(F.max("left").alias("left"))
-        # Summary rows: at most one per (model, range).
-        corrected = _carry_over(ends, patience)
-        changed = corrected.join(
-            starts.withColumnRenamed("deadline", "old"), ["model", CHUNK]
-        ).filter(F.col("deadline") != F.col("old"))
-        if changed.isEmpty():
+        # One row per (model, range) from here on.
+        ends = found.filter(F.col("step").isNull())
+        carried = F.coalesce(F.lag("end").over(in_order), F.lit(patience).cast("bigint"))
+        wrong = (
+            ends.withColumn("_start", carried)
+            .filter(F.col("_start") != F.col("start"))
+            .select("model", CHUNK, F.col("_start").alias("start"))
+        )
+        if wrong.isEmpty():
             break
-        starts = checkpointed(corrected)
-    factor = multiplier * multiplier if square else multiplier
-    counted = ranked(passed.filter("cut").select("model", "step"), ["model"], [F.col("step")], "cuts", chunks)
-    return counted.withColumn("factor", F.pow(F.lit(float(factor)), F.col("cuts")))
-
-
-def _carry_over(ends: DataFrame, patience: int) -> DataFrame:
-    """Start of each range = end of the model's previous range."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("model").orderBy(CHUNK)
-    return ends.select(
+        again = folded(ranges.join(wrong, ["model", CHUNK]))
+        found = checkpointed(found.join(wrong, ["model", CHUNK], "left_anti").unionByName(again))
+    before = ends.select(
         "model",
         CHUNK,
-        F.coalesce(F.lag("left").over(order), F.lit(patience).cast("bigint")).alias("deadline"),
+        F.coalesce(F.sum("nth").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    )
+    factor = float(multiplier * multiplier if square else multiplier)
+    cuts = (F.col("nth") + F.col("_before")).alias("cuts")
+    return (
+        found.filter(F.col("step").isNotNull())
+        .join(before, ["model", CHUNK])
+        .select("model", "step", cuts)
+        .withColumn("factor", F.pow(F.lit(factor), F.col("cuts")))
     )
 
 

@@ -508,7 +508,7 @@ def write_layout(spark, sf):
 
     folder = _folder(spark, "layout")
     parsed = parse_capture_name(T.manifest(spark, sf).select("filename")).filter("sensor IS NOT NULL")
-    W.write_layout(parsed, folder)
+    W.write_layout(parsed, folder, folders=("sensor", "role"))
     return spark.read.schema("filename string, sensor string, scene string, role string").parquet(folder)
 
 

@@ -40,10 +40,15 @@ def write_report(df: DataFrame, header: list[str], path: str) -> None:
     df.toDF(*header).write.option("header", "true").csv(path)
 
 
-def write_layout(files: DataFrame, path: str) -> None:
+def write_layout(files: DataFrame, path: str, folders: tuple[str, ...] = ("sensor", "scene", "role")) -> None:
     """Captures under sensor / scene / role folders; an existing layout is never overwritten.
 
     The rebalance gathers a folder's rows into few files and splits a hot folder over tasks.
+    With very many scenes, leave `scene` out of `folders`: it stays a column, sorted within
+    each file, and its filters prune row groups instead of folders.
     """
-    keys = ("sensor", "scene", "role")
-    files.hint("rebalance", *[F.col(k) for k in keys]).write.partitionBy(*keys).mode("errorifexists").parquet(path)
+    spread = files.hint("rebalance", *[F.col(k) for k in folders])
+    inner = [c for c in ("sensor", "scene", "role") if c not in folders]
+    if inner:
+        spread = spread.sortWithinPartitions(*folders, *inner)
+    spread.write.partitionBy(*folders).mode("errorifexists").parquet(path)
