@@ -66,5 +66,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shuffle_width(spark: SparkSession) -> int:
-    """Number of shuffle partitions of the session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Shuffle partitions of the session; a local run needs no more than its cores."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(width, context.defaultParallelism) if context.master.startswith("local") else width
