@@ -59,24 +59,31 @@ def scan_candidates(files: DataFrame) -> DataFrame:
     return files.filter(~N.is_scan_noise(F.col("path")))
 
 
-def _gatherable(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    return files.filter(N.is_raw(path) & ~F.lower(path).contains("nind"))
+def _gatherable(files: DataFrame, skip_sets: tuple[str, ...]) -> DataFrame:
+    path = F.lower(F.col("path"))
+    kept = files.filter(N.is_raw(F.col("path")))
+    for name in skip_sets:
+        kept = kept.filter(~path.contains(name.lower()))
+    return kept
+
 
+def select_low_iso(files: DataFrame, max_iso: int = 100, skip_sets: tuple[str, ...] = ()) -> DataFrame:
+    """Raw captures fit to serve as clean images, with their destination folder.
 
-def select_low_iso(files: DataFrame, max_iso: int = 100) -> DataFrame:
-    """Raw captures fit to serve as clean images, with their destination folder."""
+    `skip_sets` names collections whose files are never gathered, such as the dataset's
+    own; lossy files are left out too.
+    """
     path = F.lower(F.col("path"))
     return (
-        _gatherable(files)
+        _gatherable(files, skip_sets)
         .filter(~path.contains("lossy") & (F.col("iso") <= max_iso))
         .withColumn("destination", F.when(path.endswith("raf"), "X-Trans").otherwise("Bayer"))
     )
 
 
-def unknown_iso(files: DataFrame) -> DataFrame:
+def unknown_iso(files: DataFrame, skip_sets: tuple[str, ...] = ()) -> DataFrame:
     """Raw captures `select_low_iso` leaves out because their ISO is not known."""
-    return _gatherable(files).filter(F.col("iso").isNull())
+    return _gatherable(files, skip_sets).filter(F.col("iso").isNull())
 
 
 def valid_output(files: DataFrame, min_bytes: int = MIN_OUTPUT_BYTES) -> DataFrame:

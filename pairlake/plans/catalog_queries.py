@@ -81,12 +81,12 @@ def scan_candidates(spark, sf):
     return C.scan_candidates(T.manifest(spark, sf))
 
 
-_ORIGIN_SQL = f"""origin AS (SELECT seq, iso, CASE seq % 13 WHEN 4 THEN 'Lossy/' WHEN 6 THEN 'old-NIND/' ELSE '' END
+_ORIGIN_SQL = f"""origin AS (SELECT seq, iso, CASE seq % 13 WHEN 4 THEN 'Lossy/' WHEN 6 THEN 'Own-Set/' ELSE '' END
   || filename AS path FROM manifest)"""
 
 
 def _origin(spark, sf):
-    folder = F.when(F.col("seq") % 13 == 4, "Lossy/").when(F.col("seq") % 13 == 6, "old-NIND/").otherwise("")
+    folder = F.when(F.col("seq") % 13 == 4, "Lossy/").when(F.col("seq") % 13 == 6, "Own-Set/").otherwise("")
     return T.manifest(spark, sf).select("seq", "iso", F.concat(folder, "filename").alias("path"))
 
 
@@ -95,21 +95,21 @@ def _origin(spark, sf):
     "path:s iso:i destination:s",
     f"""WITH {T.MANIFEST_SQL}, {_ORIGIN_SQL} SELECT path, iso,
       CASE WHEN lower(path) LIKE '%raf' THEN 'X-Trans' ELSE 'Bayer' END AS destination FROM origin
-    WHERE {_ext('path')} IN {_RAW_SQL} AND NOT contains(lower(path), 'nind')
+    WHERE {_ext('path')} IN {_RAW_SQL} AND NOT contains(lower(path), 'own-set')
       AND NOT contains(lower(path), 'lossy') AND iso <= 300""",
 )
 def select_low_iso(spark, sf):
-    return C.select_low_iso(_origin(spark, sf), max_iso=300)
+    return C.select_low_iso(_origin(spark, sf), max_iso=300, skip_sets=("own-set",))
 
 
 @query(
     "unknown_iso",
     "path:s",
     f"""WITH {T.MANIFEST_SQL}, {_ORIGIN_SQL} SELECT path FROM origin
-    WHERE {_ext('path')} IN {_RAW_SQL} AND NOT contains(lower(path), 'nind') AND iso IS NULL""",
+    WHERE {_ext('path')} IN {_RAW_SQL} AND NOT contains(lower(path), 'own-set') AND iso IS NULL""",
 )
 def unknown_iso(spark, sf):
-    return C.unknown_iso(_origin(spark, sf))
+    return C.unknown_iso(_origin(spark, sf), skip_sets=("own-set",))
 
 
 @query(
