@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pairlake.operators.results import best_step
 
-# Known tests and input kinds.
+# Known tests and input kinds. The last progressive test is named after the
+# dataset it runs on (see `known_tests`).
 TESTS = (
     "test_manproc",
     "test_manproc_hq",
@@ -21,11 +22,17 @@ TESTS = (
     "test_playraw",
     "test_manproc_playraw",
     "validate_and_test",
-    "test_progressive_rawnind",
     "test_progressive_manproc",
     "test_progressive_manproc_bostitch",
 )
 INPUTS = ("bayer", "prgb", "proc")
+
+
+def known_tests(dataset: str) -> tuple[str, ...]:
+    """All tests, with the progressive one over the named paired dataset."""
+    return (*TESTS, f"test_progressive_{dataset}")
+
+
 # Parts of test names without a denoising variant.
 NOT_FOR_DENOISE = ("manproc_playraw", "manproc_hq", "manproc_q99", "manproc_q995", "manproc_gt")
 # Seconds a run is given at each stage.

@@ -226,6 +226,7 @@ def density_histogram(spark, sf):
     return G.density_histogram(T.pairs(spark, sf), T.reserve(spark, sf))
 
 
+_TESTS = K.known_tests("paired")
 _MATRIX_MODELS = """typed AS (SELECT model || CASE position % 9 WHEN 4 THEN '_bm3d' WHEN 5 THEN '_preup' ELSE '' END
     AS model, CASE WHEN position % 3 = 1 THEN 'dc' ELSE 'denoise' END AS model_type, in_channels, processed_input
   FROM models)"""
@@ -235,7 +236,7 @@ inputs AS (SELECT *, CASE WHEN in_channels = 4 THEN 'bayer' WHEN coalesce(proces
 matrix AS (SELECT model, test, test || '_' || model_type || '_' || input || '2'
     || CASE WHEN input = 'bayer' THEN 'prgb' ELSE input END AS test_id,
     CASE WHEN test = 'test_manproc' AND (input <> 'bayer' OR contains(model, 'preup')) THEN 'cpu' ELSE 'gpu' END AS device
-  FROM inputs, (SELECT unnest([{", ".join(f"'{t}'" for t in K.TESTS)}]) AS test)
+  FROM inputs, (SELECT unnest([{", ".join(f"'{t}'" for t in _TESTS)}]) AS test)
   WHERE NOT (contains(test, 'progressive_manproc') AND model_type = 'dc')
     AND NOT (contains(model, 'bm3d') AND test NOT IN ('test_manproc', 'test_progressive_manproc'))
     AND NOT (model_type = 'denoise' AND regexp_matches(test, 'manproc_(playraw|hq|q99|gt)'))
@@ -249,7 +250,7 @@ def _matrix(spark, sf):
         "in_channels",
         "processed_input",
     )
-    return K.evaluation_matrix(typed, banned=["m13"])
+    return K.evaluation_matrix(typed, tests=_TESTS, banned=["m13"])
 
 
 @query("evaluation_matrix", "model:s test:s test_id:s device:s", f"WITH {_MATRIX_SQL} SELECT * FROM matrix")
