@@ -38,6 +38,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    """`local` and `local[n]`; `local-cluster` runs executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
@@ -47,7 +52,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     folder = named or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not _one_machine(context.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="pairlake-checkpoint-")
         context.setCheckpointDir(folder)
@@ -69,4 +74,4 @@ def shuffle_width(spark: SparkSession) -> int:
     """Shuffle partitions of the session; a local run needs no more than its cores."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     context = spark.sparkContext
-    return min(width, context.defaultParallelism) if context.master.startswith("local") else width
+    return min(width, context.defaultParallelism) if _one_machine(context.master) else width
