@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlake.llm import dartminhash, decontaminate, packing, quality, secrets
+from pairlake.llm import dartminhash, decontaminate, packing, quality, secrets, substrings
 from pairlake.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_documents(spark, sf_dir))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_documents(spark, sf_dir))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_documents(spark, sf_dir))
 
@@ -35,6 +39,6 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op5_pack, op6_secrets, op8_quality, op9_near_duplicates)
+    f.__name__: f for f in (op3_decontaminate, op5_pack, op6_secrets, op7_substrings, op8_quality, op9_near_duplicates)
 }
 ORACLES: dict[str, str] = {"op6_secrets": secrets.ORACLE, "op8_quality": quality.ORACLE}
