@@ -14,9 +14,9 @@ verified exactly on all their shingles, and classes are connected components of
 links. With 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6.
 
 No group is expanded into all its pairs. Equal texts collapse to one representative. In a
-band group every member is compared with two centres; only members that are still in
-another component than others of their group are compared further, first with one centre
-per component, then with each member of the other components.
+band group every member is compared with one centre; what members differ in from their centre
+then decides exactly which pairs outside the centre's component can still be links
+(`_unsettled`), and only those are compared.
 
 Defined results: null and wordless texts have no shingles and stand alone; repeated rows
 are copies (also under one doc_id); a null doc_id is carried as null and stands alone;
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlake.llm.common import GOLDEN, WordHash, as_bytes, bounded_batches, grams, mix, text_of
@@ -128,58 +128,102 @@ def signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sign, "doc_id bigint, key binary, bands array<bigint>")
 
 
-def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose weighted Jaccard similarity reaches the threshold."""
-    left = units.select(F.col("node").alias("u"), F.col("units").alias("a"))
-    right = units.select(F.col("node").alias("v"), F.col("units").alias("b"))
-    both = pairs.join(left, "u").join(right, "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    near = shared >= F.lit(SIMILARITY) * (F.size("a") + F.size("b") - shared)
-    return checkpointed(both.filter(near).select("u", "v"))
+def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """(node, centre) pairs with both sets of units as arrays `a` and `b`."""
+    left = units.select("node", F.col("units").alias("a"))
+    right = units.select(F.col("node").alias("centre"), F.col("units").alias("b"))
+    return pairs.join(left, "node").join(right, "centre")
+
+
+def _near(shared: Column, n: Column, m: Column) -> Column:
+    return shared >= F.lit(SIMILARITY) * (n + m - shared)
+
+
+def _stars(bands: DataFrame) -> DataFrame:
+    """(node, centre): every member of a band group with the group's centre.
+
+    The centre is the member with the largest groups over all its bands: of many edited
+    copies that is the least edited one.
+    """
+    groups = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    groups = checkpointed(groups.filter("n > 1"))
+    grouped = checkpointed(bands.join(groups, ["band", "key"]))
+    weight = checkpointed(grouped.groupBy("node").agg(F.sum("n").alias("weight")))
+    weighted = grouped.join(weight, "node")
+    centres = weighted.groupBy("band", "key").agg(F.min(F.struct(-F.col("weight"), F.col("node"))).alias("best"))
+    centres = checkpointed(centres.select("band", "key", F.col("best.node").alias("centre")))
+    return checkpointed(grouped.join(centres, ["band", "key"]).select("node", "centre").distinct())
+
+
+def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one star, in different components, that may still be links.
+
+    A member differs from its centre by added and by removed units. If y and z share no added
+    unit, they differ by at least added_y + added_z + |removed_y - removed_z|. So a link
+    either shares an added unit, or keeps that sum within `(1 - s) / (1 + s)` of both sizes.
+    The second kind is found on the distinct (added, removed, size) figures of a star.
+    Only members outside their centre's component can have links that the star lacks.
+    """
+    of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("_home"))
+    rows = stars.join(label, "node", "left").join(of_centre, "centre", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "node"))
+    rows = rows.withColumn("lone", F.col("component") != F.coalesce("_home", "centre")).drop("_home")
+    open_stars = rows.filter("lone").select("centre").distinct()
+    rows = checkpointed(rows.join(checkpointed(open_stars), "centre"))
+    apart = (F.col("y.component") != F.col("z.component")) & (~F.col("z.lone") | (F.col("y.node") < F.col("z.node")))
+    # Links of the first kind.
+    tokens = rows.select("centre", "node", "component", "lone", F.explode("added").alias("unit"))
+    tokens = checkpointed(tokens)
+    same = (F.col("y.centre") == F.col("z.centre")) & (F.col("y.unit") == F.col("z.unit"))
+    first = tokens.filter("lone").alias("y").join(tokens.alias("z"), same & apart)
+    first = first.select(F.col("y.node").alias("u"), F.col("z.node").alias("v"))
+    # Links of the second kind.
+    figures = ["centre", "lone", "n_added", "n_removed", "n"]
+    distinct = checkpointed(rows.select(*figures).distinct())
+    slack = F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (F.col("y.n") + F.col("z.n")) + 1e-9
+    least = F.col("y.n_added") + F.col("z.n_added") + F.abs(F.col("y.n_removed") - F.col("z.n_removed"))
+    meet = distinct.filter("lone").alias("y").join(
+        distinct.alias("z"), (F.col("y.centre") == F.col("z.centre")) & (least <= slack)
+    )
+    meet = checkpointed(
+        meet.select("y.centre", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yz" for c in figures[1:]])
+    )
+    members = rows.select(*figures, "node", "component")
 
+    def side(name: str) -> DataFrame:
+        return members.select("centre", *[F.col(c).alias(f"{name}_{c}") for c in [*figures[1:], "node", "component"]])
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    second = meet
+    for name in "yz":
+        second = second.join(side(name), ["centre", *[f"{name}_{c}" for c in figures[1:]]])
+    second = second.filter("y_component <> z_component AND (NOT z_lone OR y_node < z_node)")
+    second = second.select(F.col("y_node").alias("u"), F.col("z_node").alias("v"))
+    pairs = first.unionByName(second)
+    return checkpointed(pairs.select(F.least("u", "v").alias("node"), F.greatest("u", "v").alias("centre")).distinct())
 
 
 def links(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified links (u, v) that span the same components as all links.
+    """Verified links (u, v) that span the same components as all links of the band groups.
 
     `members` has (node, bands) for each distinct text.
     """
-    band = members.select("node", F.posexplode("bands").alias("band", "key"))
-    groups = band.groupBy("band", "key").agg(
-        F.min("node").alias("first"), F.max(F.struct(F.xxhash64("node"), "node")).alias("other"), F.count(F.lit(1)).alias("n")
-    )
-    groups = checkpointed(groups.filter("n > 1").select("band", "key", "first", F.col("other.node").alias("other")))
-    grouped = checkpointed(band.join(groups, ["band", "key"]))
-    wanted = checkpointed(grouped.select("node").distinct())
+    stars = _stars(members.select("node", F.posexplode("bands").alias("band", "key")))
+    wanted = checkpointed(stars.select("node").distinct())
     texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text"))
     units = texts.join(wanted, "node", "left_semi").mapInArrow(_expand, "node bigint, units array<bigint>")
-    units = checkpointed(units)
-    starred = grouped.select("node", F.explode(F.array_distinct(F.array("first", "other"))).alias("centre"))
-    tested = checkpointed(_pairs(starred.select(F.col("node").alias("u"), F.col("centre").alias("v"))))
-    found = _verified(tested, units)
-    # What the two centres did not settle: one centre per component of a group, then each member.
-    for whole in (False, True):
-        label = checkpointed(components(found))
-        open_rows = grouped.select("band", "key", "node").join(label, "node", "left")
-        open_rows = open_rows.withColumn("component", F.coalesce("component", "node"))
-        mixed = open_rows.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = checkpointed(mixed.filter("low < high").select("band", "key"))
-        open_rows = checkpointed(open_rows.join(mixed, ["band", "key"]))
-        others = open_rows if whole else checkpointed(
-            open_rows.groupBy("band", "key", "component").agg(F.min("node").alias("node"))
-        )
-        others = others.select("band", "key", F.col("node").alias("centre"), F.col("component").alias("theirs"))
-        met = open_rows.join(others, ["band", "key"]).filter("component < theirs" if whole else "component <> theirs")
-        more = _pairs(met.select(F.col("node").alias("u"), F.col("centre").alias("v")))
-        more = checkpointed(more.join(tested, ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        found = found.unionByName(_verified(more, units))
-    return found
+    units = checkpointed(units.dropDuplicates(["node"]))
+    both = _compared(stars.filter("node <> centre"), units)
+    both = both.select("node", "centre", F.size("a").alias("n"), F.size("b").alias("m"), F.array_except("a", "b").alias("added"))
+    both = both.withColumn("n_added", F.size("added")).withColumn("n_removed", F.col("m") - F.col("n") + F.col("n_added"))
+    stars = checkpointed(both)
+    shared = F.col("n") - F.col("n_added")
+    found = checkpointed(stars.filter(_near(shared, F.col("n"), F.col("m"))).select(F.col("node").alias("u"), F.col("centre").alias("v")))
+    several = checkpointed(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("centre"))
+    more = _unsettled(stars.join(several, "centre", "left_semi"), checkpointed(components(found)))
+    both = _compared(more, units)
+    shared = F.size(F.array_intersect("a", "b"))
+    late = both.filter(_near(shared, F.size("a"), F.size("b"))).select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    return found.unionByName(checkpointed(late))
 
 
 def classes(docs: DataFrame) -> DataFrame:

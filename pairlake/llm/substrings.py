@@ -1,7 +1,7 @@
 """Removal of repeated word sequences by super-k-mer partitioning.
 
 A window is 13 consecutive words of one document. Each window has a minimiser: the smallest
-hash among its three-word grams. Consecutive windows with one minimiser travel together as
+hash among its two-word grams. Consecutive windows with one minimiser travel together as
 one packed string (a super-k-mer) to the bucket of that minimiser, so every occurrence of a
 window meets there. A bucket numbers its words exactly, sorts its windows and gives each the
 smallest doc_id in which it starts; a window is removed in every document above that.
@@ -35,7 +35,7 @@ from pairlake.llm.common import GOLDEN, WordHash, as_bytes, bounded_batches, gra
 from pairlake.session import shuffle_width
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
 #: Documents whose grams are counted to find frequent ones, and the share that makes one frequent.
 SAMPLE_DOCS = 2000
 FREQUENT = 0.002
@@ -46,6 +46,8 @@ PACK_DOCS = 4000
 
 _LATE = np.uint64(1 << 63)
 _ABSENT = np.iinfo(np.int64).max
+#: Level of the packed batches: they are the largest part of what is shuffled.
+LEVEL = 6
 _CODEC = "zstd"
 
 
@@ -67,7 +69,7 @@ def super_kmers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(obj: bytes) -> bytes:
-    return len(obj).to_bytes(8, "little") + pa.compress(obj, codec=_CODEC, asbytes=True)
+    return len(obj).to_bytes(8, "little") + pa.Codec(_CODEC, compression_level=LEVEL).compress(obj, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> bytes:
