@@ -161,7 +161,10 @@ class Pieces:
             moved = np.cumsum(stay) - 1
             at = moved[at]
             owner, symbol, rank, target, last = owner[stay], symbol[stay], rank[stay], target[stay], last[stay]
-            changed = np.unique(np.r_[at, at[at > 0] - 1])
+            touched = np.zeros(len(symbol), bool)
+            touched[at] = True
+            touched[at[at > 0] - 1] = True
+            changed = np.flatnonzero(touched)
             following = np.minimum(changed + 1, len(symbol) - 1)
             rank[changed], target[changed] = self.pair(symbol[changed], symbol[following])
             rank[changed[last[changed]]] = _NO

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlake.llm import dartminhash, decontaminate, packing, quality, secrets, substrings
+from pairlake.llm import dartminhash, decontaminate, packing, piececount, quality, secrets, substrings, tokenfiles
 from pairlake.llm.common import table
 
 
@@ -14,6 +14,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piececount.digest(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +48,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.digest(_documents(spark, sf_dir))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.digest(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op5_pack, op6_secrets, op7_substrings, op8_quality, op9_near_duplicates)
+    f.__name__: f
+    for f in (
+        op2_token_counts,
+        op3_decontaminate,
+        op5_pack,
+        op6_secrets,
+        op7_substrings,
+        op8_quality,
+        op9_near_duplicates,
+        op10_token_files,
+    )
 }
 ORACLES: dict[str, str] = {"op6_secrets": secrets.ORACLE, "op8_quality": quality.ORACLE}

@@ -18,6 +18,7 @@ without rows; texts are encoded whole; only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -48,6 +49,8 @@ class Chunks(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        # A task has one core; threads of the library would only add to its time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
