@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlake.llm import dartminhash, decontaminate, packing, piececount, quality, secrets, substrings, tokenfiles
+from pairlake.llm import (
+    dartminhash,
+    decontaminate,
+    extract,
+    packing,
+    piececount,
+    quality,
+    secrets,
+    substrings,
+    tokenfiles,
+    toxicity,
+)
 from pairlake.llm.common import table
 
 
@@ -20,6 +31,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececount.digest(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
@@ -28,6 +43,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
@@ -55,8 +74,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_extract,
         op2_token_counts,
         op3_decontaminate,
+        op4_toxicity,
         op5_pack,
         op6_secrets,
         op7_substrings,
