@@ -129,8 +129,9 @@ def host_rates(rows: DataFrame, host: str) -> DataFrame:
 def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: bool = True) -> DataFrame:
     """`docs` with the measured columns, `_q_base_failed`, `_q_host_rate`, `_q_bad_host` and `_q_kept`.
 
-    With `carry` false the text is left behind once it is measured. The measured rows are
-    written once; host statistics and the final join read them from there. The host table
+    With `carry` false the text is left behind once it is measured, and the measured rows are
+    written once for the host statistics and the final join. With `carry` true both measure
+    the texts: that costs less than a second copy of them in the checkpoint folder. The host table
     is broadcast if its rows are counted to be few; beyond that the join shuffles both
     written tables, where adaptive execution splits a hot host.
     """
@@ -143,7 +144,8 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", carry: bool
     failed = rules()
     points = sum((F.when(failed[name], F.lit(n)).otherwise(F.lit(0)) for name, n in POINTS.items()), F.lit(0))
     rows = rows.withColumn("_q_base_failed", base_failed()).withColumn("_q_points", points)
-    rows = checkpointed(rows.withColumn("_q_failed", F.col("_q_base_failed") | (F.col("_q_points") > 0)))
+    rows = rows.withColumn("_q_failed", F.col("_q_base_failed") | (F.col("_q_points") > 0))
+    rows = rows if carry else checkpointed(rows)
     hosts = checkpointed(host_rates(rows, host))
     hosts = F.broadcast(hosts) if within_rows(hosts) else hosts
     joined = rows.join(hosts, F.col(host).eqNullSafe(F.col("_q_host")), "left").drop("_q_host")
