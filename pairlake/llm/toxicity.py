@@ -59,14 +59,17 @@ _LETTERS = str.maketrans(
     _LOOKALIKES | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)} | dict.fromkeys("​‌‍⁠﻿­", None)
 )
 _SUBSTITUTES = str.maketrans(_SIGNS)
-#: A word that mixes letters with digits or signs in front of letters.
-_MIXED = re.compile(r"[^\W\d_]*(?:[013457@$]+[^\W\d_]+)+")
+#: Digits and signs in front of a letter stand for letters.
+_MIXED = re.compile(r"[013457@$]+(?=[^\W\d_])")
+_FOLDABLE = re.compile("[" + "".join(map(chr, _LETTERS)) + "]")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def folded(text: str) -> list[str]:
     """The words of the folded text."""
-    text = text.lower().translate(_LETTERS)
+    text = text.lower()
+    if not text.isascii() and _FOLDABLE.search(text):
+        text = text.translate(_LETTERS)
     text = _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTES), text)
     return _WORD.findall(text)
 
