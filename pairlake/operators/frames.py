@@ -161,7 +161,10 @@ def mean_rgb(tiles: DataFrame) -> DataFrame:
 
 
 def gray_world(tiles: DataFrame) -> DataFrame:
-    """Scale each channel to the mean of the three channel means (of clipped samples)."""
+    """Scale each channel to the mean of the three channel means (of clipped samples).
+
+    A channel whose clipped samples are all 0 has no gain and stays as it is.
+    """
 
     def clipped(v: Column) -> Column:
         return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
@@ -169,7 +172,7 @@ def gray_world(tiles: DataFrame) -> DataFrame:
     sums = channel_sums(tiles, clipped)
     means = [F.col(f"s{i}") / F.col("n") for i in range(3)]
     target = reduce(lambda a, b: a + b, means) / F.lit(3.0)
-    gains = sums.select("image_id", *[(target / means[i]).alias(f"g{i}") for i in range(3)])
+    gains = sums.select("image_id", *[F.coalesce(F.try_divide(target, means[i]), F.lit(1.0)).alias(f"g{i}") for i in range(3)])
 
     def times(gain: Column):
         return lambda v: v * gain
@@ -179,7 +182,10 @@ def gray_world(tiles: DataFrame) -> DataFrame:
 
 
 def log_tonemap(tiles: DataFrame, epsilon: float = 0.001) -> DataFrame:
-    """Logarithmic curve on luma, normalised to the image's own range; chroma stays."""
+    """Logarithmic curve on luma, normalised to the image's own range; chroma stays.
+
+    The luma of an image with one luma everywhere becomes 0.
+    """
     from pairlake.functions import colour as K
 
     shown = tiles.withColumns({"_r": _plane(0), "_g": _plane(1), "_b": _plane(2)}).withColumn(
@@ -198,10 +204,11 @@ def log_tonemap(tiles: DataFrame, epsilon: float = 0.001) -> DataFrame:
     base = F.log(F.greatest(F.lit(1.0) + F.col("hi") + eps, eps))
 
     def curve(y: Column) -> Column:
-        return F.log(F.greatest(F.lit(1.0) + y, eps)) / base
+        return F.try_divide(F.log(F.greatest(F.lit(1.0) + y, eps)), base)
 
     def mapped(y: Column) -> Column:
-        return (curve(y) - curve(F.col("lo"))) / (curve(F.col("hi")) - curve(F.col("lo")))
+        reach = curve(F.col("hi")) - curve(F.col("lo"))
+        return F.coalesce(F.try_divide(curve(y) - curve(F.col("lo")), reach), F.lit(0.0))
 
     joined = shown.join(span, "image_id")
     rgb = F.transform(

@@ -214,7 +214,10 @@ def score_histogram(pairs: DataFrame, start: float = 0.4, end: float = 1.0, widt
 
 
 def density_histogram(pairs: DataFrame, reserve: DataFrame | Sequence[str], bins: int = 50) -> DataFrame:
-    """Equal bins over [min, max] of reserved scenes' scores, as densities."""
+    """Equal bins over [min, max] of reserved scenes' scores, as densities.
+
+    If all scores are equal, the range is widened by 0.5 on both sides.
+    """
     scores = reserve_split(pairs, reserve, test=True).select(
         F.coalesce("rgb_msssim_score", F.lit(0.0)).alias("score")
     )
@@ -222,12 +225,13 @@ def density_histogram(pairs: DataFrame, reserve: DataFrame | Sequence[str], bins
     span = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("score").alias("n")).first()
     if span.n == 0:
         raise ValueError("no reserved scene has a pair")
-    width = (span.hi - span.lo) / bins
-    place = F.least(F.floor((F.col("score") - span.lo) / (span.hi - span.lo) * bins), F.lit(bins - 1))
+    lo, hi = (span.lo, span.hi) if span.lo < span.hi else (span.lo - 0.5, span.hi + 0.5)
+    width = (hi - lo) / bins
+    place = F.least(F.floor((F.col("score") - lo) / (hi - lo) * bins), F.lit(bins - 1))
     counts = scores.groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = pairs.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return grid.join(counts, "bin", "left").select(
         "bin",
-        (F.lit(span.lo) + F.col("bin") * width).alias("edge"),
+        (F.lit(lo) + F.col("bin") * width).alias("edge"),
         (F.coalesce("n", F.lit(0)) / F.lit(span.n * width)).alias("density"),
     )

@@ -6,6 +6,8 @@ which Spark adds up per pair.
 
 from __future__ import annotations
 
+from itertools import count
+
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
@@ -117,12 +119,17 @@ def _best_shift(losses: DataFrame) -> DataFrame:
 
 
 def align_exhaustive(pairs: DataFrame, tiles: DataFrame, reach: int, size: int = TILE) -> DataFrame:
-    """Best shift among all with |dy|, |dx| <= reach, after matching the gain."""
+    """Best shift among all with |dy|, |dx| <= reach, after matching the gain.
+
+    `on_edge` marks pairs whose best shift lies on the border of the window: a better one
+    may lie outside, which a wider window or `align` finds.
+    """
     # One row per pair; used three times below.
     gained = checkpointed(gain(pairs.select(*PAIR), tiles))
     tiled = pair_tiles(gained, with_halo(tiles, 0, size), with_halo(tiles, reach, size))
     best = _best_shift(shift_losses(tiled, _window(reach)))
-    return gained.withColumnRenamed("gain", "rgb_gain").join(best, PAIR)
+    edge = F.greatest(F.abs("dy"), F.abs("dx")) == reach
+    return gained.withColumnRenamed("gain", "rgb_gain").join(best.withColumn("on_edge", edge), PAIR)
 
 
 def align(
@@ -130,7 +137,6 @@ def align(
     tiles: DataFrame,
     size: int = TILE,
     max_shift: int = MAX_SHIFT,
-    max_rounds: int = 256,
 ) -> DataFrame:
     """Local search: from (0, 0) move to the best shift of the 7x7 neighbourhood until none
     is better, the loss is 0 or |dy| + |dx| reaches `max_shift`.
@@ -138,8 +144,7 @@ def align(
     All pairs advance together. A round reads only the tiles of pairs still moving, with
     borders only as wide as their shifts need. The current shift is the best of all seen,
     so an older shift can never win later and the state is one row per pair, checkpointed
-    after each round. A pair that ran out of
-    rounds is reported with `moving` true.
+    after each round. A moving pair's loss falls strictly, so the rounds end by themselves.
     """
     gained = checkpointed(gain(pairs.select(*PAIR), tiles))
     clean = with_halo(tiles, 0, size)
@@ -152,7 +157,7 @@ def align(
             F.try_divide("gt_sum", "f_sum").alias("aligned_gain"), (F.col("loss") > 0).alias("moving"),
         )
     )
-    for turn in range(max_rounds):
+    for turn in count():
         active = state.filter("moving")
         span = active.agg(
             F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("dy"), F.abs("dx"))).alias("far")

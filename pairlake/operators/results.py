@@ -252,7 +252,10 @@ def load_metric_key(models: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def losses_to_metrics(results: DataFrame) -> DataFrame:
-    """Add `msssim` = 1 - `msssim_loss` and cut transfer-function suffixes off metric names."""
+    """Add `msssim` = 1 - `msssim_loss` and cut transfer-function suffixes off metric names.
+
+    Names that are cut to one name give one row: the value of the last of them in order.
+    """
     is_loss = F.col("metric").contains("msssim_loss")
     entries = F.when(
         is_loss,
@@ -265,9 +268,12 @@ def losses_to_metrics(results: DataFrame) -> DataFrame:
         ),
     ).otherwise(F.array(F.struct(F.col("metric"), F.col("value"))))
     kept = [F.col(c) for c in results.columns if c not in ("metric", "value")]
-    return results.select(*kept, F.explode(entries).alias("e")).select(
-        *kept, _suffix_cut(F.col("e.metric")).alias("metric"), F.col("e.value").alias("value")
+    named = results.select(*kept, F.explode(entries).alias("e")).select(
+        *kept, _suffix_cut(F.col("e.metric")).alias("metric"), "e"
     )
+    last = F.max(F.struct("e.metric", "e.value")).alias("last")
+    rows = named.groupBy(*[c for c in results.columns if c not in ("metric", "value")], "metric").agg(last)
+    return rows.select(*kept, "metric", F.col("last.value").alias("value"))
 
 
 def derive_variants(models: DataFrame, tag: str, prefix: str, flag: str) -> DataFrame:
@@ -426,9 +432,10 @@ def latest_iteration(chain: DataFrame) -> DataFrame:
 
     `chain` has (model, has_metric, has_file). The walk goes on while the next member
     exists and has its metric, and answers the last member on the way whose best file exists.
+    Models with names of another form are no members.
     """
     index = F.when(F.col("model").endswith("_"), F.lit(0)).otherwise(
-        F.regexp_extract("model", r"_-(\d{1,2})$", 1).cast("int")
+        F.regexp_extract("model", r"_-(\d{1,2})$", 1).try_cast("int")
     )
     members = chain.select(
         F.regexp_replace("model", r"_-\d{1,2}$", "_").alias("base"),

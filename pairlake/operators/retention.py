@@ -51,7 +51,7 @@ def _any_contained(name: Column, texts: Sequence[str]) -> Column:
 
 def evaluation_matrix(
     models: DataFrame,
-    tests: Sequence[str] = TESTS,
+    tests: Sequence[str],
     inputs: Sequence[str] = INPUTS,
     banned: Sequence[str] = (),
     allowed: Sequence[str] = (),
@@ -60,7 +60,7 @@ def evaluation_matrix(
     """The (model, test) evaluations that apply, with their test id and device.
 
     `models` has model, model_type (`dc` or `denoise`), in_channels, processed_input.
-    The tests are generated per model from the short parameter list.
+    The tests (`known_tests(dataset)` for all) are generated per model from the short list.
     """
     model, test = F.col("model"), F.col("test")
     rows = models.filter(~_any_contained(model, banned))

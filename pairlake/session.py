@@ -21,6 +21,14 @@ SETTINGS = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings to a session that a cluster brought; call it before any query."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own session."""
     builder = (

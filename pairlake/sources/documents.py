@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlake.operators.batches import map_rows
 
-RESULT_LOG = "map<string, map<string, double>>"
+TEXTS = "map<string, string>"
 
 
 def parse_descriptors(items: DataFrame, ddl: str) -> DataFrame:
@@ -36,17 +36,28 @@ def read_descriptors(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return parse_descriptors(items.filter(F.trim("item") != ""), ddl)
 
 
+def _result_entries(docs: DataFrame) -> DataFrame:
+    """(model, step, metric, raw) of JSON result logs; `raw` is the stored value's text."""
+    steps = docs.select("model", F.explode(F.from_json("doc", TEXTS)).alias("step", "metrics"))
+    steps = steps.select("model", F.col("step").try_cast("bigint").alias("step"), F.from_json("metrics", TEXTS).alias("m"))
+    return steps.filter("step >= 0").select("model", "step", F.explode("m").alias("metric", "raw"))
+
+
 def parse_results(docs: DataFrame) -> DataFrame:
     """JSON result logs (model, doc) to (model, step, metric, value).
 
     Top-level keys that are not steps (the stored best_* summaries) are left out; best
-    steps are derived again where needed.
+    steps are derived again where needed. Each value is read on its own: lists and texts
+    are left to `rejected_results`, and the rest of their log stays.
     """
-    steps = docs.select("model", F.explode(F.from_json("doc", RESULT_LOG)).alias("step", "metrics"))
-    return (
-        steps.filter(F.col("step").rlike(r"^\d+$"))
-        .select("model", F.col("step").cast("bigint").alias("step"), F.explode("metrics").alias("metric", "value"))
-    )
+    value = F.col("raw").try_cast("double")
+    entries = _result_entries(docs).withColumn("value", value)
+    return entries.filter("raw IS NULL OR value IS NOT NULL").select("model", "step", "metric", "value")
+
+
+def rejected_results(docs: DataFrame) -> DataFrame:
+    """(model, step, metric, raw) of logged values that are not numbers."""
+    return _result_entries(docs).filter(F.col("raw").isNotNull() & F.col("raw").try_cast("double").isNull())
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
