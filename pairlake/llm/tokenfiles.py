@@ -60,22 +60,14 @@ class Chunks(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[str] = []
         self.flat = np.empty(1 << 16, np.int32)
         self.edge = np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = len(self)
-        self.new.append(chunk)
-        return number
-
-    def learn(self) -> None:
-        """Ids of the chunks that were met since the last time."""
-        new, self.new = self.new, []
+    def learn(self, new: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(found), np.int32)
-        count = len(self) - len(new)
+        count = len(self)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while count + len(new) + 1 > len(self.edge):
@@ -84,16 +76,18 @@ class Chunks(dict):
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.edge[count + 1 : count + len(new) + 1] = self.used + np.cumsum(sizes)
         self.used += len(flat)
+        self.update(zip(new, range(count, count + len(new))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the offsets of the texts."""
         if len(self) > REMEMBERED:
             self.forget()
         cuts = [[t] if _DIFFERENT.search(t) else _CHUNK.findall(t) for t in texts]
+        new = set(chain.from_iterable(cuts)).difference(self)
+        if new:
+            self.learn(list(new))
         pieces = np.fromiter(map(len, cuts), np.int64, len(cuts))
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(cuts)), np.int64, int(pieces.sum()))
-        if self.new:
-            self.learn()
         low = self.edge[number]
         size = self.edge[number + 1] - low
         text = np.repeat(np.arange(len(texts)), pieces)
