@@ -8,7 +8,8 @@ doc_id order; the ids before a file are the sum over the files before it.
 
 Encoding works on chunks: a text is cut before white space that follows other characters.
 The tokenizer's own cuts include these places, so a chunk's ids do not depend on its
-surroundings, and the tokenizer library encodes each distinct chunk of a task once. A text with
+surroundings, and the tokenizer library encodes each distinct chunk of a task once: chunks are
+joined for it, and the bytes that each id stands for tell them apart again. A text with
 control characters on which the two definitions of white space differ is encoded whole.
 
 Defined results: null and empty texts get the end id alone; rows with equal doc_id follow each
@@ -18,6 +19,7 @@ without rows; texts are encoded whole; only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -40,6 +42,9 @@ PAGE = 256 << 10
 REMEMBERED = 1_000_000
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
+_STARTS = frozenset(" \n\t\r")
+#: Chunks that are encoded as one string.
+JOINED = 1000
 #: Characters that count as white space in one of the two pattern engines only.
 _DIFFERENT = re.compile("[\x1c-\x1f\x85]")
 
@@ -56,6 +61,15 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        split = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+            raise ValueError("a byte-level BPE tokenizer without normalisation and prefix space is needed")
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id; a symbol of the vocabulary stands for one byte.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = list(map(len, vocabulary))
         self.forget()
 
     def forget(self) -> None:
@@ -64,16 +78,35 @@ class Chunks(dict):
         self.edge = np.zeros(1 << 12, np.int64)
         self.used = 0
 
+    def _joins(self, chunk: str) -> bool:
+        """Whether the tokenizer cuts at both ends of the chunk, wherever it stands."""
+        return chunk[:1] in _STARTS and not chunk[-1:].isspace() and not any(s in chunk for s in self.special)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(found), np.int32)
+        joins = list(map(self._joins, new))
+        alone = [c for c, j in zip(new, joins) if not j]
+        joined = [c for c, j in zip(new, joins) if j]
+        lumps = self._encoded(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])
+        flat = np.fromiter(chain.from_iterable(lumps), np.int32)
+        chunk_ends = np.cumsum(np.fromiter((len(c.encode()) for c in joined), np.int64, len(joined)))
+        id_ends = np.cumsum(self.width[flat])
+        at = np.searchsorted(id_ends, chunk_ends)
+        if not np.array_equal(id_ends[at], chunk_ends):
+            raise AssertionError("a token spans two chunks")
+        sizes = np.diff(np.r_[0, at + 1])
+        found = self._encoded(alone)
+        flat = np.r_[flat, np.fromiter(chain.from_iterable(found), np.int32)]
+        sizes = np.r_[sizes, np.fromiter(map(len, found), np.int64, len(found))]
+        new = joined + alone
         count = len(self)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while count + len(new) + 1 > len(self.edge):
             self.edge = np.resize(self.edge, 2 * len(self.edge))
         self.flat[self.used : self.used + len(flat)] = flat
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.edge[count + 1 : count + len(new) + 1] = self.used + np.cumsum(sizes)
         self.used += len(flat)
         self.update(zip(new, range(count, count + len(new))))
