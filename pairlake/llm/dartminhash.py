@@ -144,25 +144,28 @@ def _stars(bands: DataFrame) -> DataFrame:
     """(node, centre): every member of a band group with the group's centre.
 
     The centre is the member with the largest groups over all its bands: of many edited
-    copies that is the least edited one.
+    copies that is the least edited one. A node's groups travel as one row (one entry per
+    band at most), so its weight needs no join.
     """
     groups = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
     groups = checkpointed(groups.filter("n > 1"))
-    grouped = checkpointed(bands.join(groups, ["band", "key"]))
-    weight = checkpointed(grouped.groupBy("node").agg(F.sum("n").alias("weight")))
-    weighted = grouped.join(weight, "node")
-    centres = weighted.groupBy("band", "key").agg(F.min(F.struct(-F.col("weight"), F.col("node"))).alias("best"))
-    centres = checkpointed(centres.select("band", "key", F.col("best.node").alias("centre")))
+    own = bands.join(groups, ["band", "key"]).groupBy("node")
+    own = checkpointed(own.agg(F.sum("n").alias("weight"), F.collect_list(F.struct("band", "key")).alias("groups")))
+    grouped = own.select("node", "weight", F.inline("groups"))
+    centres = grouped.groupBy("band", "key").agg(F.min(F.struct(-F.col("weight"), F.col("node"))).alias("best"))
+    centres = centres.select("band", "key", F.col("best.node").alias("centre"))
     return checkpointed(grouped.join(centres, ["band", "key"]).select("node", "centre").distinct())
 
 
 def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (u, v) of one star, in different components, that may still be links.
 
-    A member differs from its centre by added and by removed units. If y and z share no added
-    unit, they differ by at least added_y + added_z + |removed_y - removed_z|. So a link
-    either shares an added unit, or keeps that sum within `(1 - s) / (1 + s)` of both sizes.
-    The second kind is found on the distinct (added, removed, size) figures of a star.
+    A member differs from its centre by added and by removed units, so two members y and z
+    differ by at least |added_y - added_z| + |removed_y - removed_z|; if they share no added
+    unit, by at least added_y + added_z + |removed_y - removed_z|. A link keeps these sums
+    within `(1 - s) / (1 + s)` of both sizes. The distinct (added, removed, size) figures of
+    a star tell which members can meet at all (`near`) and which without a shared added unit
+    (`free`); the others of `near` are joined on their added units.
     Only members outside their centre's component can have links that the star lacks.
     """
     of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("_home"))
@@ -171,30 +174,37 @@ def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     rows = rows.withColumn("lone", F.col("component") != F.coalesce("_home", "centre")).drop("_home")
     open_stars = rows.filter("lone").select("centre").distinct()
     rows = checkpointed(rows.join(checkpointed(open_stars), "centre"))
-    apart = (F.col("y.component") != F.col("z.component")) & (~F.col("z.lone") | (F.col("y.node") < F.col("z.node")))
-    # Links of the first kind.
-    tokens = rows.select("centre", "node", "component", "lone", F.explode("added").alias("unit"))
-    tokens = checkpointed(tokens)
-    same = (F.col("y.centre") == F.col("z.centre")) & (F.col("y.unit") == F.col("z.unit"))
-    first = tokens.filter("lone").alias("y").join(tokens.alias("z"), same & apart)
-    first = first.select(F.col("y.node").alias("u"), F.col("z.node").alias("v"))
-    # Links of the second kind.
     figures = ["centre", "lone", "n_added", "n_removed", "n"]
-    distinct = checkpointed(rows.select(*figures).distinct())
-    slack = F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (F.col("y.n") + F.col("z.n")) + 1e-9
-    least = F.col("y.n_added") + F.col("z.n_added") + F.abs(F.col("y.n_removed") - F.col("z.n_removed"))
-    meet = distinct.filter("lone").alias("y").join(
-        distinct.alias("z"), (F.col("y.centre") == F.col("z.centre")) & (least <= slack)
-    )
-    meet = checkpointed(
-        meet.select("y.centre", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yz" for c in figures[1:]])
-    )
+    y, z = ({c: F.col(f"{side}.{c}") for c in [*figures, "k", "node", "component", "unit"]} for side in "yz")
+    slack = F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (y["n"] + z["n"]) + 1e-9
+    removed = F.abs(y["n_removed"] - z["n_removed"])
+    apart = F.abs(y["n_added"] - z["n_added"]) + removed <= slack
+    other = (y["component"] != z["component"]) & (~z["lone"] | (y["node"] < z["node"]))
+
+    distinct = checkpointed(rows.groupBy(*figures).agg(F.count(F.lit(1)).alias("k")))
+    # A member is no partner of its own.
+    alone = (y["k"] == 1) & z["lone"] & (y["n_added"] == z["n_added"]) & (y["n_removed"] == z["n_removed"]) & (y["n"] == z["n"])
+    near = distinct.filter("lone").alias("y").join(distinct.alias("z"), (y["centre"] == z["centre"]) & apart & ~alone)
+    free = y["n_added"] + z["n_added"] + removed <= slack
+    near = near.select("y.centre", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yz" for c in figures[1:]], free.alias("free"))
+    near = checkpointed(near)
+
+    def tokens(side: str) -> DataFrame:
+        """The added units of the members that are near another one."""
+        wanted = near.select("centre", *[F.col(f"{side}_{c}").alias(c) for c in figures[1:]]).distinct()
+        met = rows.join(wanted, figures, "left_semi")
+        return checkpointed(met.select(*figures, "node", "component", F.explode("added").alias("unit")))
+
+    same = (y["centre"] == z["centre"]) & (y["unit"] == z["unit"])
+    first = tokens("y").alias("y").join(tokens("z").alias("z"), same & apart & other)
+    first = first.select(F.col("y.node").alias("u"), F.col("z.node").alias("v"))
+
     members = rows.select(*figures, "node", "component")
 
     def side(name: str) -> DataFrame:
         return members.select("centre", *[F.col(c).alias(f"{name}_{c}") for c in [*figures[1:], "node", "component"]])
 
-    second = meet
+    second = near.filter("free").drop("free")
     for name in "yz":
         second = second.join(side(name), ["centre", *[f"{name}_{c}" for c in figures[1:]]])
     second = second.filter("y_component <> z_component AND (NOT z_lone OR y_node < z_node)")
