@@ -10,7 +10,8 @@ Encoding works on chunks: a text is cut before white space that follows other ch
 The tokenizer's own cuts include these places, so a chunk's ids do not depend on its
 surroundings, and the tokenizer library encodes each distinct chunk of a task once: chunks are
 joined for it, and the bytes that each id stands for tell them apart again. A text with
-control characters on which the two definitions of white space differ is encoded whole.
+control characters on which the two definitions of white space differ, or with special strings, is
+encoded whole.
 
 Defined results: null and empty texts get the end id alone; rows with equal doc_id follow each
 other by a hash of the text; null doc_ids come first; an empty table gives files
@@ -24,8 +25,8 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,43 @@ from pairlake.session import checkpoint_folder, shuffle_width
 END = 0
 ROW_GROUP = 32 << 20
 PAGE = 256 << 10
+#: First character of a key that is a chunk as it is; texts that hold it are one chunk.
+MARK = "\x1c"
 #: Distinct chunks whose ids a task remembers.
 REMEMBERED = 1_000_000
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
-_STARTS = frozenset(" \n\t\r")
+_LONG_RUN = re.compile(r"\s\s(?:\s|\Z)")
 #: Chunks that are encoded as one string.
 JOINED = 1000
 #: Characters that count as white space in one of the two pattern engines only.
 _DIFFERENT = re.compile("[\x1c-\x1f\x85]")
 
 
+def chunk_keys(text: str, special: Sequence[str] = ()) -> list[str]:
+    """The chunks of a text, each by its key: `_text_of_key` gives the chunk back.
+
+    A cut before white space is a cut of the tokenizer unless white space stands on both sides
+    of the character it precedes; only runs of three, or of two at the end, have such places.
+    A special string ends the text for the tokenizer, so texts that hold one are not cut.
+    """
+    if _DIFFERENT.search(text) or any(s in text for s in special):
+        return [MARK + text]
+    if not _LONG_RUN.search(text):
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = keys[0] if keys[0][:1] == "\n" else MARK + keys[0]
+        return keys
+    chunks = _CHUNK.findall(text)
+    return [c[1:] if c[0] == " " and c[1:2] != "\n" else c if c[0] == "\n" else MARK + c for c in chunks]
+
+
+def _text_of_key(key: str) -> str:
+    """Keys leave out a chunk's leading space; marked ones stand for the rest of the key as it is."""
+    return key[1:] if key[:1] == MARK else key if key[:1] == "\n" else " " + key
+
+
 class Chunks(dict):
-    """Numbers of chunks, with their ids in flat arrays."""
+    """Numbers of chunks by their keys, with the chunks' ids in flat arrays."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -74,21 +99,26 @@ class Chunks(dict):
 
     def forget(self) -> None:
         self.clear()
+        self.new: list[str] = []
         self.flat = np.empty(1 << 16, np.int32)
-        self.edge = np.zeros(1 << 12, np.int64)
+        self.low = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int64)
         self.used = 0
 
-    def _joins(self, chunk: str) -> bool:
-        """Whether the tokenizer cuts at both ends of the chunk, wherever it stands."""
-        return chunk[:1] in _STARTS and not chunk[-1:].isspace() and not any(s in chunk for s in self.special)
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        number = self[key] = len(self)
+        return number
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        joins = list(map(self._joins, new))
-        alone = [c for c, j in zip(new, joins) if not j]
-        joined = [c for c, j in zip(new, joins) if j]
+    def learn(self) -> None:
+        """Encode the new chunks."""
+        chunks = list(map(_text_of_key, self.new))
+        # The tokenizer cuts at both ends of these, wherever they stand.
+        joins = np.fromiter((k != "" and k[0] != MARK and not k[-1].isspace() for k in self.new), bool, len(chunks))
+        joined = list(compress(chunks, joins))
         lumps = self._encoded(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)])
         flat = np.fromiter(chain.from_iterable(lumps), np.int32)
         chunk_ends = np.cumsum(np.fromiter((len(c.encode()) for c in joined), np.int64, len(joined)))
@@ -96,41 +126,38 @@ class Chunks(dict):
         at = np.searchsorted(id_ends, chunk_ends)
         if not np.array_equal(id_ends[at], chunk_ends):
             raise AssertionError("a token spans two chunks")
-        sizes = np.diff(np.r_[0, at + 1])
-        found = self._encoded(alone)
+        found = self._encoded(list(compress(chunks, ~joins)))
         flat = np.r_[flat, np.fromiter(chain.from_iterable(found), np.int32)]
-        sizes = np.r_[sizes, np.fromiter(map(len, found), np.int64, len(found))]
-        new = joined + alone
-        count = len(self)
+        sizes = np.r_[np.diff(np.r_[0, at + 1]), np.fromiter(map(len, found), np.int64, len(found))]
         while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        while count + len(new) + 1 > len(self.edge):
-            self.edge = np.resize(self.edge, 2 * len(self.edge))
+        while len(self) > len(self.low):
+            self.low, self.size = (np.resize(x, 2 * len(x)) for x in (self.low, self.size))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.edge[count + 1 : count + len(new) + 1] = self.used + np.cumsum(sizes)
+        number = len(self) - len(chunks) + np.r_[np.flatnonzero(joins), np.flatnonzero(~joins)]
+        self.low[number] = self.used + np.cumsum(sizes) - sizes
+        self.size[number] = sizes
         self.used += len(flat)
-        self.update(zip(new, range(count, count + len(new))))
+        self.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the offsets of the texts."""
         if len(self) > REMEMBERED:
             self.forget()
-        cuts = [[t] if _DIFFERENT.search(t) else _CHUNK.findall(t) for t in texts]
-        new = set(chain.from_iterable(cuts)).difference(self)
-        if new:
-            self.learn(list(new))
+        cuts = [chunk_keys(t, self.special) for t in texts]
         pieces = np.fromiter(map(len, cuts), np.int64, len(cuts))
         number = np.fromiter(map(self.__getitem__, chain.from_iterable(cuts)), np.int64, int(pieces.sum()))
-        low = self.edge[number]
-        size = self.edge[number + 1] - low
+        if self.new:
+            self.learn()
+        low, size = self.low[number], self.size[number]
         text = np.repeat(np.arange(len(texts)), pieces)
         lengths = np.bincount(text, size, len(texts)).astype(np.int64) + 1
         offsets = np.r_[0, np.cumsum(lengths)]
         ids = np.full(offsets[-1], END, np.int32)
         # Every chunk's ids move from `low` to their place; the end id of each text before it shifts them.
-        to = np.cumsum(size) - size + text
-        source = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        ids[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = self.flat[source]
+        before = np.cumsum(size) - size
+        place = np.arange(int(size.sum()))
+        ids[np.repeat(text, size) + place] = self.flat[np.repeat(low - before, size) + place]
         return ids, offsets
 
 

@@ -40,6 +40,20 @@ def test_chunked_encoding_equals_the_library():
         assert ids[low:high].tolist() == [*library.encode(text, add_special_tokens=False).ids, tokenfiles.END]
 
 
+def test_chunked_encoding_of_random_white_space():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    chooser = random.Random(7)
+    parts = [" ", " ", "\n", "\t", "\r", "\u00a0", "\u3000", "\x1c", "\x85", "a", "b1", "it's", "é", "<|endoftext|>", "."]
+    for size in (3, 12, 60):
+        given = ["".join(chooser.choices(parts, k=chooser.randrange(size))) for _ in range(2000)]
+        ids, offsets = tokenfiles.Chunks(path).encode(given)
+        for text, low, high in zip(given, offsets, offsets[1:]):
+            assert ids[low:high].tolist() == [*library.encode(text, add_special_tokens=False).ids, tokenfiles.END]
+
+
 def test_repeated_words_by_brute_force():
     chooser = random.Random(1)
     for _ in range(200):
