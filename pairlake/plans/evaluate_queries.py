@@ -161,15 +161,13 @@ def pixel_metrics(spark, sf):
     "bpp",
     "image_key:s bpp:d",
     f"""WITH {T.IMAGE_RESULTS_SQL} SELECT image_key, sum(no * 8.0::DOUBLE / (64 * 32)) AS bpp FROM image_results GROUP BY image_key
-      UNION ALL SELECT 'passthrough', 24.0 FROM region WHERE r_regionkey = 0""",
+      UNION ALL SELECT DISTINCT 'passthrough/' || image_key, 24.0::DOUBLE FROM image_results""",
 )
 def bpp(spark, sf):
     rate = V.bpp(F.col("no"), F.lit(64), F.lit(32))
     coded = T.image_results(spark, sf).groupBy("image_key").agg(F.sum(rate).alias("bpp"))
-    plain = table(spark, sf, "region").filter("r_regionkey = 0").select(
-        F.lit("passthrough").alias("image_key"), F.lit(V.PASSTHROUGH_BPP).alias("bpp")
-    )
-    return coded.unionByName(plain)
+    name = F.concat(F.lit("passthrough/"), "image_key").alias("image_key")
+    return coded.unionByName(coded.select(name, F.lit(V.PASSTHROUGH_BPP).alias("bpp")))
 
 
 def _halving_model():
@@ -441,10 +439,10 @@ def read_descriptors(spark, sf):
 @query(
     "read_results",
     "model:s step:i metric:s value:d",
-    f"WITH {T.RESULTS_SQL} SELECT model, step, metric, value FROM results WHERE value IS NOT NULL",
+    f"WITH {T.RESULTS_SQL} SELECT model, step, metric, value FROM results",
 )
 def read_results(spark, sf):
-    entries = T.results_long(spark, sf).filter("value IS NOT NULL")
+    entries = T.results_long(spark, sf)
     docs = entries.select(
         "model",
         F.to_json(

@@ -273,12 +273,13 @@ _KNOWN_SQL = """known AS (SELECT DISTINCT 'm' || l_suppkey AS model, CASE l_line
         regexp_replace(m.test, '^test_', '') || '_msssim_loss.gamma22'))""",
 )
 def pending_evaluations(spark, sf):
-    known = table(spark, sf, "lineitem").filter("l_suppkey % 2 = 0").selectExpr(
+    known = table(spark, sf, "lineitem").selectExpr(
         "'m' || l_suppkey AS model",
         "CASE l_linenumber WHEN 1 THEN 'manproc_msssim_loss' WHEN 2 THEN 'manproc_q99_msssim_loss.None' "
         "WHEN 3 THEN 'playraw_msssim_loss.gamma22' WHEN 4 THEN 'manproc_bostitch_msssim_loss.pq' "
         "ELSE 'manproc_hq_mse' END AS metric",
-        "1.0D AS value",
+        # Half of the models have runs without a value: nothing is known of them.
+        "CASE WHEN l_suppkey % 2 = 0 THEN 1.0D END AS value",
     )
     return K.pending_evaluations(_matrix(spark, sf), known)
 

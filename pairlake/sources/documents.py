@@ -60,14 +60,29 @@ def rejected_results(docs: DataFrame) -> DataFrame:
     return _result_entries(docs).filter(F.col("raw").isNotNull() & F.col("raw").try_cast("double").isNull())
 
 
+def yaml_as_json(docs: DataFrame) -> DataFrame:
+    """(model, doc) logs in YAML as the same logs in JSON; an empty log stays empty."""
+
+    def run(r: SimpleNamespace) -> Iterator[tuple]:
+        import yaml
+
+        yield r.model, json.dumps(yaml.safe_load(r.doc or "") or {}, default=str)
+
+    return map_rows(docs.select("model", "doc"), run, "model string, doc string")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON log per model folder `<model>/trainres.json`; a pattern without files is empty."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .option("ignoreMissingFiles", "true")
-        .load(path)
-    )
-    model = F.element_at(F.split("path", "/"), -2)
-    return parse_results(files.select(model.alias("model"), F.col("content").cast("string").alias("doc")))
+    """One log per model folder, `<model>/trainres.json` or `.yaml`; a pattern without files is empty."""
+
+    def logs(pattern: str) -> DataFrame:
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", pattern)
+            .option("ignoreMissingFiles", "true")
+            .load(path)
+        )
+        model = F.element_at(F.split("path", "/"), -2)
+        return files.select(model.alias("model"), F.col("content").cast("string").alias("doc"))
+
+    return parse_results(logs("*.json").unionByName(yaml_as_json(logs("*.{yaml,yml}"))))

@@ -52,6 +52,13 @@ def test_read_results(spark, tmp_path):
     assert {(b.model, b.best_step) for b in best} == {("m1", 20), ("m2", 20)}
 
 
+def test_read_results_in_yaml(spark, tmp_path):
+    (tmp_path / "m3").mkdir()
+    (tmp_path / "m3" / "trainres.yaml").write_text("10:\n  val: 0.5\n  gone: null\n  sizes: [1, 2]\nbest_step:\n  val: 10\n")
+    rows = D.read_results(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in rows} == {("m3", 10, "val", 0.5), ("m3", 10, "gone", None)}
+
+
 def test_read_npy_tiles(spark, tmp_path):
     arrays = {"a.0_0.npy": np.arange(24.0).reshape(2, 3, 4), "b.0_0.npy": np.ones((5, 6), np.float16)}
     for name, array in arrays.items():
