@@ -164,8 +164,8 @@ def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     differ by at least |added_y - added_z| + |removed_y - removed_z|; if they share no added
     unit, by at least added_y + added_z + |removed_y - removed_z|. A link keeps these sums
     within `(1 - s) / (1 + s)` of both sizes. The distinct (added, removed, size) figures of
-    a star tell which members can meet at all (`near`) and which without a shared added unit
-    (`free`); the others of `near` are joined on their added units.
+    a star tell which members can meet without a shared added unit (`near`) and which need
+    some (`both`); the latter are joined on their added units.
     Only members outside their centre's component can have links that the star lacks.
     """
     of_centre = label.select(F.col("node").alias("centre"), F.col("component").alias("_home"))
@@ -184,19 +184,28 @@ def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     distinct = checkpointed(rows.groupBy(*figures).agg(F.count(F.lit(1)).alias("k")))
     # A member is no partner of its own.
     alone = (y["k"] == 1) & z["lone"] & (y["n_added"] == z["n_added"]) & (y["n_removed"] == z["n_removed"]) & (y["n"] == z["n"])
-    near = distinct.filter("lone").alias("y").join(distinct.alias("z"), (y["centre"] == z["centre"]) & apart & ~alone)
     free = y["n_added"] + z["n_added"] + removed <= slack
-    near = near.select("y.centre", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yz" for c in figures[1:]], free.alias("free"))
-    near = checkpointed(near)
-
-    def tokens(side: str) -> DataFrame:
-        """The added units of the members that are near another one."""
-        wanted = near.select("centre", *[F.col(f"{side}_{c}").alias(c) for c in figures[1:]]).distinct()
-        met = rows.join(wanted, figures, "left_semi")
-        return checkpointed(met.select(*figures, "node", "component", F.explode("added").alias("unit")))
-
+    near = distinct.filter("lone").alias("y").join(distinct.alias("z"), (y["centre"] == z["centre"]) & free & ~alone)
+    near = near.select("y.centre", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yz" for c in figures[1:]])
+    # A link shares at least `least` added units, so y may leave out its `least - 1` commonest ones.
+    shares = F.ceil((y["n_added"] + z["n_added"] + removed - slack) / 2).alias("shares")
+    both = distinct.filter("lone").alias("y").join(distinct.alias("z"), (y["centre"] == z["centre"]) & apart & ~alone & ~free)
+    both = checkpointed(both.select("y.centre", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "yz" for c in figures[1:]], shares))
+
+    def named(side: str) -> list[Column]:
+        return [F.col("centre"), *[F.col(f"{side}_{c}").alias(c) for c in figures[1:]]]
+
+    def tokens(met: DataFrame, *more: str) -> DataFrame:
+        return met.select(*figures, *more, "node", "component", F.explode("added").alias("unit"))
+
+    right = checkpointed(tokens(rows.join(both.select(*named("z")).distinct(), figures, "left_semi")))
+    least = both.groupBy(*named("y")).agg(F.min("shares").alias("least"))
+    common = right.groupBy("centre", "unit").agg(F.count(F.lit(1)).alias("held"))
+    left = tokens(rows.join(least, figures), "least").join(common, ["centre", "unit"])
+    rank = F.row_number().over(Window.partitionBy("centre", "node").orderBy(F.desc("held"), "unit"))
+    left = checkpointed(left.withColumn("_rank", rank).filter("_rank >= least").drop("_rank", "held"))
     same = (y["centre"] == z["centre"]) & (y["unit"] == z["unit"])
-    first = tokens("y").alias("y").join(tokens("z").alias("z"), same & apart & other)
+    first = left.alias("y").join(right.alias("z"), same & apart & other)
     first = first.select(F.col("y.node").alias("u"), F.col("z.node").alias("v"))
 
     members = rows.select(*figures, "node", "component")
@@ -204,7 +213,7 @@ def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     def side(name: str) -> DataFrame:
         return members.select("centre", *[F.col(c).alias(f"{name}_{c}") for c in [*figures[1:], "node", "component"]])
 
-    second = near.filter("free").drop("free")
+    second = checkpointed(near)
     for name in "yz":
         second = second.join(side(name), ["centre", *[f"{name}_{c}" for c in figures[1:]]])
     second = second.filter("y_component <> z_component AND (NOT z_lone OR y_node < z_node)")
@@ -254,12 +263,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class (the one with the smallest doc_id) with its own columns."""
-    keep = classes(docs).filter("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_d_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    again = F.row_number().over(order)
-    kept = kept.withColumn("_d_row", again).filter(F.col("doc_id").isNull() | (F.col("_d_row") == 1))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kind = docs.schema["doc_id"].dataType
+    keep = classes(docs).filter("doc_id = class_id").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct()
+    # The join deals the texts by doc_id, which the window needs too.
+    kept = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = kept.withColumn("_d_row", again).filter("_d_row = 1").drop("_d_row")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.select(*columns).unionByName(docs.filter("doc_id IS NULL").select(*columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
