@@ -1,7 +1,10 @@
 """Benchmark decontamination: an inverted index of test items searched by block-max WAND.
 
-Test items are few (a benchmark's size, not the corpus'): their index is built once, its
-size is checked, and it travels to every task. Training documents are cut into overlapping
+The index of the test items travels to every task. A benchmark over INDEX_WORDS is searched in
+blocks of its items, one index and one pass over the documents each: number of items, document
+frequencies, mean length and passage length are those of the whole benchmark, so a block
+weighs its items as one index would, and a document's items are united over the blocks by a
+key of its text. Passes grow with the benchmark, memory does not. Training documents are cut into overlapping
 passages, twice as long as the longest item and stepping by its length, so that every copy of
 an item lies whole in some passage. Every passage queries the index; BM25 contributions are
 divided by the item's score against itself, so a passage that holds an item scores 1.
@@ -19,14 +22,17 @@ an empty benchmark marks nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.llm.common import bounded_batches, text_of
+from pairlake.session import checkpointed
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to be verified.
@@ -73,16 +79,30 @@ def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     return [w for s in sentences[:cut] for w in s], [w for s in sentences[cut:] for w in s]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of the whole benchmark: items, their mean and greatest length, items that hold each word."""
+
+    items: int
+    mean: float
+    longest: int
+    held: dict[bytes, int]
+
+
 class Index:
-    """Postings (item, share of the item's own score), blocks of them and their maxima."""
+    """Postings (item, share of the item's own score), blocks of them and their maxima.
+
+    `whole` has the statistics of the benchmark that `items` are a block of.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         kept = [(i, t, words_of(t)) for i, t in sorted(items) if t and words_of(t)]
         self.ids = np.array([i for i, _, _ in kept], np.int64)
         self.parts = [tuple(shingles(p) for p in split_item(t)) for _, t, _ in kept]
         lengths = [len(w) for _, _, w in kept]
-        self.step = max(lengths, default=1)
-        mean = float(np.mean(lengths)) if lengths else 1.0
+        self.step = whole.longest if whole else max(lengths, default=1)
+        mean = whole.mean if whole else float(np.mean(lengths)) if lengths else 1.0
+        total = whole.items if whole else len(kept)
         self.terms: dict[bytes, int] = {}
         postings: list[list[tuple[int, int]]] = []
         for n, (_, _, words) in enumerate(kept):
@@ -96,8 +116,9 @@ class Index:
                 postings[self.terms[w]].append((n, c))
         own = np.zeros(len(kept))
         weights = []
-        for entries in postings:
-            idf = np.log(1 + (len(kept) - len(entries) + 0.5) / (len(entries) + 0.5))
+        for word, entries in zip(self.terms, postings):
+            held = whole.held[word] if whole else len(entries)
+            idf = np.log(1 + (total - held + 0.5) / (held + 0.5))
             tf = np.array([c for _, c in entries], float)
             size = np.array([lengths[n] for n, _ in entries], float)
             w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
@@ -188,13 +209,89 @@ def shingles_in(words: list[bytes], parts: list, hits: dict[int, float]) -> set[
     return {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
-def load_items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The items, after their size is checked."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:
+    """The items, and whether one index may hold them all."""
     rows = benchmark.select("item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
     size = rows.agg(F.sum(F.length("text") / 2)).first()[0] or 0
-    if size > INDEX_WORDS:
-        raise ValueError(f"the benchmark has about {size:.0f} words; split it into parts of {INDEX_WORDS}")
-    return [(r["item_id"], r["text"]) for r in rows.collect()]
+    return rows, size <= INDEX_WORDS
+
+
+def _count(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+
+
+def _distinct(batches):
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set(words_of(text))), pa.binary())], names=["word"])
+
+
+def _cut(rows: Iterable) -> Iterator[list[tuple[int, str]]]:
+    """Consecutive items of at most INDEX_WORDS; a longer item is a block of its own."""
+    block, size = [], 0.0
+    for r in rows:
+        own = len(r["text"]) / 2
+        if block and size + own > INDEX_WORDS:
+            yield block
+            block, size = [], 0.0
+        block.append((r["item_id"], r["text"]))
+        size += own
+    if block:
+        yield block
+
+
+def _blocks(rows: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistics]]:
+    """The items block by block, with the statistics of all; the driver holds one block."""
+    spark = rows.sparkSession
+    rows = checkpointed(rows)
+    lengths = rows.select("text").mapInArrow(_count, "n bigint").filter("n > 0")
+    items, mean, longest = lengths.agg(F.count(F.lit(1)), F.avg("n"), F.max("n")).first()
+    held = rows.select("text").mapInArrow(_distinct, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+    held = checkpointed(held)
+    for block in _cut(rows.orderBy("item_id", "text").toLocalIterator()):
+        own = {w for _, t in block for w in words_of(t)}
+        known = held.join(spark.createDataFrame(pd.DataFrame({"word": sorted(own)}), "word binary"), "word") if own else None
+        counts = {bytes(r["word"]): r["held"] for r in known.collect()} if own else {}
+        yield block, Statistics(items or 0, mean or 1.0, longest or 1, counts)
+
+
+_FOUND = pa.schema([("_key", pa.string()), ("items", pa.list_(pa.int64())), ("overlap", pa.list_(pa.float64()))])
+
+
+def _key() -> Column:
+    return F.sha2(text_of(), 256).alias("_key")
+
+
+def _found_in_blocks(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key of the text, items, overlap) of every text that holds items of any block."""
+    texts = docs.select(_key(), text_of())
+    parts = []
+    for block, whole in _blocks(rows):
+        shared = docs.sparkSession.sparkContext.broadcast((block, whole))
+
+        def run(batches, shared=shared):
+            index = Index(*shared.value)
+            for batch in batches:
+                keys, items, overlap = [], [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found = sorted((int(index.ids[n]), q) for n, (q, _) in index.leaks(text).items())
+                    if found:
+                        keys.append(key)
+                        items.append([i for i, _ in found])
+                        overlap.append([q for _, q in found])
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((keys, items, overlap), _FOUND)], schema=_FOUND)
+
+        hits = texts.mapInArrow(run, "_key string, items array<bigint>, overlap array<double>")
+        # Equal texts hold the same items.
+        hits = hits.groupBy("_key").agg(F.first(F.arrays_zip("items", "overlap")).alias("hits"))
+        parts.append(checkpointed(hits))
+        shared.destroy()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = found.groupBy("_key").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return found.select("_key", F.col("hits.items").alias("items"), F.col("hits.overlap").alias("overlap"))
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64())), ("overlap", pa.list_(pa.float64()))])
@@ -203,7 +300,13 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("items", pa.list_(pa.int64())), ("ove
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, items, overlap of each item's question) per document; items ascending."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
+    rows, one = _items(benchmark)
+    if not one:
+        found = _found_in_blocks(docs, rows)
+        keyed = docs.select(F.col("doc_id").cast("bigint"), _key()).join(found, "_key", "left")
+        none = [F.array().cast("array<bigint>"), F.array().cast("array<double>")]
+        return keyed.select("doc_id", *[F.coalesce(c, n).alias(c) for c, n in zip(("items", "overlap"), none)])
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()])
 
     def run(batches):
         index = Index(shared.value)
@@ -231,7 +334,11 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with their own columns."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(load_items(benchmark))
+    rows, one = _items(benchmark)
+    if not one:
+        found = _found_in_blocks(docs, rows).select(F.col("_key").alias("_d_key"))
+        return docs.join(found, F.sha2(text_of(), 256) == F.col("_d_key"), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows.collect()])
     held: dict = {}
 
     @F.pandas_udf("boolean")

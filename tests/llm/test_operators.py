@@ -173,6 +173,21 @@ def test_decontamination_query(spark):
     assert got == expected
 
 
+def test_large_benchmarks_are_searched_in_blocks(spark, odd, monkeypatch):
+    items = [(i, words(100 + i, 30) + ". " + words(200 + i, 8)) for i in range(24)] + [(3, words(103, 30)), (None, "x"), (90, None), (91, "?")]
+    rows = [(i, words(300 + i, 150) + " " + items[i][1] + " " + items[(i + 7) % 24][1]) for i in range(24)]
+    rows += [(5, rows[5][1]), (None, rows[6][1]), (77, None), (78, words(400, 200))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(str, decontaminate.matches(docs, benchmark).collect()))
+    kept = sorted(map(str, decontaminate.drop_leaks(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "INDEX_WORDS", 700)
+    many = decontaminate.matches(docs, benchmark)
+    assert sorted(map(str, many.collect())) == one and len(one) == len(rows)
+    assert {i for r in many.collect() for i in r["items"]} == set(range(24))
+    assert sorted(map(str, decontaminate.drop_leaks(docs, benchmark).collect())) == kept and len(kept) == 2
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in queries.op4_toxicity(spark, folder).filter("held_out").collect()}
