@@ -11,8 +11,14 @@ divided by the item's score against itself, so a passage that holds an item scor
 
 Retrieval returns every item above the threshold: list maxima bound a passage first (the
 pivot test over all its terms at once), block maxima next, and only blocks that can pass are
-scored. Each hit is verified on five-word shingles of the item's question (all but its last
-sentence) and answer (the last sentence).
+scored. BM25 alone would drop a question without its answer and items with their rare words
+changed, so postings of the items' shingles retrieve too: every item of which a passage holds
+as many shingles as a proof needs at least. Each hit is verified on five-word shingles of the
+item's question (all but its last sentence), of its answer (the last sentence) and of the
+whole item: nothing that verification would accept is missed by retrieval.
+
+A leak holds most of the question, or half of question and answer each, or half of the whole
+item. A question of under five words proves a leak by itself only if BM25 found the item.
 
 Defined results: null and wordless texts match nothing; items without words are left out;
 repeated items are each reported; items of under five words are verified as one shingle;
@@ -31,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlake.llm.common import bounded_batches, text_of
+from pairlake.llm.common import bounded_batches, grams, mix, text_of
 from pairlake.session import checkpointed
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to be verified.
 THRESHOLD = 0.5
-#: Share of shingles of the question, and of question and answer, that prove a leak.
+#: Share of shingles of the question, and of question and answer or the whole item, that prove a leak.
 QUESTION_ALONE, BOTH = 0.8, 0.5
 SHINGLE = 5
 #: Items of a block at least, and blocks at most.
@@ -99,7 +105,8 @@ class Index:
         kept = [(i, t, words_of(t)) for i, t in sorted(items) if t and words_of(t)]
         self.ids = np.array([i for i, _, _ in kept], np.int64)
         self.parts = [tuple(shingles(p) for p in split_item(t)) for _, t, _ in kept]
-        lengths = [len(w) for _, _, w in kept]
+        self.words = [w for _, _, w in kept]
+        lengths = [len(w) for w in self.words]
         self.step = whole.longest if whole else max(lengths, default=1)
         mean = whole.mean if whole else float(np.mean(lengths)) if lengths else 1.0
         total = whole.items if whole else len(kept)
@@ -140,6 +147,69 @@ class Index:
         self.block_top = np.zeros((len(postings), -(-len(kept) // self.per_block)), np.float32)
         for n, (item, share) in enumerate(zip(self.items, self.share)):
             np.maximum.at(self.block_top[n], item // self.per_block, share)
+        self._post_shingles([t for _, t, _ in kept])
+
+    def _post_shingles(self, texts: list[str]) -> None:
+        """Postings of shingle hashes, and the shingles of an item that a proof needs at least."""
+        self.codes = mix(np.arange(1, len(self.terms) + 1, dtype=np.uint64))
+        self.sizes: set[int] = set()
+        self.asks = np.zeros(len(texts), bool)
+        self.least = np.zeros(len(texts), np.int64)
+        keys, owners = [], []
+        for item, text in enumerate(texts):
+            question, answer = split_item(text)
+            own = []
+            for part in (self.words[item], question, answer):
+                n = min(SHINGLE, len(part))
+                if n:
+                    self.sizes.add(n)
+                    own.append(grams(self.codes[[self.terms[w] for w in part]], n))
+            own_keys = np.unique(np.concatenate(own))
+            keys.append(own_keys)
+            owners.append(np.full(len(own_keys), item))
+            self.asks[item] = len(question) >= SHINGLE
+            asked = len(self.parts[item][0])
+            whole = len(np.unique(own[0]))
+            self.least[item] = max(1, int(np.ceil(BOTH * min(asked, whole) - 1e-9)))
+        keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        owners = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.owners, self.first = owners[order], np.r_[first, len(keys)]
+
+    def shared(self, ids: np.ndarray) -> dict[int, set[int]]:
+        """Per passage the items of which it holds enough shingles; `ids` are a text's terms."""
+        codes = self.codes[ids]
+        places, found = [], []
+        for n in self.sizes:
+            count = len(ids) - n + 1
+            if count <= 0:
+                continue
+            # Starts of `n` terms in a row, none of them missing.
+            missing = np.r_[0, np.cumsum(ids < 0)]
+            at = np.flatnonzero(missing[n:] == missing[:-n])
+            key = grams(codes, n)[at]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            held = self.keys[where] == key
+            at, where = at[held], where[held]
+            stretch = at // self.step
+            before = (stretch > 0) & (at + n <= (stretch + 1) * self.step)
+            places += [stretch, stretch[before] - 1]
+            found += [where, where[before]]
+        if not sum(map(len, places)):
+            return {}
+        pairs = np.unique(np.concatenate(places) * len(self.keys) + np.concatenate(found))
+        passage, where = pairs // len(self.keys), pairs % len(self.keys)
+        cuts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]).tolist()
+        result = {}
+        for low, high in zip(cuts, [*cuts[1:], len(pairs)]):
+            items, counts = np.unique(
+                np.concatenate([self.owners[self.first[w] : self.first[w + 1]] for w in where[low:high]]), return_counts=True
+            )
+            enough = items[counts >= self.least[items]]
+            if len(enough):
+                result[int(passage[low])] = set(enough.tolist())
+        return result
 
     def search(self, terms: np.ndarray, threshold: float = THRESHOLD) -> dict[int, float]:
         """All items whose share of their own score reaches the threshold, by block-max WAND.
@@ -189,24 +259,33 @@ class Index:
         bound[stretch[first]] = np.add.reduceat(self.block_top[pairs % len(self.terms)], first, axis=0)
         can_pass = ((bound[:-1] + bound[1:]) >= THRESHOLD - EPSILON).any(axis=1)
         result: dict[int, tuple[float, float]] = {}
-        for s in np.flatnonzero(can_pass).tolist():
+        by_shingles = self.shared(ids)
+        for s in sorted({*np.flatnonzero(can_pass).tolist(), *by_shingles}):
             low, high = s * self.step, (s + 2) * self.step
             inside = ids[low:high]
-            hits = self.search(inside[inside >= 0])
-            if not hits:
+            hits = self.search(inside[inside >= 0]) if can_pass[s] else {}
+            either = {*hits, *by_shingles.get(s, ())}
+            if not either:
                 continue
-            found = shingles_in(words[low:high], self.parts, hits)
-            for item in hits:
+            found = self.shingles_in(words[low:high], either)
+            for item in either:
                 question, answer = self.verify(item, found)
-                if question >= QUESTION_ALONE or (question >= BOTH and answer >= BOTH):
+                alone = question >= QUESTION_ALONE and (self.asks[item] or item in hits)
+                both = question >= BOTH and answer >= BOTH
+                if alone or both or self.whole(item, found) >= BOTH:
                     result[item] = max(result.get(item, (0.0, 0.0)), (question, answer))
         return result
 
+    def whole(self, item: int, found: set[tuple[bytes, ...]]) -> float:
+        """Share of the whole item's shingles in a passage."""
+        own = shingles(self.words[item])
+        return len(own & found) / len(own)
 
-def shingles_in(words: list[bytes], parts: list, hits: dict[int, float]) -> set[tuple[bytes, ...]]:
-    """Shingles of a passage, of every length that the hits' shingles have."""
-    sizes = {len(next(iter(p))) for item in hits for p in parts[item] if p}
-    return {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
+    def shingles_in(self, words: list[bytes], items: set[int]) -> set[tuple[bytes, ...]]:
+        """Shingles of a passage, of every length that the items' shingles have."""
+        sizes = {min(SHINGLE, len(self.words[i])) for i in items}
+        sizes |= {len(next(iter(p))) for i in items for p in self.parts[i] if p}
+        return {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, bool]:

@@ -143,6 +143,33 @@ def test_leaks():
     assert decontaminate.Index([]).leaks("any text") == {}
 
 
+def test_edited_items_and_questions_alone_are_leaks():
+    """Retrieval by brute force: every item whose shingles a passage holds in a proof's share."""
+    chooser = random.Random(7)
+    common = [f"c{i}" for i in range(40)]
+
+    def sentence(n, rare):
+        return " ".join(f"r{chooser.randrange(10**6)}" if k < rare else chooser.choice(common) for k in range(n)) + ". "
+
+    # Questions are of common words and answers of rare ones, so that BM25 weighs the answer.
+    items = [(i, sentence(chooser.randint(5, 14), 0) + sentence(chooser.randint(8, 30), 8)) for i in range(60)]
+    index = decontaminate.Index(items)
+    filler = " ".join(f"f{i}" for i in range(300))
+    for n, (_, text) in enumerate(items):
+        question, answer = decontaminate.split_item(text)
+        words = [w.decode() for w in question + answer]
+        assert n in index.leaks(f"{filler} {' '.join(words[: len(question)])} {filler}")
+        assert n in index.leaks(f"{filler} {' '.join(words[len(words) // 5 :])} {filler}")
+        for k in range(len(words)):
+            edited = words[:k] + ["other"] + words[k + 1 :]
+            found = decontaminate.shingles([w.encode() for w in edited])
+            own = decontaminate.shingles([w.encode() for w in words])
+            if len(own & found) >= 0.5 * len(own):
+                assert n in index.leaks(f"{filler} {' '.join(edited)} {filler}")
+    short = decontaminate.Index([(1, "Who was it? " + sentence(20, 10))])
+    assert short.leaks(f"{filler} who was it {filler}") == {}
+
+
 PAGE = """<html><head><title>T</title><script>var t="<p>no</p>";</script></head><body class="has-sidebar"><nav><ul><li>Menu</ul></nav>
 <div class="cookieNotice">We use cookies</div><article><header>Site</header><h1>Title &amp; more</h1><p><b>One<br>two
 <p>Three&nbsp;<i>fo</i>ur.</p><aside>Side</aside><form>Mail</form><p>Be.</p><section id="comments"><p>Reader said</p></section></article>
