@@ -238,6 +238,27 @@ def test_secrets_are_masked(odd):
     assert secrets.mask(odd).count() == len(ROWS)
 
 
+def test_whole_keys_and_long_logins_are_masked(spark):
+    body = "\n".join("MIIEow+/" * 8 for _ in range(400))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    plain = key.replace("RSA ", "")
+    texts = {
+        1: f"before {key} between {plain} after",
+        2: "before -----BEGIN PRIVATE KEY----- after - " + "- x " * 20_000,
+        3: f"go to https://{'u' * 300}:{'p' * 3000}@host/x now",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r.doc_id: r.text for r in secrets.mask(docs).collect()}
+    assert found[1] == "before [secret] between [secret] after"
+    assert found[2] == texts[2].replace("-----BEGIN PRIVATE KEY-----", "[secret]")
+    assert found[3] == "go to [secret]host/x now"
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
+    expected = {r[0]: r[-1] for r in connection.execute(secrets.ORACLE).fetchall()}
+    assert {r.doc_id: r.spans for r in secrets.digest(docs).collect()} == expected
+
+
 def test_odd_rows(spark, odd):
     assert extract.extract(odd.select(F.col("doc_id").alias("page_id"), F.col("lang").alias("url"), F.col("text").alias("html"))).count() == len(ROWS)
     items = spark.createDataFrame([(1, LONG[:300]), (2, None)], "item_id bigint, text string")
