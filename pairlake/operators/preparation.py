@@ -319,10 +319,18 @@ def pair_mask(
 
 
 def prepare_pairs(
-    pairs: DataFrame, tiles: DataFrame, reach: int, bound: float, size: int = TILE
+    pairs: DataFrame, tiles: DataFrame, reach: int | None, bound: float, size: int = TILE
 ) -> DataFrame:
-    """Gain, shift, alignment loss and mask mean of every pair."""
-    return pair_mask(align_exhaustive(pairs, tiles, reach, size), tiles, reach, bound, size)
+    """Gain, shift, alignment loss and mask mean of every pair.
+
+    Without a `reach` the shift is searched until it converges (`align`). A `reach` clips the
+    search to its window; then `on_edge` marks the pairs whose true shift may lie outside.
+    """
+    if reach is not None:
+        return pair_mask(align_exhaustive(pairs, tiles, reach, size), tiles, reach, bound, size)
+    aligned = checkpointed(align(pairs, tiles, size))
+    far = aligned.agg(F.max(F.greatest(F.abs("dy"), F.abs("dx")))).first()[0] or 0
+    return pair_mask(aligned, tiles, far, bound, size)
 
 
 def aligned_means(aligned: DataFrame, tiles: DataFrame, multiple: int = 32) -> DataFrame:

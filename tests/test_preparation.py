@@ -120,6 +120,21 @@ def test_pair_mask(spark, size, outliers):
     assert mean == pytest.approx(expected.mean(), abs=1e-12)
 
 
+def test_prepare_pairs_searches_until_it_converges(spark):
+    images, pairs, shifts = {}, [], [(0, 0), (2, 5), (-5, 2)]
+    for n, (dy, dx) in enumerate(shifts):
+        images[2 * n], images[2 * n + 1] = _shifted(dy, dx, k=2.0, seed=n)
+        pairs.append((2 * n, 2 * n + 1))
+    tiles = M.tile_frames(_frames(spark, images), 12)
+    free = {r.gt_id: r for r in P.prepare_pairs(_pairs(spark, pairs), tiles, None, 0.95, 12).collect()}
+    wide = {r.gt_id: r for r in P.prepare_pairs(_pairs(spark, pairs), tiles, 6, 0.95, 12).collect()}
+    for n, shift in enumerate(shifts):
+        got, expected = free[2 * n], wide[2 * n]
+        assert (got.dy, got.dx) == shift == (expected.dy, expected.dx)
+        assert got.best_alignment_loss == pytest.approx(expected.best_alignment_loss, abs=1e-12)
+        assert got.mask_mean == pytest.approx(expected.mask_mean, abs=1e-12)
+
+
 def test_equal_images_have_threshold_one(spark):
     clean = _scene(4)[:, :20, :20]
     from pyspark.sql import functions as F
