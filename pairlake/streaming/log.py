@@ -82,10 +82,15 @@ def settled_best(improvements: DataFrame) -> DataFrame:
 # -- captures ----------------------------------------------------------------------
 
 
-def stream_captures(files: DataFrame, delay: str) -> DataFrame:
-    """Each content once as files arrive; `mtime` is the event time."""
-    timed = files.withColumn("mtime", F.col("mtime").cast("timestamp"))
-    return timed.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["sha1"])
+def stream_captures(files: DataFrame, delay: str | None = None) -> DataFrame:
+    """Each content once as files arrive, whatever their `mtime`s.
+
+    The state keeps every content seen, spread over tasks by `sha1`: late files and copies of
+    any age are judged as in the batch twin. A watermark would forget contents and drop late
+    files, so `delay` is not used. A folder that an earlier version began has another state
+    and cannot be continued.
+    """
+    return files.withColumn("mtime", F.col("mtime").cast("timestamp")).dropDuplicates(["sha1"])
 
 
 # -- plateaus ----------------------------------------------------------------------

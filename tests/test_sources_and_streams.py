@@ -154,3 +154,17 @@ def test_captures_arrive_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(folder)
         seen = J.run_available(J.stream_captures(stream, "1 day"), str(tmp_path / "seen"))
     assert sorted(r.sha1 for r in seen.collect()) == sorted(f"h{i}" for i in range(12))
+
+
+def test_late_captures_and_far_copies(spark, tmp_path):
+    """New contents, copies of them a year later, then a new content that is two years late."""
+    schema = "path string, sha1 string, mtime timestamp"
+    folder = str(tmp_path / "files")
+    for part, (first, day) in enumerate([(0, 400), (0, 765), (3, 800), (9, 10), (0, 900)]):
+        spark.range(first, first + 5).selectExpr(
+            f"concat('p{part}-', id) AS path", "concat('h', id) AS sha1", f"timestamp_seconds({day} * 86400 + id) AS mtime"
+        ).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        seen = J.run_available(J.stream_captures(stream, "1 day"), str(tmp_path / "seen"))
+    whole = spark.read.schema(schema).parquet(folder)
+    assert sorted(r.sha1 for r in seen.collect()) == sorted(r.sha1 for r in whole.select("sha1").distinct().collect())
