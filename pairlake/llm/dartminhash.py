@@ -10,8 +10,10 @@ thrown rank by rank until each coordinate has a dart, so a signature costs about
 k (ln k + 3) darts whatever the number of shingles.
 
 Signatures are cut into bands. Documents that share a band are candidates; candidates are
-verified exactly on all their shingles, and classes are connected components of the verified
-links. With 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6.
+verified on 32-bit hashes of all their shingles, and classes are connected components of the
+verified links. Texts of n and m units share n * m / 2^32 units too many in expectation (0.09
+at 20,000 words each, 58 at 500,000), so a pair at the very edge of 0.8 can be linked wrongly.
+With 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6.
 
 No group is expanded into all its pairs. Equal texts collapse to one representative. In a
 band group every member is compared with one centre; what members differ in from their centre
