@@ -10,6 +10,9 @@ from pairlake.llm import (
     dartminhash,
     decontaminate,
     extract,
+    importance,
+    langid,
+    negatives,
     packing,
     piececount,
     quality,
@@ -71,6 +74,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digest(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +99,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality,
         op9_near_duplicates,
         op10_token_files,
+        op11_hard_negatives,
+        op12_importance,
+        op13_language,
     )
 }
-ORACLES: dict[str, str] = {"op6_secrets": secrets.ORACLE, "op8_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_secrets": secrets.ORACLE,
+    "op8_quality": quality.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_importance": importance.ORACLE,
+}
