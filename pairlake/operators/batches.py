@@ -17,6 +17,7 @@ _ARROW = {
     "string": pa.string(),
     "binary": pa.binary(),
     "array<double>": pa.list_(pa.float64()),
+    "array<bigint>": pa.list_(pa.int64()),
     "array<boolean>": pa.list_(pa.bool_()),
 }
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlake.operators.skew import checked_broadcast
 from pairlake.session import shuffle_width
 
 TILE = 256
@@ -47,6 +48,16 @@ def tile_frames(frames: DataFrame, size: int = TILE) -> DataFrame:
     )
 
 
+def attach_meta(tiles: DataFrame, meta: DataFrame, *columns: str) -> DataFrame:
+    """Columns of each image's own row of `meta` (one row per image_id) beside its tiles or pixels.
+
+    Images without a row keep nulls. A small `meta` is broadcast, after a check of its rows.
+    """
+    about = meta.select("image_id", *columns)
+    clash = [c for c in columns if c in tiles.columns]
+    return tiles.drop(*clash).join(checked_broadcast(about), "image_id", "left")
+
+
 def to_pixels(tiles: DataFrame, *carry: str) -> DataFrame:
     """Long form: one row per sample (image_id, ch, y, x, v)."""
     return tiles.select(

@@ -1,4 +1,4 @@
-"""Pair preparation: gain, alignment, loss masks and similarity over tiled images.
+"""Pair preparation: gain, alignment and similarity over tiled images.
 
 `pairs` has gt_id and f_id. Work is keyed by (pair, tile); kernels emit sums per tile,
 which Spark adds up per pair.
@@ -6,8 +6,6 @@ which Spark adds up per pair.
 
 from __future__ import annotations
 
-from itertools import count
-
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
@@ -18,16 +16,16 @@ from pyspark.sql import functions as F
 from pairlake.operators import kernels as K
 from pairlake.operators.batches import map_rows
 from pairlake.operators.frames import TILE, image_sums, with_halo
+from pairlake.operators.masks import mask_means, pair_masks
 from pairlake.operators.skew import salted_join
-from pairlake.session import checkpointed, shuffle_width
+from pairlake.operators.windows import PAIR, pair_windows, shared_images, with_frames
+from pairlake.session import checkpointed
 
-# Mask threshold, kept quantile, display gamma, search window and limit.
-LOSS_THRESHOLD = 0.4
-KEEPERS_QUANTILE = 0.9999
-GAMMA = 2.2
+# Search window and limit.
 SEARCH_WINDOW = 3
 MAX_SHIFT = 128
-PAIR = ["gt_id", "f_id"]
+#: Samples times shifts of a tile that are compared in one go.
+SMALL = 200_000
 
 
 def gain(pairs: DataFrame, tiles: DataFrame, name: str = "gain") -> DataFrame:
@@ -39,83 +37,87 @@ def gain(pairs: DataFrame, tiles: DataFrame, name: str = "gain") -> DataFrame:
     return both.withColumn(name, F.try_divide("_gt_mean", "_f_mean")).select(*pairs.columns, name)
 
 
-def pair_tiles(pairs: DataFrame, clean: DataFrame, noisy: DataFrame) -> DataFrame:
-    """One row per (pair, tile) with the parts of both images around the tile.
-
-    `clean` and `noisy` are `with_halo` tables (the noisy one with the wider border). One
-    clean image may serve many pairs, so its join is salted. The second join is always a
-    shuffle on (f_id, ty, tx), the keys `with_halo` has already grouped by: the noisy side
-    stays where it is, and the rows are spread evenly for the kernels that follow.
-    """
-    left = clean.select(
-        F.col("image_id").alias("gt_id"), "c", "frame_h", "frame_w", "ty", "tx", "y0", "x0", "h", "w",
-        F.col("parts").alias("gt_parts"),
-    )
-    right = noisy.select(F.col("image_id").alias("f_id"), "ty", "tx", F.col("parts").alias("f_parts"))
-    keys = ["f_id", "ty", "tx"]
-    paired = salted_join(pairs, left, ["gt_id"], spread=["f_id"])
-    paired = paired.repartition(shuffle_width(pairs.sparkSession), *keys)
-    return paired.join(right.hint("merge"), keys)
-
-
 # -- alignment ---------------------------------------------------------------------
 
 _SHIFT_SUMS = "gt_id {t}, f_id {t}, dy int, dx int, l1 double, n bigint, gt_sum double, f_sum double"
 
 
-def _shift_sums(r: SimpleNamespace) -> Iterator[tuple]:
-    """Sums of |clean - gain * other| of one tile for each listed shift."""
-    reach = max(max(abs(s["dy"]), abs(s["dx"])) for s in r.shifts)
+def _shift_sums(r: SimpleNamespace, shifts: list[tuple[int, int]]) -> Iterator[tuple]:
+    """Sums of |clean - gain * other| of one tile for each shift."""
+    if not shifts:
+        return
+    low, left_most = (min(s[i] for s in shifts) for i in (0, 1))
+    high, right_most = (max(s[i] for s in shifts) for i in (0, 1))
     clean = K.assemble(r.gt_parts, r.c, r.y0, r.x0, r.h, r.w)
-    around = K.assemble(r.f_parts, r.c, r.y0 - reach, r.x0 - reach, r.h + 2 * reach, r.w + 2 * reach)
-    for shift in r.shifts:
-        dy, dx = shift["dy"], shift["dx"]
+    around = K.assemble(r.f_parts, r.c, r.y0 - high, r.x0 - right_most, r.h + high - low, r.w + right_most - left_most)
+    matched = r.gain * around
+    if clean.size * len(shifts) <= SMALL:
+        yield from _small_sums(r, shifts, clean, around, matched, high, right_most)
+        return
+    for dy, dx in shifts:
         top, bottom = K.overlap(dy, r.frame_h)
         left, right = K.overlap(dx, r.frame_w)
         ya, yb = max(top - r.y0, 0), min(bottom - r.y0, r.h)
         xa, xb = max(left - r.x0, 0), min(right - r.x0, r.w)
         if ya < yb and xa < xb:
             mine = clean[:, ya:yb, xa:xb]
-            other = around[:, ya - dy + reach : yb - dy + reach, xa - dx + reach : xb - dx + reach]
-            l1 = float(np.abs(mine - r.gain * other).sum())
-            yield r.gt_id, r.f_id, dy, dx, l1, mine.size, float(mine.sum()), float(other.sum())
-
-
-def shift_losses(tiled: DataFrame, shifts: Column | None = None) -> DataFrame:
-    """Mean L1 per (pair, shift). `tiled` is a `pair_tiles` table with `gain`, and `shifts`
-    an array column of (dy, dx) unless the table already has one."""
-    rows = tiled if shifts is None else tiled.withColumn("shifts", shifts)
-    wanted = rows.select(*PAIR, "c", "frame_h", "frame_w", "y0", "x0", "h", "w", "gain", "shifts", "gt_parts", "f_parts")
+            cut = np.s_[:, ya - dy + high : yb - dy + high, xa - dx + right_most : xb - dx + right_most]
+            l1 = float(np.abs(mine - matched[cut]).sum())
+            yield r.gt_id, r.f_id, dy, dx, l1, mine.size, float(mine.sum()), float(around[cut].sum())
+
+
+def _small_sums(r, shifts, clean, around, matched, high: int, right_most: int) -> Iterator[tuple]:
+    """The same for a small tile, all shifts of the box around them at once."""
+
+    def lines(start: int, count: int, frame: int, first: int, n: int) -> np.ndarray:
+        spans = np.array([K.overlap(first - i, frame) for i in range(n)])
+        at = np.arange(start, start + count)
+        return (at >= spans[:, :1]) & (at < spans[:, 1:])
+
+    # Window i, k shows the other image moved by (high - i, right_most - k).
+    views = [np.lib.stride_tricks.sliding_window_view(a, (r.h, r.w), axis=(1, 2)) for a in (around, matched)]
+    rows = lines(r.y0, r.h, r.frame_h, high, views[0].shape[1])
+    columns = lines(r.x0, r.w, r.frame_w, right_most, views[0].shape[2])
+    seen = rows[:, None, :, None] & columns[None, :, None, :]
+    l1 = np.where(seen, np.abs(clean[:, None, None] - views[1]).sum(axis=0), 0).sum(axis=(2, 3))
+    other = np.where(seen, views[0].sum(axis=0), 0).sum(axis=(2, 3))
+    mine = np.where(seen, clean.sum(axis=0), 0).sum(axis=(2, 3))
+    n = r.c * seen.sum(axis=(2, 3))
+    for dy, dx in shifts:
+        at = high - dy, right_most - dx
+        if n[at]:
+            yield r.gt_id, r.f_id, dy, dx, float(l1[at]), int(n[at]), float(mine[at]), float(other[at])
+
+
+def shift_losses(tiled: DataFrame, shifts: Callable[[SimpleNamespace], list[tuple[int, int]]]) -> DataFrame:
+    """Mean L1 per (pair, shift). `tiled` is a `pair_windows` table with `gain`; `shifts(row)`
+    lists the shifts of a row, all within its windows."""
     kind = dict(tiled.dtypes)["gt_id"]
-    per_tile = map_rows(wanted, _shift_sums, _SHIFT_SUMS.format(t=kind))
-    return (
-        per_tile.groupBy(*PAIR, "dy", "dx")
-        .agg(*[F.sum(c).alias(c) for c in ("l1", "n", "gt_sum", "f_sum")])
-        .withColumn("loss", F.col("l1") / F.col("n"))
+    per_tile = map_rows(tiled, lambda r: _shift_sums(r, shifts(r)), _SHIFT_SUMS.format(t=kind))
+    return per_tile.groupBy(*PAIR, "dy", "dx").agg(
+        F.expr("sum(l1) / sum(n)").alias("loss"), F.expr("try_divide(sum(gt_sum), sum(f_sum))").alias("aligned_gain")
     )
 
 
-def _window(reach: int) -> Column:
+def _window(reach: int) -> list[tuple[int, int]]:
     offsets = range(-reach, reach + 1)
-    return F.array(
-        *[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y in offsets for x in offsets]
-    )
+    return [(y, x) for y in offsets for x in offsets]
 
 
-def _best_shift(losses: DataFrame) -> DataFrame:
-    """Least loss per pair, ties to the smaller and then the earlier shift. The aligned
-    overlap's own gain comes along."""
-    order = F.struct(
-        F.round("loss", 9).alias("r"),
-        (F.abs("dy") + F.abs("dx")).alias("far"),
-        "dy",
-        "dx",
-        "loss",
-        F.try_divide("gt_sum", "f_sum").alias("aligned_gain"),
-    )
-    return losses.groupBy(*PAIR).agg(F.min(order).alias("b")).select(
-        *PAIR, "b.dy", "b.dx", F.col("b.loss").alias("best_alignment_loss"), "b.aligned_gain"
-    )
+def _fresh(r: SimpleNamespace) -> list[tuple[int, int]]:
+    """The neighbourhood of the current shift, without that of the previous one, which holds nothing better."""
+    around = [(r.dy + y, r.dx + x) for y, x in _window(SEARCH_WINDOW)]
+    if r.py is None:
+        return around
+    return [(y, x) for y, x in around if max(abs(y - r.py), abs(x - r.px)) > SEARCH_WINDOW]
+
+
+def _best_shift(losses: DataFrame, near_first: bool) -> DataFrame:
+    """Least loss per pair as `b`, ties to the earlier shift (the smaller one before, if asked).
+    The aligned overlap's own gain comes along."""
+    far = "abs(dy) + abs(dx)" if near_first else "0"
+    order = f"struct(round(loss, 9) AS r, {far} AS far, dy, dx, loss, aligned_gain)"
+    return losses.groupBy(*PAIR).agg(F.expr(f"min({order})").alias("b"))
 
 
 def align_exhaustive(pairs: DataFrame, tiles: DataFrame, reach: int, size: int = TILE) -> DataFrame:
@@ -124,12 +126,17 @@ def align_exhaustive(pairs: DataFrame, tiles: DataFrame, reach: int, size: int =
     `on_edge` marks pairs whose best shift lies on the border of the window: a better one
     may lie outside, which a wider window or `align` finds.
     """
-    # One row per pair; used three times below.
-    gained = checkpointed(gain(pairs.select(*PAIR), tiles))
-    tiled = pair_tiles(gained, with_halo(tiles, 0, size), with_halo(tiles, reach, size))
-    best = _best_shift(shift_losses(tiled, _window(reach)))
-    edge = F.greatest(F.abs("dy"), F.abs("dx")) == reach
-    return gained.withColumnRenamed("gain", "rgb_gain").join(best.withColumn("on_edge", edge), PAIR)
+    # One row per pair; used three times below. Pairs without a gain have nothing to align.
+    gained = checkpointed(gain(pairs.select(*PAIR), tiles).filter("gain IS NOT NULL"))
+    still = gained.withColumns({"dy": F.lit(0), "dx": F.lit(0)})
+    window = _window(reach)
+    tiled = pair_windows(still, tiles, 0, reach, size)
+    best = _best_shift(shift_losses(tiled, lambda r: window), near_first=True)
+    found = best.selectExpr(
+        *PAIR, "b.dy", "b.dx", "b.loss AS best_alignment_loss", "b.aligned_gain",
+        f"greatest(abs(b.dy), abs(b.dx)) = {reach} AS on_edge",
+    )
+    return gained.withColumnRenamed("gain", "rgb_gain").join(found, PAIR)
 
 
 def align(
@@ -141,181 +148,47 @@ def align(
     """Local search: from (0, 0) move to the best shift of the 7x7 neighbourhood until none
     is better, the loss is 0 or |dy| + |dx| reaches `max_shift`.
 
-    All pairs advance together. A round reads only the tiles of pairs still moving, with
-    borders only as wide as their shifts need. The current shift is the best of all seen,
+    All pairs advance together. A round moves only the windows of pairs still moving, at
+    their shifts. Pairs without a gain have nothing to align and are left out. The current shift is the best of all seen,
     so an older shift can never win later and the state is one row per pair, checkpointed
     after each round. A moving pair's loss falls strictly, so the rounds end by themselves.
     """
-    gained = checkpointed(gain(pairs.select(*PAIR), tiles))
-    clean = with_halo(tiles, 0, size)
-    here = F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")))
-    start = shift_losses(pair_tiles(gained, clean, clean), here)
+    gained = with_frames(gain(pairs.select(*PAIR), tiles).filter("gain IS NOT NULL"), tiles)
+    gained = checkpointed(gained)
+    shared = shared_images(gained, size)
+    still = gained.withColumns({"dy": F.lit(0), "dx": F.lit(0)})
+    tiled = pair_windows(still, tiles, 0, 0, size, salted=False, shared=shared)
+    start = shift_losses(tiled, lambda r: [(0, 0)])
+    none = "CAST(NULL AS int)"
     state = checkpointed(
-        gained.join(start, PAIR).select(
-            *PAIR, "gain", "dy", "dx", F.lit(None).cast("int").alias("py"),
-            F.lit(None).cast("int").alias("px"), "loss",
-            F.try_divide("gt_sum", "f_sum").alias("aligned_gain"), (F.col("loss") > 0).alias("moving"),
-        )
-    )
-    for turn in count():
-        active = state.filter("moving")
-        span = active.agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("dy"), F.abs("dx"))).alias("far")
-        ).first()
-        if span.n == 0:
-            break
-        mine = tiles
-        if turn:
-            mine = tiles.join(active.select(F.col("f_id").alias("image_id")).distinct(), "image_id", "left_semi")
-        noisy = with_halo(mine, span.far + SEARCH_WINDOW, size)
-        # The previous neighbourhood holds nothing better, so only new shifts are tried.
-        around = F.transform(
-            _window(SEARCH_WINDOW),
-            lambda s: F.struct((s["dy"] + F.col("dy")).alias("dy"), (s["dx"] + F.col("dx")).alias("dx")),
-        )
-        fresh = F.filter(
-            around,
-            lambda s: F.col("py").isNull()
-            | (F.abs(s["dy"] - F.col("py")) > SEARCH_WINDOW)
-            | (F.abs(s["dx"] - F.col("px")) > SEARCH_WINDOW),
-        )
-        todo = active.select(*PAIR, "gain", fresh.alias("shifts")).filter(F.size("shifts") > 0)
-        tried = shift_losses(pair_tiles(todo, clean, noisy))
-        order = F.struct(F.round("loss", 9).alias("r"), "dy", "dx", "loss", F.try_divide("gt_sum", "f_sum").alias("g"))
-        found = tried.groupBy(*PAIR).agg(F.min(order).alias("b"))
-        better = F.coalesce(F.col("moving") & (F.col("b.r") < F.round("loss", 9)), F.lit(False))
-        stepped = state.join(found, PAIR, "left").select(
-            *PAIR,
-            "gain",
-            F.when(better, F.col("b.dy")).otherwise(F.col("dy")).alias("dy"),
-            F.when(better, F.col("b.dx")).otherwise(F.col("dx")).alias("dx"),
-            F.when(better, F.col("dy")).otherwise(F.col("py")).alias("py"),
-            F.when(better, F.col("dx")).otherwise(F.col("px")).alias("px"),
-            F.when(better, F.col("b.loss")).otherwise(F.col("loss")).alias("loss"),
-            F.when(better, F.col("b.g")).otherwise(F.col("aligned_gain")).alias("aligned_gain"),
-            better.alias("_moved"),
-        )
+        gained.join(start, PAIR).selectExpr("*", f"{none} AS py", f"{none} AS px", "loss > 0 AS moving")
+    )
+    while not state.filter("moving").isEmpty():
+        tiled = pair_windows(state.filter("moving"), tiles, 0, SEARCH_WINDOW, size, salted=False, shared=shared)
+        found = _best_shift(shift_losses(tiled, _fresh), near_first=False)
+        better = "moving AND b.r < round(loss, 9)"
+        stepped = state.join(found, PAIR, "left").withColumn("_moved", F.expr(f"coalesce({better}, false)"))
         state = checkpointed(
-            stepped.withColumn(
-                "moving",
-                F.col("_moved") & (F.col("loss") > 0) & (F.abs("dy") + F.abs("dx") < max_shift),
-            ).drop("_moved")
-        )
+            stepped.selectExpr(
+                *PAIR, "frame_h", "frame_w", "gain",
+                *[f"IF(_moved, b.{n}, {n}) AS {n}" for n in ("dy", "dx", "loss", "aligned_gain")],
+                "IF(_moved, dy, py) AS py", "IF(_moved, dx, px) AS px",
+                f"_moved AND b.loss > 0 AND abs(b.dy) + abs(b.dx) < {max_shift} AS moving",
+            )
+        )
     return state.select(
         *PAIR, F.col("gain").alias("rgb_gain"), "dy", "dx", F.col("loss").alias("best_alignment_loss"),
         "aligned_gain", "moving",
     )
 
 
-# -- loss masks --------------------------------------------------------------------
-
-
-def _aligned_loss(r, border: int) -> tuple[np.ndarray, int, int]:
-    """Loss map of a tile and `border` lines around it; NaN outside the overlap."""
-    h, w = r.h + 2 * border, r.w + 2 * border
-    y, x = r.y0 - border, r.x0 - border
-    a = K.assemble(r.gt_parts, r.c, y, x, h, w)
-    b = K.assemble(r.f_parts, r.c, y - r.dy, x - r.dx, h, w)
-    loss = np.abs(K.positive_gamma(a, GAMMA) - K.positive_gamma(b * r.aligned_gain, GAMMA)).sum(axis=0)
-    top, bottom = K.overlap(r.dy, r.frame_h)
-    left, right = K.overlap(r.dx, r.frame_w)
-    ys, xs = np.arange(h) + y, np.arange(w) + x
-    inside = ((ys >= top) & (ys < bottom))[:, None] & ((xs >= left) & (xs < right))[None, :]
-    return np.where(inside, loss, np.nan), y, x
+# -- preparation -------------------------------------------------------------------
 
 
-def aligned_pair_tiles(aligned: DataFrame, tiles: DataFrame, reach: int, size: int = TILE) -> DataFrame:
-    """`pair_tiles` with borders wide enough for the mask kernels under shifts up to `reach`."""
-    return pair_tiles(aligned, with_halo(tiles, 2, size), with_halo(tiles, reach + 2, size))
-
-
-def loss_map(tiled: DataFrame) -> DataFrame:
-    """Loss of every overlapping pixel: (gt_id, f_id, y, x, loss)."""
-    kind = dict(tiled.dtypes)["gt_id"]
-
-    def run(r: SimpleNamespace) -> Iterator[tuple]:
-        loss, y, x = _aligned_loss(r, 0)
-        ys, xs = np.nonzero(~np.isnan(loss))
-        for i, k, v in zip(ys, xs, loss[ys, xs]):
-            yield r.gt_id, r.f_id, int(i) + y, int(k) + x, float(v)
-
-    return map_rows(tiled, run, f"gt_id {kind}, f_id {kind}, y int, x int, loss double")
-
-
-def reject_threshold(tiled: DataFrame, quantile: float = KEEPERS_QUANTILE, limit: float = LOSS_THRESHOLD) -> DataFrame:
-    """min(limit, exact interpolated quantile) per pair; 0 becomes 1.
-
-    Only the highest values decide a high quantile, so a tile passes on its count and the
-    k + 1 highest values, k being what the whole overlap could need. These are few
-    (1e-4 of an image); no image's values are gathered.
-    """
-    kind = dict(tiled.dtypes)["gt_id"]
-
-    def run(r: SimpleNamespace) -> Iterator[tuple]:
-        loss, _, _ = _aligned_loss(r, 0)
-        values = loss[~np.isnan(loss)]
-        keep = int(np.ceil((1 - quantile) * r.frame_h * r.frame_w)) + 2
-        yield r.gt_id, r.f_id, values.size, np.sort(values)[::-1][:keep]
-
-    tops = map_rows(tiled, run, f"gt_id {kind}, f_id {kind}, n bigint, top array<double>")
-    merged = tops.groupBy(*PAIR).agg(
-        F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("top")), asc=False).alias("top")
-    )
-    # Position from the top, counted from 0, between two neighbours.
-    place = (F.col("n") - 1) * (1 - quantile)
-    low = F.ceil(place).cast("int")
-    upper = F.element_at("top", F.floor(place).cast("int") + 1)
-    lower = F.element_at("top", low + 1)
-    exact = lower + (upper - lower) * (low - place)
-    bounded = F.least(F.lit(limit), exact)
-    return merged.select(*PAIR, F.when(bounded == 0, 1.0).otherwise(bounded).alias("threshold"))
-
-
-def mask_tiles(tiled: DataFrame, bound: float) -> DataFrame:
-    """Mask of each tile's part of the overlap: (gt_id, f_id, ty, tx, y, x, h, w, mask).
-
-    `tiled` has threshold and aligned_gain. Valid: loss below the threshold after a binary
-    opening, and all clean channels below the overexposure `bound`.
-    """
-    kind = dict(tiled.dtypes)["gt_id"]
-
-    def run(r: SimpleNamespace) -> Iterator[tuple]:
-        loss, y, x = _aligned_loss(r, 2)
-        seen = ~np.isnan(loss)
-        good = K.cross_opening(np.where(seen, loss, np.inf) < r.threshold)
-        clean = K.assemble(r.gt_parts, r.c, y, x, *loss.shape)
-        exposed = (clean < bound).all(axis=0)
-        inner = np.s_[2:-2, 2:-2]
-        ys, xs = np.nonzero(seen[inner])
-        if ys.size:
-            y0, y1, x0, x1 = int(ys.min()), int(ys.max()) + 1, int(xs.min()), int(xs.max()) + 1
-            mask = (good & exposed)[inner][y0:y1, x0:x1]
-            yield r.gt_id, r.f_id, r.ty, r.tx, r.y0 + y0, r.x0 + x0, y1 - y0, x1 - x0, mask.ravel()
-
-    return map_rows(
-        tiled,
-        run,
-        f"gt_id {kind}, f_id {kind}, ty int, tx int, y int, x int, h int, w int, mask array<boolean>",
-    )
-
-
-def mask_means(masks: DataFrame) -> DataFrame:
-    return masks.groupBy(*PAIR).agg(
-        (
-            F.sum(F.size(F.filter("mask", lambda m: m))) / F.sum(F.size("mask"))
-        ).alias("mask_mean")
-    )
-
-
-def pair_mask(
-    aligned: DataFrame, tiles: DataFrame, reach: int, bound: float, size: int = TILE
-) -> DataFrame:
+def pair_mask(aligned: DataFrame, tiles: DataFrame, bound: float, size: int = TILE) -> DataFrame:
     """`mask_mean` of every aligned pair (dy, dx, aligned_gain from the alignment)."""
-    # One row per pair; the tiles of both passes join it.
     aligned = checkpointed(aligned)
-    tiled = aligned_pair_tiles(aligned.select(*PAIR, "dy", "dx", "aligned_gain"), tiles, reach, size)
-    judged = tiled.join(reject_threshold(tiled), PAIR)
-    return aligned.join(mask_means(mask_tiles(judged, bound)), PAIR)
+    return aligned.join(mask_means(pair_masks(aligned, tiles, bound, size)), PAIR)
 
 
 def prepare_pairs(
@@ -327,10 +200,8 @@ def prepare_pairs(
     search to its window; then `on_edge` marks the pairs whose true shift may lie outside.
     """
     if reach is not None:
-        return pair_mask(align_exhaustive(pairs, tiles, reach, size), tiles, reach, bound, size)
-    aligned = checkpointed(align(pairs, tiles, size))
-    far = aligned.agg(F.max(F.greatest(F.abs("dy"), F.abs("dx")))).first()[0] or 0
-    return pair_mask(aligned, tiles, far, bound, size)
+        return pair_mask(align_exhaustive(pairs, tiles, reach, size), tiles, bound, size)
+    return pair_mask(align(pairs, tiles, size), tiles, bound, size)
 
 
 def aligned_means(aligned: DataFrame, tiles: DataFrame, multiple: int = 32) -> DataFrame:
@@ -438,7 +309,7 @@ def ms_ssim(aligned: DataFrame, tiles: DataFrame, reach: int, size: int = TILE)
     """
     border = SSIM_BORDER
     rows = aligned.select(*PAIR, "dy", "dx", "aligned_gain")
-    tiled = pair_tiles(rows, with_halo(tiles, border, size), with_halo(tiles, border + reach, size))
+    tiled = pair_windows(rows, tiles, border, border, size)
     kind = dict(tiled.dtypes)["gt_id"]
 
     sums = map_rows(

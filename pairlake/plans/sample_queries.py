@@ -326,13 +326,13 @@ def _wide(spark, sf):
       c20 * r + c21 * g + c22 * b AS blue FROM wide JOIN mats ON mats.k = image_id""",
 )
 def apply_matrix(spark, sf):
-    # attach_meta: each image's matrix joins its tiles before they are taken apart.
     made = _meta(spark, sf).select(
         F.col("k").alias("image_id"), C.colour_matrix(F.col("rgb_xyz_matrix"), "lin_rec2020").alias("m")
     )
     rgb = C.apply_matrix([F.col(c) for c in "rgb"], F.col("m"))
     out = zip(rgb, ("red", "green", "blue"))
-    return _wide(spark, sf).join(made, "image_id").select("image_id", "y", "x", *[c.alias(n) for c, n in out])
+    known = M.attach_meta(_wide(spark, sf), made, "m").filter("m IS NOT NULL")
+    return known.select("image_id", "y", "x", *[c.alias(n) for c, n in out])
 
 
 @query(

@@ -346,3 +346,38 @@ def frame_pairs(frames: DataFrame) -> DataFrame:
     clean = frames.groupBy("image_set").agg(F.min("image_id").alias("gt_id"))
     others = frames.select("image_set", F.col("image_id").alias("f_id"))
     return salted_join(others, clean, ["image_set"], spread=["f_id"]).select("gt_id", "f_id")
+
+
+# -- captures (embeddings) ---------------------------------------------------------
+# Frames of two thirds of the labels are mosaics, the others RGB. Some are black, some have a
+# line less than the others, some are missing; each has its own overexposure bound.
+
+STORED_SQL = f"""
+stored AS (SELECT image_id, image_set, 0 AS ch, y, x, CASE WHEN image_id % 29 = 28 THEN 0 ELSE v END AS v FROM mono
+    WHERE image_set % 3 > 0 AND image_id % 37 <> 36 AND (image_id < 100 OR image_id % 31 <> 30 OR y < 7)
+  UNION ALL
+  SELECT image_id, image_set, ch, y, x, CASE WHEN image_id % 29 = 28 THEN 0 ELSE v END FROM rgb_stored
+    WHERE image_set % 3 = 0 AND image_id % 37 <> 36),
+capture_meta AS (SELECT vec_id AS image_id, label % 3 > 0 AS is_bayer,
+    0.7::DOUBLE + vec_id % 5 * 0.05::DOUBLE AS overexposure_lb, 0.7::DOUBLE + vec_id % 7 / 100.0::DOUBLE AS m00 FROM embeddings)
+"""
+
+
+def capture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mosaic = mono_frames(spark, sf_dir).filter("image_set % 3 > 0")
+    short = "image_id >= 100 AND image_id % 31 = 30"
+    mosaic = mosaic.withColumns(
+        {"frame_h": F.expr(f"IF({short}, 7, 8)"), "data": F.expr(f"IF({short}, slice(data, 1, 56), data)")}
+    )
+    both = mosaic.unionByName(rgb_frames(spark, sf_dir).filter("image_set % 3 = 0")).filter("image_id % 37 <> 36")
+    return both.withColumn("data", F.expr("IF(image_id % 29 = 28, transform(data, v -> 0.0D), data)"))
+
+
+def capture_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS image_id",
+        "label % 3 > 0 AS is_bayer",
+        "0.7D + vec_id % 5 * 0.05D AS overexposure_lb",
+        "array(array(0.7D + vec_id % 7 / 100.0D, -0.08D, -0.1D), array(-0.44D, 1.25D, 0.2D), array(-0.085D, 0.2D, 0.58D), "
+        "array(0.0D, 0.0D, 0.0D)) AS rgb_xyz_matrix",
+    )

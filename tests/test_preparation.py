@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
+from pairlake.operators import descriptors as D
 from pairlake.operators import frames as M
 from pairlake.operators import kernels as K
+from pairlake.operators import masks as L
 from pairlake.operators import preparation as P
 
 SCHEMA = "image_id bigint, c int, frame_h int, frame_w int, data array<double>"
@@ -113,10 +115,13 @@ def test_pair_mask(spark, size, outliers):
     from pyspark.sql import functions as F
 
     aligned = aligned.withColumn("aligned_gain", F.lit(float(g)))
-    tiled = P.aligned_pair_tiles(aligned, tiles, 2, size)
-    found = P.reject_threshold(tiled).first().threshold
+    losses = L.loss_tiles(aligned, tiles, 0.95, size)
+    found = L.reject_threshold(losses).first().threshold
     assert found == pytest.approx(threshold, abs=1e-12)
-    mean = P.pair_mask(aligned, tiles, 2, 0.95, size).first().mask_mean
+    pixels = {(r.y, r.x): r.valid for r in L.mask_pixels(L.pair_masks(aligned, tiles, 0.95, size)).collect()}
+    (top, _), (left, _) = K.overlap(1, 32), K.overlap(-2, 32)
+    assert pixels == {(y + top, x + left): v for (y, x), v in np.ndenumerate(expected)}
+    mean = P.pair_mask(aligned, tiles, 0.95, size).first().mask_mean
     assert mean == pytest.approx(expected.mean(), abs=1e-12)
 
 
@@ -141,7 +146,118 @@ def test_equal_images_have_threshold_one(spark):
 
     aligned = _pairs(spark, [(0, 0)]).withColumns({"dy": F.lit(0), "dx": F.lit(0), "aligned_gain": F.lit(1.0)})
     tiles = M.tile_frames(_frames(spark, {0: clean}), 8)
-    assert P.reject_threshold(P.aligned_pair_tiles(aligned, tiles, 0, 8)).first().threshold == 1.0
+    assert L.reject_threshold(L.loss_tiles(aligned, tiles, 1.0, 8)).first().threshold == 1.0
+
+
+@pytest.mark.parametrize("counted", [1, 7, 10**6])
+def test_quantile_narrows_down_to_the_same_value(spark, monkeypatch, counted):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "COUNTED", counted)
+    rng = np.random.default_rng(8)
+    clean = _scene(8)[:, :40, :40]
+    images = {0: clean, 1: clean + rng.normal(0, 1e-3, clean.shape), 2: np.round(clean, 1), 3: clean + 0.7 * (rng.random((40, 40)) > 0.5)}
+    aligned = _pairs(spark, [(0, 1), (0, 2), (0, 3), (0, 0)]).withColumns(
+        {"dy": F.lit(0), "dx": F.lit(0), "aligned_gain": F.lit(1.0)}
+    )
+    tiles = M.tile_frames(_frames(spark, images), 16)
+    for quantile in (0.9999, 0.97, 0.5):
+        rows = L.reject_threshold(L.loss_tiles(aligned, tiles, 2.0, 16), quantile).collect()
+        assert len(rows) == 4
+        for r in rows:
+            loss = np.abs(K.positive_gamma(clean, 2.2) - K.positive_gamma(images[r.f_id], 2.2)).sum(0)
+            assert r.threshold == pytest.approx(min(0.4, np.quantile(loss, quantile)) or 1.0, abs=1e-9)
+
+
+def test_a_shared_clean_image_is_spread(spark, monkeypatch):
+    from pairlake.operators import windows
+
+    images = {n: _shifted(0, n % 3, seed=1)[n > 0] for n in range(13)}
+    tiles = M.tile_frames(_frames(spark, images), 12)
+    pairs = _pairs(spark, [(0, n) for n in range(1, 13)])
+    assert windows.shared_images(pairs, 12) is None
+    plain = sorted(map(tuple, P.align(pairs, tiles, 12, max_shift=9).collect()))
+    # Two tiles' bytes for one salt: twelve pairs with the clean image make six salts, and no other image has any.
+    monkeypatch.setattr(windows.shared_images, "__defaults__", (12, 2 * 12 * 12 * 24))
+    shared = windows.shared_images(pairs, 12)
+    assert [tuple(r) for r in shared.collect()] == [(0, 6)]
+    assert sorted(map(tuple, P.align(pairs, tiles, 12, max_shift=9).collect())) == plain
+    still = pairs.selectExpr("*", "0 AS dy", "0 AS dx", "36 AS frame_h", "36 AS frame_w")
+    asked = windows.requests(still, 12, 0, 3).join(shared, "image_id").selectExpr("ty", "tx", "pmod(xxhash64(gt_id, f_id), salts) AS s")
+    sizes = [r["count"] for r in asked.groupBy("ty", "tx", "s").count().collect()]
+    assert max(sizes) < 12 and len(sizes) > 2 * 9
+
+
+def test_windows_move_no_more_for_a_wide_shift(spark):
+    from pyspark.sql import functions as F
+    from pairlake.operators.windows import pair_windows
+
+    frame = np.arange(60 * 60, dtype=float).reshape(1, 60, 60)
+    tiles = M.tile_frames(_frames(spark, {0: frame, 1: frame}), 10)
+    for dy, dx in ((0, 0), (30, -20), (-59, 59), (60, 0)):
+        pairs = _pairs(spark, [(0, 1)]).withColumns({"dy": F.lit(dy), "dx": F.lit(dx)})
+        rows = pair_windows(pairs, tiles, 0, 1, 10).collect()
+        samples = sum(p.h * p.w for r in rows for p in r.f_parts)
+        assert samples <= len(rows) * 12 * 12 and (rows or dy == 60)
+        for r in rows:
+            window = K.assemble([p.asDict() for p in r.f_parts], 1, r.y0 - dy, r.x0 - dx, r.h, r.w)[0]
+            for (y, x), v in np.ndenumerate(window):
+                fy, fx = r.y0 - dy + y, r.x0 - dx + x
+                assert v == frame[0, fy, fx] if 0 <= fy < 60 and 0 <= fx < 60 else np.isnan(v)
+
+
+def _mosaic(rgb):
+    y, x = np.indices(rgb.shape[1:])
+    return np.take_along_axis(rgb, ((y % 2) + (x % 2))[None], 0)
+
+
+def _developed(mono):
+    return K.demosaic_rggb(np.pad(mono[0], 1, constant_values=np.nan), -1, -1)
+
+
+@pytest.mark.parametrize("size", [12, 64])
+def test_descriptors_from_the_mosaic(spark, size):
+    clean, other = _shifted(2, -4, k=2.0, seed=3)
+    clean = clean * 0.9
+    clean[:, 10:13, 20:24] = 0.99
+    mono, noisy = _mosaic(clean), _mosaic(other)
+    images = {0: mono, 1: noisy, 2: 0 * noisy, 3: noisy[:, :-2], 4: clean, 5: other, 6: np.where(noisy > 0.2, np.nan, noisy), 7: clean}
+    meta = [(i, True, 0.8, [[0.7, 0.0, 0.1]] * 4) for i in (0, 1, 2, 3, 6)] + [(4, False, 0.95, None), (5, False, 1.0, None)]
+    meta = spark.createDataFrame(meta, "image_id bigint, is_bayer boolean, overexposure_lb double, rgb_xyz_matrix array<array<double>>")
+    asked = [(0, 1), (0, 2), (0, 3), (0, 6), (0, 9), (8, 1), (4, 5), (0, 5), (7, 5)]
+    found = D.describe_pairs(_pairs(spark, asked), M.tile_frames(_frames(spark, images), size), meta, size, max_shift=9)
+    rows = {(r.gt_id, r.f_id): r for r in found.pairs.collect()}
+    assert {k: r.reason for k, r in rows.items() if r.reason} == {
+        (0, 2): "black other", (0, 3): "unequal frames", (0, 6): "not finite", (0, 9): "missing other",
+        (8, 1): "missing clean", (0, 5): "unequal frames",
+    }
+    assert {(r.gt_id, r.f_id) for r in found.rejected.collect()} == {k for k, r in rows.items() if r.reason}
+    assert {(r.gt_id, r.f_id) for r in found.accepted.collect()} == {(0, 1), (4, 5), (7, 5)}
+    cases = [((0, 1), _developed(mono), _developed(noisy), mono, 0.8), ((4, 5), clean, other, clean, 0.95), ((7, 5), clean, other, clean, np.inf)]
+    for key, a, b, stored, bound in cases:
+        r = rows[key]
+        assert (r.dy, r.dx) == (2, -4)
+        assert r.rgb_gain == pytest.approx(a.mean() / b.mean())
+        x, y = _overlap(a, b, 2, -4)
+        assert r.best_alignment_loss == pytest.approx(np.abs(x - a.mean() / b.mean() * y).mean(), abs=1e-12)
+        gain = x.mean() / y.mean()
+        loss = np.abs(K.positive_gamma(x, 2.2) - K.positive_gamma(y * gain, 2.2)).sum(0)
+        lit = _overlap((stored < bound).all(0)[None], a, 2, -4)[0][0]
+        expected = _opening(loss < (min(0.4, np.quantile(loss, 0.9999)) or 1.0)) & lit
+        assert r.mask_mean == pytest.approx(expected.mean(), abs=1e-12)
+    assert rows[0, 1].raw_gain == pytest.approx(mono.mean() / noisy.mean()) and rows[0, 1].is_bayer
+    assert rows[0, 1].rgb_xyz_matrix[0][0] == 0.7 and rows[0, 1].overexposure_lb == 0.8
+    assert rows[4, 5].raw_gain is None and rows[4, 5].rgb_xyz_matrix is None and not rows[7, 5].is_bayer
+    masks = found.masks.filter("gt_id = 0").agg({"n_valid": "sum"}).first()[0]
+    assert masks == round(rows[0, 1].mask_mean * np.prod(_overlap(clean, other, 2, -4)[0].shape[1:]))
+
+
+def test_pairs_without_a_gain_are_left_out(spark):
+    clean = _scene(9)[:, :16, :16]
+    tiles = M.tile_frames(_frames(spark, {0: clean, 1: 0 * clean, 2: clean}), 8)
+    pairs = _pairs(spark, [(0, 1), (0, 2)])
+    for found in (P.align(pairs, tiles, 8), P.align_exhaustive(pairs, tiles, 1, 8), P.prepare_pairs(pairs, tiles, None, 0.9, 8)):
+        assert [r.f_id for r in found.collect()] == [2]
 
 
 def test_demosaic_brute_force(spark):
