@@ -26,6 +26,7 @@ last only in rows of the learning fold.
 from __future__ import annotations
 
 import base64
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -172,14 +173,19 @@ class Trie:
         return uses
 
 
-_TRIES: dict[str, Trie] = {}
+def trie(path: str) -> Trie:
+    """The trie of a vocabulary, once for each worker.
+
+    It hangs on `sys`, since this module may travel by value and anew with every task; what
+    hung on the module would travel along.
+    """
+    return vars(sys).setdefault("_pairlake_tries", _Tries())[path]
 
 
-def trie(path: str) -> Trie:
-    """The trie of a vocabulary, once for each worker."""
-    if path not in _TRIES:
-        _TRIES[path] = Trie(path)
-    return _TRIES[path]
+class _Tries(dict):
+    def __missing__(self, path: str) -> Trie:
+        found = self[path] = Trie(path)
+        return found
 
 
 def unit_counts(rows: DataFrame) -> DataFrame:
