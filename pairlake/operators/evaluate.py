@@ -17,7 +17,7 @@ from pairlake.functions import colour as C
 from pairlake.functions import geometry as G
 from pairlake.operators import kernels as K
 from pairlake.operators.batches import map_rows
-from pairlake.operators.frames import window_of
+from pairlake.operators.frames import TILE, window_of
 
 # Fixed value: bits per pixel of an uncompressed developed image.
 PASSTHROUGH_BPP = 24.0
@@ -67,6 +67,40 @@ def mask_rect(crops: DataFrame, compat: bool = False) -> DataFrame:
     return crops.selectExpr("*", f"{scale} * y AS my", f"{scale} * x AS mx")
 
 
+def crop_masks(crops: DataFrame, masks: DataFrame, keys: list[str], compat: bool = False, tile: int = TILE) -> DataFrame:
+    """`crops` (keys, crop_id, y, x, h, w) with `mask`, an array of h x w flags, as `assemble_samples` reads it.
+
+    `masks` are mask tiles (keys, ty, tx, y, x, h, w, mask of packed bits) in frame lines. A crop's
+    window (`mask_rect`) counts from the first line and column of its mask; beyond the mask nothing
+    is valid. A crop is sent the tiles that it touches, a number fixed by the two sizes.
+    """
+    kinds = dict(crops.dtypes)
+    origin = masks.groupBy(*keys).agg(F.min("y").alias("_top"), F.min("x").alias("_left"))
+    rects = mask_rect(crops, compat).join(origin, keys).selectExpr("*", "my + _top AS _y", "mx + _left AS _x")
+    touched = rects.selectExpr(
+        *keys, "crop_id", "_y", "_x", "h AS _h", "w AS _w",
+        f"explode(sequence(CAST(_y div {tile} AS int), CAST((_y + h - 1) div {tile} AS int))) AS ty",
+    ).selectExpr(
+        "*", f"explode(sequence(CAST(_x div {tile} AS int), CAST((_x + _w - 1) div {tile} AS int))) AS tx"
+    )
+    met = touched.join(masks.select(*keys, "ty", "tx", "y", "x", "h", "w", "mask"), [*keys, "ty", "tx"], "left")
+    part = F.expr("CASE WHEN mask IS NOT NULL THEN struct(y, x, h, w, mask AS bits) END")
+    grouped = met.groupBy(*keys, "crop_id", "_y", "_x", "_h", "_w").agg(F.collect_list(part).alias("parts"))
+
+    def run(r: SimpleNamespace) -> Iterator[tuple]:
+        whole = np.zeros((r._h, r._w), bool)
+        for p in r.parts:
+            bits = np.unpackbits(np.frombuffer(p["bits"], np.uint8), count=p["h"] * p["w"]).reshape(p["h"], p["w"])
+            top, left = p["y"] - r._y, p["x"] - r._x
+            y0, x0, y1, x1 = max(top, 0), max(left, 0), min(top + p["h"], r._h), min(left + p["w"], r._w)
+            if y0 < y1 and x0 < x1:
+                whole[y0:y1, x0:x1] = bits[y0 - top : y1 - top, x0 - left : x1 - left]
+        yield *[getattr(r, k) for k in keys], r.crop_id, whole.ravel()
+
+    names = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "crop_id"])
+    return crops.join(map_rows(grouped, run, f"{names}, mask array<boolean>"), [*keys, "crop_id"])
+
+
 def assemble_samples(crops: DataFrame, pairing: str = "x_y", match_gain: bool = True) -> DataFrame:
     """Sample rows from stored crops.
 

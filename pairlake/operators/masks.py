@@ -189,6 +189,18 @@ def mask_tiles(losses: DataFrame, thresholds: DataFrame) -> DataFrame:
     return map_rows(rows, run, ddl)
 
 
+def exposure_tiles(tiles: DataFrame, bound: float) -> DataFrame:
+    """(image_id, ty, tx, y, x, h, w, mask): a packed bit per sample, set below `bound` in all channels."""
+    kind = dict(tiles.dtypes)["image_id"]
+
+    def run(r: SimpleNamespace) -> Iterator[tuple]:
+        lit = (r.data.reshape(r.c, -1) < bound).all(axis=0)
+        yield r.image_id, r.ty, r.tx, r.y0, r.x0, r.h, r.w, np.packbits(lit).tobytes()
+
+    ddl = f"image_id {kind}, ty int, tx int, y int, x int, h int, w int, mask binary"
+    return map_rows(tiles.select("image_id", "c", "ty", "tx", "y0", "x0", "h", "w", "data"), run, ddl)
+
+
 def mask_pixels(masks: DataFrame) -> DataFrame:
     """(gt_id, f_id, y, x, valid) of every sample of the overlap."""
     byte = F.expr("conv(hex(substring(mask, at div 8 + 1, 1)), 16, 10)").cast("int")

@@ -226,112 +226,6 @@ def aligned_means(aligned: DataFrame, tiles: DataFrame, multiple: int = 32) -> D
     return sums.groupBy(*PAIR).agg((F.sum("total") / F.sum("n")).alias("gt_rgb_mean"))
 
 
-# -- similarity --------------------------------------------------------------------
-
-
-def _similarity_sums(r, border: int) -> list[tuple]:
-    """Per channel and scale: sums and count of the similarity maps this tile owns."""
-    top, bottom = K.overlap(r.dy, r.frame_h)
-    left, right = K.overlap(r.dx, r.frame_w)
-    # The overlap is an image of its own; the border is even at each of its scales.
-    size = [bottom - top, right - left]
-    y, x = max(r.y0 - border, top), max(r.x0 - border, left)
-    y1, x1 = min(r.y0 + r.h + border, bottom), min(r.x0 + r.w + border, right)
-    # A side needs more than ten lines at the coarsest scale.
-    if y1 <= y or x1 <= x or min(size) <= (K.SSIM_TAPS - 1) * 2 ** (len(K.SSIM_WEIGHTS) - 1):
-        return []
-    a = K.assemble(r.gt_parts, r.c, y, x, y1 - y, x1 - x)
-    b = K.assemble(r.f_parts, r.c, y - r.dy, x - r.dx, y1 - y, x1 - x) * r.aligned_gain
-    origin = [y - top, x - left]
-    # Finest line that each line of the current scale starts at.
-    first = [np.arange(origin[0], origin[0] + a.shape[1]), np.arange(origin[1], origin[1] + a.shape[2])]
-    own = [(r.y0 - top, r.y0 - top + r.h), (r.x0 - left, r.x0 - left + r.w)]
-    own = [(0 if lo <= 0 else lo, hi) for lo, hi in own]
-    out = []
-    for scale in range(len(K.SSIM_WEIGHTS)):
-        if min(a.shape[1:]) >= K.SSIM_TAPS:
-            mine = [
-                np.nonzero((f[: len(f) - K.SSIM_TAPS + 1] >= lo) & (f[: len(f) - K.SSIM_TAPS + 1] < hi))[0]
-                for f, (lo, hi) in zip(first, own)
-            ]
-            if len(mine[0]) and len(mine[1]):
-                contrast, similar = K.similarity_maps(a, b)
-                part = np.ix_(range(a.shape[0]), mine[0], mine[1])
-                cs, full = contrast[part], similar[part]
-                for ch in range(a.shape[0]):
-                    out.append(
-                        (r.gt_id, r.f_id, ch, scale, float(cs[ch].sum()), float(full[ch].sum()), cs[ch].size)
-                    )
-        if scale + 1 < len(K.SSIM_WEIGHTS):
-            a, b, origin, first, size = _halved(a, b, origin, first, size)
-    return out
-
-
-def _halved(a, b, origin, first, size):
-    """2x2 mean pooling on the overlap's own grid; odd sides start one zero line early."""
-    for axis in (0, 1):
-        odd = size[axis] % 2
-        start, length = origin[axis], a.shape[axis + 1]
-        before = 1 if odd and start == 0 else 0
-        after = 1 if odd and start + length == size[axis] else 0
-        pad = [(0, 0)] * 3
-        pad[axis + 1] = (before, after)
-        a, b = np.pad(a, pad), np.pad(b, pad)
-        lines = np.pad(first[axis], (before, after), mode="edge")
-        at = start - before + odd
-        skip = at % 2
-        pairs_here = (a.shape[axis + 1] - skip) // 2
-        cut = [slice(None)] * 3
-        cut[axis + 1] = slice(skip, skip + 2 * pairs_here)
-        a, b = a[tuple(cut)], b[tuple(cut)]
-        even, later = [slice(None)] * 3, [slice(None)] * 3
-        even[axis + 1], later[axis + 1] = slice(0, None, 2), slice(1, None, 2)
-        a = (a[tuple(even)] + a[tuple(later)]) / 2
-        b = (b[tuple(even)] + b[tuple(later)]) / 2
-        first = [*first]
-        first[axis] = lines[skip : skip + 2 * pairs_here : 2]
-        origin, size = [*origin], [*size]
-        origin[axis] = (at + skip) // 2
-        size[axis] = (size[axis] + 2 * odd) // 2
-    return a, b, origin, first, size
-
-
-# Lines a window of the coarsest scale can reach beyond its first line, rounded up to
-# whole coarsest lines.
-SSIM_BORDER = 16 * (K.SSIM_TAPS + 1)
-
-
-def ms_ssim(aligned: DataFrame, tiles: DataFrame, reach: int, size: int = TILE) -> DataFrame:
-    """Multi-scale similarity of each aligned, gain-matched pair; null if a side is too small.
-
-    Tiles emit sums of the similarity maps per scale, which are additive; the product over
-    scales is taken after the sum.
-    """
-    border = SSIM_BORDER
-    rows = aligned.select(*PAIR, "dy", "dx", "aligned_gain")
-    tiled = pair_windows(rows, tiles, border, border, size)
-    kind = dict(tiled.dtypes)["gt_id"]
-
-    sums = map_rows(
-        tiled,
-        lambda r: _similarity_sums(r, border),
-        f"gt_id {kind}, f_id {kind}, ch int, scale int, cs double, ssim double, n bigint",
-    )
-    scales = len(K.SSIM_WEIGHTS)
-    means = sums.groupBy(*PAIR, "ch").agg(
-        *[
-            F.sum(F.when(F.col("scale") == s, F.col("ssim" if s == scales - 1 else "cs"))).alias(f"s{s}")
-            for s in range(scales)
-        ],
-        *[F.sum(F.when(F.col("scale") == s, F.col("n"))).alias(f"n{s}") for s in range(scales)],
-    )
-    score = F.lit(1.0)
-    for s, weight in enumerate(K.SSIM_WEIGHTS):
-        score = score * F.pow(F.greatest(F.col(f"s{s}") / F.col(f"n{s}"), F.lit(0.0)), F.lit(weight))
-    per_pair = means.groupBy(*PAIR).agg(F.avg(score).alias("rgb_msssim_score"))
-    return aligned.select(*PAIR).join(per_pair, PAIR, "left")
-
-
 # -- neighbourhood filters ---------------------------------------------------------
 
 

@@ -113,9 +113,87 @@ def running_best(results: DataFrame) -> DataFrame:
     return scanned.withColumn("improved", improved).drop("previous")
 
 
+def banded_results(
+    image_results: DataFrame, scores: DataFrame, bands: dict[str, tuple[float | None, float | None]], metrics: list[str]
+) -> DataFrame:
+    """Long results (model, step, metric, value): the mean of each metric over the images of each band.
+
+    `image_results` has model, step, image_key and the metrics, measured once per image; `scores`
+    has one score per image_key. A band is (least, most) score, either None; its metrics are
+    named `<band>_<metric>`, which `best_step` and the stream read like any other. An image is
+    in as many bands as its score lies in; images without a score are in none.
+    """
+    inside = []
+    for name, (least, most) in bands.items():
+        within = F.col("score").isNotNull()
+        within = within if least is None else within & (F.col("score") >= least)
+        within = within if most is None else within & (F.col("score") <= most)
+        inside.append(F.when(within, F.lit(name)))
+    scored = salted_join(image_results, scores.select("image_key", "score"), ["image_key"], spread=["model", "step"])
+    rows = scored.select("model", "step", *metrics, F.explode(F.array_compact(F.array(*inside))).alias("band"))
+    means = rows.groupBy("model", "step", "band").agg(*[F.avg(m).alias(m) for m in metrics])
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("value")) for m in metrics])).alias("v")
+    return means.select("model", "step", "band", named).select("model", "step", F.concat_ws("_", "band", "v.m").alias("metric"), "v.value")
+
+
 # -- learning-rate plateaus --------------------------------------------------------
 
 
+class DeadlineMap:
+    """What a range of steps does to the deadline it starts with: deadline in -> deadline out, and cuts.
+
+    The map is constant on pieces: which step first moves the deadline is all that the start
+    decides. Piece i holds for starts below `limits[i]` (and not below the one before). A start
+    is at most the range's first step + patience, so pieces end there, or at a step that improves.
+    """
+
+    def __init__(self, patience: int):
+        self.patience = patience
+        self.limits, self.ends, self.cuts = ([] for _ in range(3))
+        # Starts from the last limit on still wait for a step.
+        self.waiting, self.least, self.until = True, None, None
+
+    def step(self, at: int, improved: bool) -> None:
+        moved = at + self.patience
+        if self.until is None:
+            self.until = max(moved, self.patience)
+        if improved:
+            self.ends = [moved] * len(self.ends)
+            if self.waiting:
+                self._piece(None, moved, 0)
+            self.least = moved
+            self._joined()
+            return
+        if self.least is not None and at > self.least:
+            for i, end in enumerate(self.ends):
+                if at > end:
+                    self.ends[i], self.cuts[i] = moved, self.cuts[i] + 1
+            self._joined()
+            self.least = min(self.ends)
+        if self.waiting and (not self.limits or self.limits[-1] < at):
+            self._piece(None if at > self.until else at, moved, 1)
+
+    def _piece(self, limit: int | None, end: int, cuts: int) -> None:
+        """A limit of None holds for all starts that are left."""
+        self.limits.append(limit)
+        self.ends.append(end)
+        self.cuts.append(cuts)
+        self.waiting = limit is not None
+        self.least = end if self.least is None else min(self.least, end)
+
+    def _joined(self) -> None:
+        """Neighbours that came to the same end become one piece."""
+        kept = [i for i in range(len(self.ends)) if i + 1 == len(self.ends) or (self.ends[i], self.cuts[i]) != (self.ends[i + 1], self.cuts[i + 1])]
+        self.limits, self.ends, self.cuts = ([x[i] for i in kept] for x in (self.limits, self.ends, self.cuts))
+
+    @staticmethod
+    def apply(limits, ends, cuts, start: int) -> tuple[int, int]:
+        for limit, end, cut in zip(limits, ends, cuts):
+            if pd.isna(limit) or start < limit:
+                return int(end), int(cut)
+        return start, 0
+
+
 def plateau_schedule(
     results: DataFrame, patience: int, multiplier: float, square: bool = True, chunks: int | None = None
 ) -> DataFrame:
@@ -123,10 +201,10 @@ def plateau_schedule(
 
     A step that brings any metric to or below its best so far moves the deadline to
     step + patience. Any other step past the deadline cuts the rate and moves it too.
-    The deadline is the only state carried along a model's log. Ranges of (model, step) are
-    folded on their own, so a long log is never held in one task; then the few ranges that
-    started from a wrong deadline are folded again until none is left. A range depends only
-    on the one before it, so the result is the sequential one.
+    The deadline is the only state carried along a model's log. Ranges of (model, step) become
+    maps from the deadline they start with to the one they end with; a model's maps, one small
+    row per range, are applied one after the other, which gives every range its true start. So
+    steps are read twice, however many ranges there are, and no log is held in one task.
     """
     scanned = running(
         results.filter(F.col("value").isNotNull()),
@@ -140,66 +218,62 @@ def plateau_schedule(
     )
     ranges = in_chunks(steps, ["model"], [F.col("step")], chunks)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cuts of each range, and per range a last row without a step that holds the deadline."""
-        columns = ["model", CHUNK, "step", "nth", "start", "end"]
-        current, start, deadline, nth = None, 0, 0, 0
+    def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row per range; rows of a range come together and in order."""
+        key, known = None, None
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame({"model": [key[0]], CHUNK: [key[1]], "limits": [known.limits], "ends": [known.ends], "n": [known.cuts]})
+
+        for batch in batches:
+            for at in zip(batch["model"], batch[CHUNK].tolist(), batch["step"].tolist(), batch["improved"].tolist()):
+                if at[:2] != key:
+                    if key is not None:
+                        yield row()
+                    key, known = at[:2], DeadlineMap(patience)
+                known.step(*at[2:])
+        if key is not None:
+            yield row()
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Start and cuts before of every range of a model, from its maps in order."""
+        model, start, cuts = None, 0, 0
         for batch in batches:
             out = []
-            for key, step, improved, begin in zip(
-                zip(batch["model"], batch[CHUNK]), batch["step"].tolist(), batch["improved"].tolist(), batch["start"].tolist()
-            ):
-                if key != current:
-                    if current is not None:
-                        out.append((*current, None, nth, start, deadline))
-                    current, start, deadline, nth = key, begin, begin, 0
-                if improved:
-                    deadline = step + patience
-                elif step > deadline:
+            for name, chunk, *pieces in zip(batch["model"], batch[CHUNK], batch["limits"], batch["ends"], batch["n"]):
+                if name != model:
+                    model, start, cuts = name, patience, 0
+                out.append((model, chunk, start, cuts))
+                start, more = DeadlineMap.apply(*pieces, start)
+                cuts += more
+            yield pd.DataFrame(out, columns=["model", CHUNK, "start", "before"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, deadline, nth = None, 0, 0
+        for batch in batches:
+            out = []
+            columns = (batch["model"], batch[CHUNK], batch["step"].tolist(), batch["improved"].tolist(), batch["start"], batch["before"])
+            for model, chunk, step, improved, start, before in zip(*columns):
+                if (model, chunk) != key:
+                    key, deadline, nth = (model, chunk), start, before
+                if not improved and step > deadline:
                     nth += 1
+                    out.append((model, step, nth))
                     deadline = step + patience
-                    out.append((*key, step, nth, start, 0))
-            yield pd.DataFrame(out, columns=columns).astype({"step": "Int64"})
-        if current is not None:
-            yield pd.DataFrame([(*current, None, nth, start, deadline)], columns=columns).astype({"step": "Int64"})
-
-    def folded(rows: DataFrame) -> DataFrame:
-        # Sorted partitions stream through the fold; no range is held as a whole.
-        return (
-            rows.select("model", CHUNK, "step", "improved", "start")
-            .repartition(F.col("model"), F.col(CHUNK))
-            .sortWithinPartitions("model", CHUNK, "step")
-            .mapInPandas(fold, f"model string, {CHUNK} int, step bigint, nth bigint, start bigint, end bigint")
-        )
-
-    in_order = Window.partitionBy("model").orderBy(CHUNK)
-    found = checkpointed(folded(ranges.withColumn("start", F.lit(patience))))
-    while True:
-        # One row per (model, range) from here on.
-        ends = found.filter(F.col("step").isNull())
-        carried = F.coalesce(F.lag("end").over(in_order), F.lit(patience).cast("bigint"))
-        wrong = (
-            ends.withColumn("_start", carried)
-            .filter(F.col("_start") != F.col("start"))
-            .select("model", CHUNK, F.col("_start").alias("start"))
-        )
-        if wrong.isEmpty():
-            break
-        again = folded(ranges.join(wrong, ["model", CHUNK]))
-        found = checkpointed(found.join(wrong, ["model", CHUNK], "left_anti").unionByName(again))
-    before = ends.select(
-        "model",
-        CHUNK,
-        F.coalesce(F.sum("nth").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-    )
+                elif improved:
+                    deadline = step + patience
+            yield pd.DataFrame(out, columns=["model", "step", "cuts"])
+
+    # Sorted partitions stream through; a range is never held as a whole.
+    ordered = ranges.repartition("model", CHUNK).sortWithinPartitions("model", CHUNK, "step")
+    maps = ordered.mapInPandas(mapped, f"model string, {CHUNK} int, limits array<bigint>, ends array<bigint>, n array<bigint>")
+    chain = maps.repartition("model").sortWithinPartitions("model", CHUNK)
+    starts = chain.mapInPandas(chained, f"model string, {CHUNK} int, start bigint, before bigint")
+    begun = ranges.join(checkpointed(starts), ["model", CHUNK]).select("model", CHUNK, "step", "improved", "start", "before")
+    begun = begun.repartition("model", CHUNK).sortWithinPartitions("model", CHUNK, "step")
     factor = float(multiplier * multiplier if square else multiplier)
-    cuts = (F.col("nth") + F.col("_before")).alias("cuts")
-    return (
-        found.filter(F.col("step").isNotNull())
-        .join(before, ["model", CHUNK])
-        .select("model", "step", cuts)
-        .withColumn("factor", F.pow(F.lit(factor), F.col("cuts")))
-    )
+    found = begun.mapInPandas(cut, "model string, step bigint, cuts bigint")
+    return found.withColumn("factor", F.pow(F.lit(factor), F.col("cuts")))
 
 
 # -- model tables ------------------------------------------------------------------

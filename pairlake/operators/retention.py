@@ -40,6 +40,7 @@ AGE_CREATED = 60
 AGE_LOG = 5 * 60
 AGE_RESULTS = 15 * 60
 AGE_EMPTY = 60 * 60
+KEPT_NAMES = ("backups", "old")
 
 
 def _any_contained(name: Column, texts: Sequence[str]) -> Column:
@@ -175,6 +176,6 @@ def stalled_runs(runs: DataFrame, now: Column) -> DataFrame:
         | younger("created", AGE_CREATED)
         | younger("log_time", AGE_LOG)
         | younger("results_time", AGE_RESULTS)
-        | F.col("name").isin("backups", "old")
+        | F.col("name").isin(*KEPT_NAMES)
     )
     return runs.filter(~spared)

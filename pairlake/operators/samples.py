@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +16,42 @@ from pairlake.operators.crops import uniform
 from pairlake.operators.scan import ranked
 
 
-def order_hash(keys: list[str], seed: int) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+ROUNDS = 4
+
+
+def permuted(rank: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A bijection of 0 .. n-1 fixed by the seed: a Feistel network over the next power of four, walked until inside."""
+    bits = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << bits) - 1
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> bits, x & mask
+        for i in range(ROUNDS):
+            key = (seed * 1000003 + i * 7919) % (1 << 31)
+            left, right = right, left ^ ((right * 2654435761 + key) >> 7 & mask)
+        return left << bits | right
+
+    x = once(rank.astype(np.int64))
+    while (outside := x >= n).any():
+        x[outside] = once(x[outside])
+    return x
 
 
 def seeded_shuffle(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Rows in an order fixed by the seed; a range-partitioned sort."""
-    return df.orderBy(order_hash(keys, seed), *keys)
+    """Rows with their `position`, from 0, in an order fixed by the seed and the order of `keys`.
+
+    Ranks of the keys come from a range scan and go through a bijection, so no row moves to its
+    position. `keys` must tell rows apart for the order to be the same in every run. Up to 2^40 rows.
+    """
+    ranks = ranked(df, [], [F.col(k) for k in keys], "position")
+    n = df.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = batch.column(batch.num_columns - 1).to_numpy() - 1
+            yield batch.set_column(batch.num_columns - 1, "position", pa.array(permuted(rank, n, seed)))
+
+    return ranks.mapInArrow(run, ranks.schema)
 
 
 def training_batches(

@@ -464,8 +464,22 @@ def image_key(spark, sf):
     return shown.select(N.image_key(F.col("y_fpath"), F.col("image_set"), F.col("gt_fpath")).alias("image_key"))
 
 
-@query("seeded_shuffle", "path:s")
+_ROUND = "xor(l{0}, ((r{0} * 2654435761 + {1}) >> 7) & m) AS r{2}, r{0} AS l{2}"
+_FEISTEL_SQL = "x >> b AS l0, x & m AS r0, " + ", ".join(_ROUND.format(i, (7 * 1000003 + i * 7919) % (1 << 31), i + 1) for i in range(4))
+
+
+@query(
+    "seeded_shuffle",
+    "path:s position:i",
+    f"""WITH RECURSIVE {T.MANIFEST_SQL},
+    ranks AS (SELECT path, seq, row_number() OVER (ORDER BY path, seq) - 1 AS x FROM manifest),
+    sizes AS (SELECT n, b, CAST(pow(2, b) AS BIGINT) - 1 AS m FROM
+      (SELECT n, CAST(greatest(1, ceil(ceil(log2(n)) / 2)) AS BIGINT) AS b FROM (SELECT count(*) AS n FROM manifest))),
+    walk AS (SELECT path, seq, (l4 << b) | r4 AS x, 0 AS step FROM (SELECT *, {_FEISTEL_SQL} FROM ranks, sizes)
+      UNION ALL SELECT path, seq, (l4 << b) | r4, step + 1 FROM (SELECT *, {_FEISTEL_SQL} FROM walk, sizes WHERE x >= n))
+    SELECT path, x AS position FROM walk, sizes WHERE x < n""",
+)
 def seeded_shuffle(spark, sf):
     from pairlake.operators.samples import seeded_shuffle as shuffle
 
-    return shuffle(T.manifest(spark, sf), ["path", "seq"], seed=7)
+    return shuffle(T.manifest(spark, sf).select("path", "seq"), ["path", "seq"], seed=7)

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 from pairlake.functions import colour as C
 from pairlake.operators import evaluate as V
 from pairlake.operators import frames as M
-from pairlake.operators import preparation as P
+from pairlake.operators import masks as B
 from pairlake.operators import samples as S
+from pairlake.operators import similarity as N
 from pairlake.operators.batches import map_rows
 from pairlake.plans import tables as T
 from pairlake.plans.common import query, table
 from pairlake.plans.result_queries import MULTIPLIER
 from pairlake.plans.sample_queries import _CORNER_SQL, _OVERLAP_SQL, _SHIFTED_SQL, _UNIFORM
 from pairlake.plans.sample_queries import _matrix_sql, _plane_frames
-from pairlake.session import checkpoint_folder
+from pairlake.session import checkpoint_folder, checkpointed
 from pairlake.sources import documents as D
 from pairlake.sources import files as L
 from pairlake.sources import sinks as W
@@ -48,7 +49,7 @@ def _crops(spark, sf):
 
 
 _X_Y_SQL = f"""{T.RGB_SQL}, {T.PAIRED_SQL}, {_SHIFTED_SQL},
-clean_side AS (SELECT f_id AS sample_id, a.ch, {_CORNER_SQL}, a.v, dy, dx, gt_id FROM shifted
+clean_side AS MATERIALIZED (SELECT f_id AS sample_id, a.ch, {_CORNER_SQL}, a.v, dy, dx, gt_id FROM shifted
   JOIN rgb a ON a.image_id = gt_id WHERE {_OVERLAP_SQL}),
 x_side AS (SELECT s.sample_id, s.ch, s.y, s.x, s.v, m.v < 0.7::DOUBLE AS valid FROM clean_side s
   JOIN rgb m ON m.image_id = s.gt_id AND m.ch = 0 AND m.y = s.y AND m.x = s.x)"""
@@ -112,6 +113,24 @@ def assemble_samples_same(spark, sf):
     )
 
 
+@query(
+    "crop_masks",
+    "image_id:i crop_id:i y:i x:i valid:b",
+    f"""WITH {T.MONO_SQL}, stored AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 2), (2, 2, 1), (3, 3, 3)) AS t(crop_id, cy, cx)),
+    spots AS (SELECT *, 2 * cy + oy AS at_y, 2 * cx + ox AS at_x FROM (SELECT vec_id AS image_id FROM embeddings), stored,
+      (SELECT unnest(range(4)) AS oy), (SELECT unnest(range(4)) AS ox))
+    SELECT s.image_id, crop_id, oy AS y, ox AS x, coalesce(v < 0.6::DOUBLE, false) AS valid
+    FROM spots s LEFT JOIN mono m ON m.image_id = s.image_id AND m.y = at_y AND m.x = at_x""",
+)
+def crop_masks(spark, sf):
+    frames = T.mono_frames(spark, sf)
+    masks = B.exposure_tiles(M.tile_frames(frames, 4), 0.6)
+    listed = "inline(array(struct(0, 0, 0), struct(1, 1, 2), struct(2, 2, 1), struct(3, 3, 3))) AS (crop_id, y, x)"
+    crops = frames.selectExpr("image_id", listed).selectExpr("*", "4 AS h", "4 AS w")
+    made = V.crop_masks(crops, masks, ["image_id"], tile=4).select("image_id", "crop_id", F.posexplode("mask").alias("at", "valid"))
+    return made.selectExpr("image_id", "crop_id", "at div 4 AS y", "at % 4 AS x", "valid")
+
+
 # -- evaluation --------------------------------------------------------------------
 
 
@@ -265,7 +284,19 @@ def ms_ssim(spark, sf):
     pairs = T.frame_pairs(T.rgb_frames(spark, sf)).selectExpr(
         "*", "CAST(f_id % 3 AS int) AS dy", "CAST(-(f_id % 2) AS int) AS dx", "1.0D AS aligned_gain"
     )
-    return P.ms_ssim(pairs, M.tile_frames(frames, 176), reach=2, size=176)
+    return N.ms_ssim(pairs, checkpointed(M.tile_frames(frames, 96)), size=96)
+
+
+@query("scored_bands", "band:d images:i mean_score:d")
+def scored_bands(spark, sf):
+    """Scores into the descriptor, then the mean score of the pairs at or above each band's bound."""
+    pairs = T.frame_pairs(T.rgb_frames(spark, sf)).selectExpr(
+        "*", "CAST(f_id % 3 AS int) AS dy", "CAST(-(f_id % 2) AS int) AS dx", "1.0D AS aligned_gain"
+    )
+    scored = N.with_scores(pairs, checkpointed(M.tile_frames(_large_frames(spark, sf), 96)), 96)
+    bounds = F.explode(F.array(*[F.lit(b) for b in (0.0, 0.2, 0.4, 0.6)])).alias("band")
+    banded = scored.select("rgb_msssim_score", bounds).filter("rgb_msssim_score >= band")
+    return banded.groupBy("band").agg(F.count(F.lit(1)).alias("images"), F.avg("rgb_msssim_score").alias("mean_score"))
 
 
 # -- batches and augmentation ------------------------------------------------------
@@ -567,7 +598,7 @@ def stream_captures(spark, sf):
     schema = table(spark, sf, "documents").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet")
     files = arriving.selectExpr("sha1(text) AS sha1", "timestamp_seconds(1700000000 + doc_id) AS mtime")
-    return J.run_available(J.stream_captures(files, "30 days"))
+    return J.run_available(J.stream_captures(files))
 
 
 @query(

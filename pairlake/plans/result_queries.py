@@ -51,6 +51,32 @@ def best_step(spark, sf):
     return R.best_step(T.results_long(spark, sf))
 
 
+# Bands of a score per image: at least, at most, and a part between.
+BANDS = {"ge0.8": (0.8, None), "le0.4": (None, 0.4), "mid": (0.4, 0.8)}
+
+
+@query(
+    "banded_best_step",
+    "model:s metric:s best_step:i best_value:d",
+    f"""WITH {T.IMAGE_RESULTS_SQL},
+    scores AS (SELECT 'img' || p_partkey AS image_key, CASE WHEN p_partkey % 13 > 0 THEN p_size / 50.0::DOUBLE END AS score FROM part),
+    banded AS (SELECT r.*, band FROM image_results r JOIN scores s USING (image_key)
+      JOIN (VALUES ('ge0.8', 0.8::DOUBLE, 9), ('le0.4', -9, 0.4::DOUBLE), ('mid', 0.4::DOUBLE, 0.8::DOUBLE)) AS b(band, lo, hi)
+      ON s.score >= lo AND s.score <= hi),
+    long AS (SELECT model, step, band || '_bpp' AS metric, avg(bpp) AS value FROM banded GROUP BY ALL
+      UNION ALL SELECT model, step, band || '_msssim_loss', avg(msssim_loss) FROM banded GROUP BY ALL),
+    results AS (SELECT model, step, metric, round(value, 9) AS value FROM long), {_BEST}
+    SELECT * FROM best""",
+)
+def banded_best_step(spark, sf):
+    scores = table(spark, sf, "part").selectExpr(
+        "'img' || p_partkey AS image_key", "CASE WHEN p_partkey % 13 > 0 THEN p_size / 50.0D END AS score"
+    )
+    banded = R.banded_results(T.image_results(spark, sf), scores, BANDS, ["bpp", "msssim_loss"])
+    # Means of equal values may differ in their last bits; ties go by step.
+    return R.best_step(banded.withColumn("value", F.round("value", 9)))
+
+
 @query(
     "best_step_warmup_nonzero",
     "model:s metric:s best_step:i best_value:d",

@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from pairlake.functions import colour as C
 from pairlake.functions import geometry as G
+from pairlake.operators import choice as H
 from pairlake.operators import crops as X
 from pairlake.operators import frames as M
+from pairlake.operators import masks as L
 from pairlake.operators import preparation as P
 from pairlake.plans import tables as T
 from pairlake.plans.common import query, table
@@ -515,9 +517,10 @@ def sharpen(spark, sf):
     "image_id:i ch:i y:i x:i v:d",
     f"""WITH {T.RGB_SQL}, arms AS (SELECT * FROM (VALUES (0, 0, -4), (1, 0, 1), (-1, 0, 1), (0, 1, 1), (0, -1, 1))
       AS t(oy, ox, wt)),
-    edges AS (SELECT a.image_id, a.y, a.x, sum(wt * b.v) AS lap FROM rgb a, arms, rgb b
-      WHERE a.ch = 2 AND b.ch = 2 AND b.image_id = a.image_id
-        AND b.y = {_MIRROR.format(c='a.y + oy')} AND b.x = {_MIRROR.format(c='a.x + ox')} GROUP BY ALL)
+    asked AS MATERIALIZED (SELECT image_id, y, x, wt, {_MIRROR.format(c='y + oy')} AS near_y, {_MIRROR.format(c='x + ox')} AS near_x
+      FROM rgb, arms WHERE ch = 2),
+    edges AS (SELECT a.image_id, a.y, a.x, sum(wt * b.v) AS lap FROM asked a
+      JOIN rgb b ON b.image_id = a.image_id AND b.ch = 2 AND b.y = a.near_y AND b.x = a.near_x GROUP BY ALL)
     SELECT r.image_id, r.ch, r.y, r.x, least(greatest(r.v, 0), 1) + 0.3::DOUBLE * lap AS v
     FROM rgb r JOIN edges e ON e.image_id = r.image_id AND e.y = r.y AND e.x = r.x""",
 )
@@ -619,6 +622,58 @@ def random_crops(spark, sf):
     return X.random_crops(tiles, n=2, size=4, seed=7)
 
 
+_CROPS_SQL = """crops AS (SELECT image_id, c.* FROM (SELECT DISTINCT image_id FROM mono),
+  (VALUES (0, 0, 0, 8, 6), (1, 0, 2, 8, 6), (2, 2, 0, 6, 8), (3, 0, 0, 4, 4), (4, 1, 1, 7, 7)) AS c(crop_id, y, x, h, w)
+  WHERE (image_id + crop_id) % 3 > 0 OR crop_id = 3)"""
+
+
+def _crops(spark, sf):
+    listed = "inline(array(struct(0, 0, 0, 8, 6), struct(1, 0, 2, 8, 6), struct(2, 2, 0, 6, 8), struct(3, 0, 0, 4, 4), struct(4, 1, 1, 7, 7)))"
+    crops = T.mono_frames(spark, sf).selectExpr("image_id", f"{listed} AS (crop_id, y, x, h, w)")
+    return crops.filter("(image_id + crop_id) % 3 > 0 OR crop_id = 3")
+
+
+def _crop_draw(*salts: str) -> str:
+    return _UNIFORM.format(t=" || ':' || ".join(["image_id", "'11'", "crop_id", *salts]))
+
+
+@query(
+    "choose_crops",
+    "image_id:i crop_id:i turn:i sample:i attempt:i y0:i x0:i",
+    f"""WITH {T.MONO_SQL}, {_CROPS_SQL},
+    turns AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {_crop_draw("'turn'")}, crop_id) - 1 AS turn FROM crops),
+    tries AS (SELECT *, CAST(floor({_crop_draw("sample", "attempt", "'y'")} * (h - 4)) AS INT) AS ry,
+        CAST(floor({_crop_draw("sample", "attempt", "'x'")} * (w - 4)) AS INT) AS rx
+      FROM turns, (SELECT unnest(range(2)) AS sample), (SELECT unnest(range(3)) AS attempt) WHERE h > 4 AND w > 4),
+    spots AS (SELECT image_id, crop_id, turn, sample, attempt, y + ry - ry % 2 AS y0, x + rx - rx % 2 AS x0 FROM tries),
+    judged AS (SELECT s.*, avg((m.v < 0.56::DOUBLE)::INT) AS share FROM spots s JOIN mono m ON m.image_id = s.image_id
+      AND m.y >= s.y0 AND m.y < s.y0 + 4 AND m.x >= s.x0 AND m.x < s.x0 + 4 GROUP BY ALL),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY image_id, crop_id, sample ORDER BY attempt) AS nth FROM judged WHERE share >= 0.5),
+    usable AS (SELECT image_id, min(turn) AS turn FROM
+      (SELECT image_id, turn FROM firsts WHERE nth = 1 GROUP BY image_id, turn HAVING count(*) = 2) GROUP BY image_id)
+    SELECT image_id, crop_id, turn, sample, attempt, y0, x0 FROM firsts JOIN usable USING (image_id, turn) WHERE nth = 1""",
+)
+def choose_crops(spark, sf):
+    masks = L.exposure_tiles(M.tile_frames(T.mono_frames(spark, sf), SIZE), 0.56)
+    return H.choose_crops(_crops(spark, sf), masks, ["image_id"], n=2, size=4, seed=11, retries=2, tile=SIZE)
+
+
+@query(
+    "middle_crop",
+    "image_id:i crop_id:i y0:i x0:i",
+    f"""WITH RECURSIVE {T.MONO_SQL}, {_CROPS_SQL},
+    walk AS (SELECT image_id, list((x, y, crop_id, h, w) ORDER BY x, y, crop_id) AS l, 0 AS step FROM crops GROUP BY image_id
+      UNION ALL SELECT image_id, l[:len(l) // 2] || l[len(l) // 2 + 2:], step + 1 FROM walk
+        WHERE len(l) > 0 AND (l[len(l) // 2 + 1][4] < 6 OR l[len(l) // 2 + 1][5] < 6)),
+    ends AS (SELECT image_id, arg_max(l, step) AS l FROM walk GROUP BY image_id),
+    found AS (SELECT image_id, l[len(l) // 2 + 1] AS c FROM ends WHERE len(l) > 0)
+    SELECT image_id, c[3] AS crop_id, c[2] + (c[4] // 2 - 3) - (c[4] // 2 - 3) % 2 AS y0,
+      c[1] + (c[5] // 2 - 3) - (c[5] // 2 - 3) % 2 AS x0 FROM found""",
+)
+def middle_crop(spark, sf):
+    return H.middle_crop(_crops(spark, sf), ["image_id"], 6)
+
+
 @query(
     "crop_to_multiple",
     _PX + " v:d",
@@ -710,9 +765,11 @@ _CORNER_SQL = """a.y - CASE WHEN dy > 0 THEN dy ELSE abs(dy) % 2 END AS y, a.x -
 @query(
     "shift_pair",
     "gt_id:i f_id:i ch:i y:i x:i a:d b:d",
-    f"""WITH {T.RGB_SQL}, {T.PAIRED_SQL}, {_SHIFTED_SQL} SELECT gt_id, f_id, a.ch, {_CORNER_SQL}, a.v AS a, b.v AS b
-    FROM shifted JOIN rgb a ON a.image_id = gt_id JOIN rgb b ON b.image_id = f_id AND b.ch = a.ch
-      AND b.y = a.y - dy AND b.x = a.x - dx WHERE {_OVERLAP_SQL}""",
+    f"""WITH {T.RGB_SQL}, {T.PAIRED_SQL}, {_SHIFTED_SQL},
+    clean AS MATERIALIZED (SELECT gt_id, f_id, a.ch, {_CORNER_SQL}, a.v, a.y - dy AS other_y, a.x - dx AS other_x
+      FROM shifted JOIN rgb a ON a.image_id = gt_id WHERE {_OVERLAP_SQL})
+    SELECT gt_id, f_id, c.ch, c.y, c.x, c.v AS a, b.v AS b FROM clean c
+    JOIN rgb b ON b.image_id = f_id AND b.ch = c.ch AND b.y = other_y AND b.x = other_x""",
 )
 def shift_pair(spark, sf):
     pixels = _rgb_pixels(spark, sf)

@@ -52,8 +52,8 @@ def stream_improvements(results: DataFrame, salts: int = SALTS) -> DataFrame:
     def update(
         key: tuple, batches: Iterable[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["value", "step"])
-        value, step = float(rows["value"].iloc[0]), int(rows["step"].iloc[0])
+        # Batch by batch: a group of a micro-batch may be long.
+        value, step = min(min(zip(rows["value"].tolist(), rows["step"].tolist())) for rows in batches)
         if not state.exists or (value, step) < tuple(state.get):
             state.update((value, step))
             yield pd.DataFrame({"model": [key[0]], "metric": [key[1]], "step": [step], "value": [value]})
@@ -82,13 +82,12 @@ def settled_best(improvements: DataFrame) -> DataFrame:
 # -- captures ----------------------------------------------------------------------
 
 
-def stream_captures(files: DataFrame, delay: str | None = None) -> DataFrame:
+def stream_captures(files: DataFrame) -> DataFrame:
     """Each content once as files arrive, whatever their `mtime`s.
 
     The state keeps every content seen, spread over tasks by `sha1`: late files and copies of
     any age are judged as in the batch twin. A watermark would forget contents and drop late
-    files, so `delay` is not used. A folder that an earlier version began has another state
-    and cannot be continued.
+    files. A folder that an earlier version began has another state and cannot be continued.
     """
     return files.withColumn("mtime", F.col("mtime").cast("timestamp")).dropDuplicates(["sha1"])
 

@@ -1,5 +1,7 @@
 """Hot groups: scans and joins must equal their plain forms when one key holds most rows."""
 
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,24 @@ def test_plateau_crosses_ranges(spark):
     assert any(r.model == "a" for r in got)
 
 
+def test_deadline_maps_are_the_sequential_fold():
+    chooser = random.Random(4)
+    for _ in range(400):
+        patience = chooser.randint(0, 12)
+        steps = sorted(chooser.sample(range(60), chooser.randint(1, 20)))
+        better = [chooser.random() < 0.15 for _ in steps]
+        known = R.DeadlineMap(patience)
+        for at, improved in zip(steps, better):
+            known.step(at, improved)
+        for start in {patience, *range(steps[0], steps[0] + patience + 1)} if steps[0] else {patience}:
+            deadline, cuts = start, 0
+            for at, improved in zip(steps, better):
+                if improved or at > deadline:
+                    cuts, deadline = cuts + (not improved), at + patience
+            assert R.DeadlineMap.apply(known.limits, known.ends, known.cuts, start) == (deadline, cuts)
+        assert len(known.limits) <= patience + 2
+
+
 def test_content_duplicates_hot_content(spark):
     files = spark.range(500).selectExpr(
         "id AS seq", "concat('p', id) AS path", "CASE WHEN id % 2 = 0 THEN 'same' ELSE concat('c', id) END AS sha1"

@@ -152,7 +152,7 @@ def test_captures_arrive_once(spark, tmp_path):
             f"concat('p{part}-', id) AS path", "concat('h', id % 12) AS sha1", f"timestamp_seconds({part} * 60 + id) AS mtime"
         ).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
-        seen = J.run_available(J.stream_captures(stream, "1 day"), str(tmp_path / "seen"))
+        seen = J.run_available(J.stream_captures(stream), str(tmp_path / "seen"))
     assert sorted(r.sha1 for r in seen.collect()) == sorted(f"h{i}" for i in range(12))
 
 
@@ -165,6 +165,6 @@ def test_late_captures_and_far_copies(spark, tmp_path):
             f"concat('p{part}-', id) AS path", "concat('h', id) AS sha1", f"timestamp_seconds({day} * 86400 + id) AS mtime"
         ).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(schema).parquet(folder)
-        seen = J.run_available(J.stream_captures(stream, "1 day"), str(tmp_path / "seen"))
+        seen = J.run_available(J.stream_captures(stream), str(tmp_path / "seen"))
     whole = spark.read.schema(schema).parquet(folder)
     assert sorted(r.sha1 for r in seen.collect()) == sorted(r.sha1 for r in whole.select("sha1").distinct().collect())
