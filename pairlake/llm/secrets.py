@@ -15,7 +15,7 @@ rows; only the named columns are read, so others may have any names.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +26,19 @@ from pairlake.session import checkpointed
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern (Java and RE2 syntax); a match counts if `least` characters are in `group`."""
+    """A pattern (Java and RE2 syntax); a match counts if `least` characters are in `group`.
+
+    A text without a match of `needs` has the matches of `lone`, which is then searched instead:
+    it spares a pattern with a far end from looking for it from every beginning.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
     version: int = 1
+    lone: str = ""
+    needs: str = ""
 
     @property
     def tag(self) -> str:
@@ -52,13 +58,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+# One class for the words of a header: a repeated group would recurse in the JVM once a word.
+_KEY, _KEY_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
 #: Formats of public services, as their documentation gives them. A private key runs to the
 #: next END line, whatever quotes or prefixes its lines have; without one its header stands alone.
 MORE = (
     Rule(
         "private_key",
-        r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
-        version=2,
+        _KEY + r"(?:[\s\S]*?" + _KEY_END + ")?",
+        version=3,
+        lone=_KEY,
+        needs=_KEY_END,
     ),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -74,6 +84,9 @@ LEDGER = f"blob string, tags array<string>, spans array<{_SPAN}>"
 
 def spans_of(text: Column, rule: Rule, nth: int) -> Column:
     """All spans of a rule in a text, in order."""
+    if rule.needs:
+        whole, lone = replace(rule, needs=""), replace(rule, pattern=rule.lone, needs="")
+        return F.when(text.rlike(rule.needs), spans_of(text, whole, nth)).otherwise(spans_of(text, lone, nth))
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     body = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found

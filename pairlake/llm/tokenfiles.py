@@ -165,8 +165,9 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the token files of `docs`; `tokenizer` is a file that every executor has."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
-    ranged = rows.repartitionByRange(shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # Rows of one id, and those without one, spread by their texts.
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
+    ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, start = Chunks(tokenizer), 0
@@ -184,7 +185,8 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
             start += int(offsets[-1])
 
     encoded = ordered.mapInArrow(encode, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
-    writer = encoded.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
+    # One file a task, whatever the session says: `start` counts through it.
+    writer = encoded.write.option("maxRecordsPerFile", 0).option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE)
     writer.option("parquet.enable.dictionary", "true").option("compression", "zstd").parquet(path)
 
 
@@ -198,7 +200,9 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     # One row per file; the part number in a name is the file's place.
     sums = spark.read.parquet(path).select("n_tokens", F.col("_metadata.file_name").alias("_file"))
     sums = sums.groupBy("_file").agg(F.sum("n_tokens").alias("_sum"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # Names sort as text, which puts part-100000 before part-99999.
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("_file", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     joined = rows.join(F.broadcast(bases), "_file")
     return joined.select(*[(F.col("start") + F.col("_base")).alias("start") if n == "start" else F.col(n) for n in names])

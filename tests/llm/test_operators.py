@@ -344,3 +344,37 @@ def test_pipeline_stages(spark, odd):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     assert name in E.queries() and E.oracle_sql()[name] == queries.ORACLES[name]
+
+
+@pytest.mark.parametrize(
+    "text, spans",
+    [
+        ("-----BEGIN " + "A " * 500_000, 0),
+        ("-----BEGIN " + "A " * 500_000 + "PRIVATE KEY-----", 1),
+        ("-----BEGIN RSA PRIVATE KEY----- x\n" * 20_000, 20_000),
+        ("-----BEGIN RSA PRIVATE KEY----- " + "ab/+\n" * 200_000 + "-----END RSA PRIVATE KEY-----", 1),
+        ("-----END " + "B " * 300_000 + "-----BEGIN EC PRIVATE KEY-----", 1),
+    ],
+)
+def test_long_key_like_texts_end(spark, text, spans):
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = [s for s in secrets.digest(docs).first()["spans"].split(",") if s.startswith("private_key")]
+    assert len(found) == spans
+
+
+def test_token_files_hold_their_order_under_any_split(spark, tmp_path):
+    path = _tokenizer("byte_bpe_50k.json")
+    rows = [(i // 2 if i % 3 else None, f"text number {i % 7} of many") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        tokenfiles.write(docs, str(tmp_path / "t"), path)
+        found = tokenfiles.read(spark, str(tmp_path / "t")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    found = sorted(found, key=lambda r: r["start"])
+    assert len(found) == 60 and found[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))
+    ids = [r["doc_id"] for r in found]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
