@@ -1,16 +1,25 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams events; blocks of a page become lines. A line knows its
-text, its tags, whether it lies in a part of the page that is never content (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts), and its containers. The ratio of
+text, its tags, whether it lies in a part of the page that is not content (menus, headers,
+footers, sidebars, notices, adverts, forms, comments, scripts), and its container. The ratio of
 text to tags of each line (0 in such parts) is smoothed by a Gaussian, and lines above a
 share of the ratios' deviation form the content cluster.
 
+Some marks of such parts also stand on wrappers of whole pages: a form around everything, `widget`,
+`header` or `modal` in a class. When most of the running text that the ratios select, these
+parts included, lies under such marks, the ratios overrule them: the mark over most of that text
+is taken for a wrapper, and so on until most of the text is free. Elements and names that only ever
+mark other parts (menus, comments, scripts, ...) are never opened.
+
 The cluster selects regions, not lines, so that short paragraphs inside the content stay:
 the articles or main elements that hold lines of the cluster, or, on a page without them, the
 innermost container that holds most of the cluster's text. The main text is every line of
 the regions outside excluded parts, in page order.
 
+The work is linear in the page, however deep its elements: an element knows its parent's number, sums
+go from children to parents, and the open elements of a tag are found by their places.
+
 Defined results: null, empty and tagless pages give their plain text or the empty text; broken
 markup is read as the parser's events come; unclosed elements end with their container;
 rows are extracted each on their own, repeated or not; an empty table gives no rows;
@@ -20,8 +29,10 @@ only page_id, url and html are read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +46,8 @@ SIGMA = 1.0
 CUT = 0.5
 #: Share of the cluster's text that a region holds on pages without article or main.
 MOST = 0.8
+#: Characters of running text under a mark before it can be a wrapper; less is a form, box or notice.
+RUNNING = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -54,6 +67,11 @@ EXCLUDED_NAMES = frozenset(
     "related recommended widget widgets toolbar pagination pager copyright disclaimer search complementary contentinfo "
     "alert".split()
 )
+#: Marks that can stand on a wrapper of the content.
+WRAPPERS = frozenset(
+    "<form> widget widgets header masthead banner modal overlay popup notice alert search toolbar promo related recommended "
+    "newsletter subscribe subscription signup login share sharing social complementary contentinfo disclaimer".split()
+)
 CONTENT = frozenset(("article", "main"))
 #: A new block ends an open paragraph; these bound the search for it.
 SCOPES = frozenset("article main section div td th table li body html blockquote aside nav footer header form".split())
@@ -64,54 +82,96 @@ _NAMES = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
-def excluded(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    if tag in EXCLUDED:
-        return True
+def marks(tag: str, attributes: list[tuple[str, str | None]]) -> frozenset[str]:
+    """What marks an element as not content: its <tag>, words of its names, or `hidden`."""
+    found = {f"<{tag}>"} if tag in EXCLUDED else set()
     if tag in ("html", "body"):
-        return False
+        return frozenset()
     for name, value in attributes:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            found.add("hidden")
         if not value:
             continue
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
+            found.add("hidden")
         if name in ("class", "id", "role"):
             words = set(_NAMES.findall(_CAMEL.sub(r"\1 \2", value).lower()))
             words &= EXCLUDED_NAMES
             # An article or main element is content unless it is a reader's comment or an advert.
-            if words and (tag not in CONTENT or words - {"header", "footer", "related", "notice", "search"}):
-                return True
-    return False
+            if tag not in CONTENT or words - {"header", "footer", "related", "notice", "search"}:
+                found |= words
+    return frozenset(found)
+
+
+class Line(NamedTuple):
+    """A block of a page; `under` holds the marks it lies under, None where one is never opened."""
+
+    text: str
+    tags: int
+    under: frozenset[str] | None
+    container: int
+
+
+class Element(NamedTuple):
+    tag: str
+    marks: frozenset[str]
 
 
 class Lines(HTMLParser):
-    """Blocks of a page as lines: text, tags, excluded or not, and the path of containers."""
+    """Blocks of a page as lines, and the parent of each container."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []
+        #: Open elements; an inline element that ended under open blocks leaves None.
+        self.stack: list[Element | None] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        #: Number and place of open containers.
+        self.containers: list[tuple[int, int]] = [(0, -1)]
+        self.parents = [0]
+        self.marked: dict[str, int] = {}
+        self.closed = 0
+        self.under: frozenset[str] | None = frozenset()
         self.text: list[str] = []
         self.tags = 0
-        self.count = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.lines: list[Line] = []
         self.content: set[int] = set()
 
+    def mark(self, names: frozenset[str], by: int) -> None:
+        """Count an element's marks in (1) or out (-1)."""
+        if not names:
+            return
+        if not names <= WRAPPERS:
+            self.closed += by
+        else:
+            for name in names:
+                self.marked[name] = self.marked.get(name, 0) + by
+                if not self.marked[name]:
+                    del self.marked[name]
+        self.under = None if self.closed else frozenset(self.marked)
+
     def flush(self) -> None:
         words = "".join(self.text).split()
         if words or self.tags:
-            out = any(x for _, _, x in self.stack)
-            path = tuple(n for t, n, _ in self.stack if t not in INLINE)
-            self.lines.append((" ".join(words), self.tags, out, path))
+            self.lines.append(Line(" ".join(words), self.tags, self.under, self.containers[-1][0]))
         self.text, self.tags = [], 0
 
+    def cut(self, place: int) -> None:
+        """End the open elements from `place` on."""
+        while len(self.stack) > place:
+            element = self.stack.pop()
+            if element is not None:
+                self.places[element.tag].pop()
+                self.mark(element.marks, -1)
+        while self.containers[-1][1] >= place:
+            self.containers.pop()
+
+    def last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def end_open(self, names: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in scopes:
-                return
+        place = self.last(names)
+        if place >= 0 and place > self.last(scopes):
+            self.cut(place)
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
         if tag not in INLINE:
@@ -125,26 +185,30 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        self.count += 1
-        out = excluded(tag, attributes)
-        self.stack.append((tag, self.count, out))
-        if tag in CONTENT and not any(x for _, _, x in self.stack):
-            self.content.add(self.count)
+        element = Element(tag, marks(tag, attributes))
+        self.places[tag].append(len(self.stack))
+        self.stack.append(element)
+        self.mark(element.marks, 1)
+        if tag not in INLINE:
+            self.parents.append(self.containers[-1][0])
+            self.containers.append((len(self.parents) - 1, len(self.stack) - 1))
+            if tag in CONTENT and self.under is not None:
+                self.content.add(len(self.parents) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in INLINE:
-                    # An inline element stays open under blocks that were opened in it.
-                    del self.stack[i]
-                else:
-                    del self.stack[i:]
-                return
-            if tag in INLINE and self.stack[i][0] in SCOPES:
-                return
+        place = self.last((tag,))
+        if place < 0:
+            return
+        if tag not in INLINE:
+            self.cut(place)
+        elif place > self.last(SCOPES):
+            # An inline element stays open under blocks that were opened in it.
+            self.mark(self.stack[place].marks, -1)
+            self.places[tag].pop()
+            self.stack[place] = None
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -158,11 +222,30 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def cluster(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> np.ndarray:
-    """Lines whose smoothed ratio stands out."""
-    ratios = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, out, _ in lines])
+def cluster(lines: list[Line], opened: frozenset[str]) -> np.ndarray:
+    """Lines whose smoothed ratio stands out, outside marks that are not `opened`."""
+    inside = np.array([line.under is not None and line.under <= opened for line in lines])
+    ratios = np.array([len(line.text) / max(1, line.tags) for line in lines]) * inside
     smooth = smoothed(ratios)
-    return (smooth >= CUT * smooth.std()) & np.array([bool(text) and not out for text, _, out, _ in lines])
+    return (smooth >= CUT * smooth.std()) & inside & np.array([bool(line.text) for line in lines])
+
+
+def wrappers(lines: list[Line]) -> frozenset[str]:
+    """Marks that stand on wrappers of the content: most running text lies under them."""
+    opened: frozenset[str] = frozenset()
+    if not any(line.under for line in lines):
+        return opened
+    found = [line for line, content in zip(lines, cluster(lines, WRAPPERS)) if content]
+    total = sum(len(line.text) for line in found)
+    while True:
+        held: dict[str, int] = defaultdict(int)
+        for line in found:
+            for name in line.under - opened:
+                held[name] += len(line.text)
+        closed = sum(len(line.text) for line in found if line.under - opened)
+        if closed < max(MOST * total, RUNNING):
+            return opened
+        opened |= {max(held, key=lambda name: (held[name], name))}
 
 
 def main_text(html: str | None) -> str:
@@ -173,28 +256,29 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [line for line in parser.lines if line[0] or line[1]]
+    lines, parents = parser.lines, parser.parents
     if not lines:
         return ""
-    chosen = cluster(lines)
+    opened = wrappers(lines)
+    chosen = cluster(lines, opened)
+    free = [line.under is not None and line.under <= opened and line.text != "" for line in lines]
     if not chosen.any():
-        chosen = np.array([bool(text) and not out for text, _, out, _ in lines])
-    held: dict[int, int] = {}
-    for (text, _, _, path), content in zip(lines, chosen):
+        chosen = np.array(free)
+    held = [0] * len(parents)
+    for line, content in zip(lines, chosen):
         if content:
-            for n in path:
-                held[n] = held.get(n, 0) + len(text)
-    regions = {n for n in parser.content if n in held}
+            held[line.container] += len(line.text)
+    # A container's number is above its parent's.
+    for n in range(len(parents) - 1, 0, -1):
+        held[parents[n]] += held[n]
+    regions = {n for n in parser.content if held[n]}
     if not regions:
-        total = sum(len(line[0]) for line, content in zip(lines, chosen) if content)
         # Containers are numbered in page order, so the last that holds enough is the innermost.
-        regions = {max((n for n, size in held.items() if size >= MOST * total), default=0)}
-    blocks = [
-        text
-        for text, _, out, path in lines
-        if text and not out and (regions == {0} or not regions.isdisjoint(path))
-    ]
-    return "\n\n".join(blocks)
+        regions = {max(n for n, size in enumerate(held) if size >= MOST * held[0])} if held[0] else {0}
+    within = [0 in regions] * len(parents)
+    for n in range(1, len(parents)):
+        within[n] = n in regions or within[parents[n]]
+    return "\n\n".join(line.text for line, stays in zip(lines, free) if stays and within[line.container])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,11 @@
 """Kernels against the libraries and against brute force, without Spark."""
 
+import html
 import random
+import re
+import time
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -186,6 +190,47 @@ def test_main_text():
     assert extract.main_text(page).count("\n\n") == 4 and extract.main_text(page).endswith(" 4")
 
 
+STORY = "".join(f"<p>{'long sentence of the story ' * 8}{i}</p>" for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id=aspnetForm><nav>menu of links</nav>{STORY}<footer>foot</footer></form></body>",
+        f"<body><header>Site</header><div class='elementor-widget text'>{STORY}</div><footer>foot</footer></body>",
+        f"<body><form><div class='widget'>{STORY}</div><div class=sidebar>{'menu ' * 200}</div></form></body>",
+        f"<body><div>{STORY}</div><form>foot <input></form><div class=widget>menu</div><div id=comments>menu {STORY * 9}</div></body>",
+    ],
+)
+def test_wrappers_with_marks_are_opened(page):
+    found = extract.main_text(page)
+    assert found.split("\n\n") == [f"{'long sentence of the story ' * 8}{i}" for i in range(5)]
+
+
+def test_forms_and_boxes_stay_closed():
+    assert extract.main_text("<form>Search the site <input></form>") == ""
+    assert extract.main_text(f"<div class=widget><nav>{STORY}</nav></div>") == ""
+    assert extract.main_text(f"<div id=comments>{STORY}</div><p>short</p>") == "short"
+
+
+def test_deep_pages_are_linear_work():
+    started = time.process_time()
+    for page in ("<div>" * 100_000 + STORY, "<b><ul>" * 100_000 + STORY + "</b>" * 100_000, "<form class=widget>" * 100_000 + STORY):
+        assert extract.main_text(page).count("\n\n") == 4
+    assert time.process_time() - started < 60
+
+
+def test_main_text_of_all_pages_by_their_structure():
+    """The given pages' articles hold headings and paragraphs only, so patterns can cut them."""
+    pages = duckdb.execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    assert len(pages) > 100
+    for (page,) in pages:
+        article = re.search(r"<article>(.*?)</article>", re.sub(r"<script>.*?</script>", "", page), re.S).group(1)
+        blocks = re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", article))
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", b)).split()) for b in blocks]
+        assert extract.main_text(page) == "\n\n".join(b for b in blocks if b)
+
+
 def test_folding_and_exceptions():
     assert toxicity.folded("ІDІОТ 1d10t m0r0n $tupid 2024") == ["idiot", "idiot", "moron", "stupid", "2024"]
     lexicon = toxicity.Lexicon({" trash": 2.0, " idiot": 3.0})
