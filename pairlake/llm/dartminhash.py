@@ -10,18 +10,20 @@ thrown rank by rank until each coordinate has a dart, so a signature costs about
 k (ln k + 3) darts whatever the number of shingles.
 
 Signatures are cut into bands. Documents that share a band are candidates; candidates are
-verified on 32-bit hashes of all their shingles, and classes are connected components of the
-verified links. Texts of n and m units share n * m / 2^32 units too many in expectation (0.09
-at 20,000 words each, 58 at 500,000), so a pair at the very edge of 0.8 can be linked wrongly.
-With 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6.
+verified on 32-bit hashes of all their shingles, and pairs so near to 0.8 that equal hashes of different
+shingles could decide (`_doubt`) once more on 64 bits. Classes are connected components of the
+verified links. With 24 bands of 4 a pair at similarity 0.8 is missed with probability 3e-6.
 
-No group is expanded into all its pairs. Equal texts collapse to one representative. In a
+Nodes are texts, not doc_ids: each distinct word sequence gets a number of its own when the table
+of sequences is written. No group is expanded into all its pairs. Equal texts collapse to one node. In a
 band group every member is compared with one centre; what members differ in from their centre
 then decides exactly which pairs outside the centre's component can still be links
 (`_unsettled`), and only those are compared.
 
 Defined results: null and wordless texts have no shingles and stand alone; repeated rows
-are copies (also under one doc_id); a null doc_id is carried as null and stands alone;
+are copies (also under one doc_id); different texts under one doc_id are documents of their own, of one
+class or several, and of a class the text with the smallest (doc_id, hash) stays; classes whose smallest
+doc_id is the same have the same class_id; a null doc_id is carried as null and stands alone;
 texts are compared whole, however long; an empty table gives no rows.
 """
 
@@ -94,47 +96,80 @@ def band_keys(values: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 _SIGNED = pa.schema(
-    [("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))]
 )
 
 
+def key_of(words: list[bytes]) -> bytes:
+    """The name of a word sequence."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def _sign(batches):
     hashes = WordHash()
     for batch in batches:
         keys, bands = [], []
-        for text in as_bytes(batch.column(1)):
+        for text in as_bytes(batch.column(2)):
             words = text.split()
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
+            keys.append(key_of(words) if words else None)
             bands.append(band_keys(signature(elements(words, hashes.of(words)))) if words else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED
+            [*batch.columns[:2], pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED
         )
 
 
-def _expand(batches):
-    hashes = WordHash()
-    for batch in batches:
-        units = []
-        for text in as_bytes(batch.column(1)):
-            words = text.split()
-            # 32 bits: two texts of 1,000 words are taken for one unit closer once in 4,000 pairs.
-            units.append((elements(words, hashes.of(words)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(units, pa.list_(pa.int32()))], names=["node", "units"]
-        )
+def _short(units: np.ndarray) -> np.ndarray:
+    """The distinct upper halves of the units."""
+    return np.unique((units >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def _long(units: np.ndarray) -> np.ndarray:
+    return units.view(np.int64)
+
+
+def _expand(form, kind: pa.DataType):
+    """A kernel from texts to (key, size, units); `size` counts the units on 64 bits."""
+
+    def run(batches):
+        hashes = WordHash()
+        for batch in batches:
+            keys, sizes, units = [], [], []
+            for text in as_bytes(batch.column(0)):
+                words = text.split()
+                found = elements(words, hashes.of(words))
+                keys.append(key_of(words))
+                sizes.append(len(found))
+                units.append(form(found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(units, pa.list_(kind))],
+                names=["key", "size", "units"],
+            )
+
+    return run
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key of the word sequence, band keys); key and bands are null without words."""
+    """(doc_id, hash of the text, key of the word sequence, band keys); key and bands are null without words."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint"), text_of())
-    return rows.mapInArrow(_sign, "doc_id bigint, key binary, bands array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), text_of())
+    return rows.mapInArrow(_sign, "doc_id bigint, mark bigint, key binary, bands array<bigint>")
+
+
+def _units(docs: DataFrame, wanted: DataFrame, long: bool = False) -> DataFrame:
+    """(node, size, units) of the `wanted` (node, doc_id, key), from the texts under these doc_ids."""
+    texts = docs.select(F.col("doc_id").cast("bigint"), text_of().alias("text"))
+    # Written by itself, the list is seen to be small where it is, and the texts need no shuffle.
+    ids = checkpointed(wanted.select("doc_id").distinct())
+    texts = texts.join(ids, "doc_id", "left_semi").select("text")
+    kernel, kind = (_expand(_long, pa.int64()), "bigint") if long else (_expand(_short, pa.int32()), "int")
+    units = texts.mapInArrow(kernel, f"key binary, size int, units array<{kind}>").dropDuplicates(["key"])
+    return units.join(wanted.select("node", "key"), "key").select("node", "size", "units")
 
 
 def _compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """(node, centre) pairs with both sets of units as arrays `a` and `b`."""
-    left = units.select("node", F.col("units").alias("a"))
-    right = units.select(F.col("node").alias("centre"), F.col("units").alias("b"))
+    """(node, centre) pairs with both sets of units as arrays `a` and `b` and their sizes `n` and `m`."""
+    left = units.select("node", F.col("size").alias("n"), F.col("units").alias("a"))
+    right = units.select(F.col("node").alias("centre"), F.col("size").alias("m"), F.col("units").alias("b"))
     return pairs.join(left, "node").join(right, "centre")
 
 
@@ -142,6 +177,34 @@ def _near(shared: Column, n: Column, m: Column) -> Column:
     return shared >= F.lit(SIMILARITY) * (n + m - shared)
 
 
+def _doubt(n: Column, m: Column, none: float = 1e-9) -> Column:
+    """Units that 32-bit hashes of sets of these sizes may share too many, or merge within a set.
+
+    Their number is near a Poisson variable. It is taken as 0 below the expectation `none`; the bound above is
+    passed with a probability under 1e-6.
+    """
+    mean = n.cast("double") * m.cast("double") / 2.0**32
+    bound = F.when(mean < none, 0).when(mean < 1e-3, 1).otherwise(3 + F.ceil(mean + 6 * F.sqrt(mean)))
+    return bound.cast("int")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) among pairs (node, centre, n, m, shared), `shared` counted on 32 bits."""
+    n, m, shared = (F.col(c) for c in ("n", "m", "shared"))
+    # A set merges its own units as often as half of two sets of its size share them wrongly.
+    doubt = F.greatest(_doubt(n, n), _doubt(n, m), _doubt(m, m))
+    ends = [F.col("node").alias("u"), F.col("centre").alias("v")]
+    sure = pairs.filter(_near(shared - doubt, n, m)).select(*ends)
+    edge = checkpointed(pairs.filter(_near(shared + doubt, n, m) & ~_near(shared - doubt, n, m)).select("node", "centre"))
+    if edge.isEmpty():
+        return checkpointed(sure)
+    ends_of = edge.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
+    wanted = checkpointed(nodes.select("node", "doc_id", "key").join(ends_of, "node", "left_semi"))
+    both = _compared(edge, checkpointed(_units(docs, wanted, long=True)))
+    exact = both.filter(_near(F.size(F.array_intersect("a", "b")), F.col("n"), F.col("m"))).select(*ends)
+    return checkpointed(sure.unionByName(exact))
+
+
 def _stars(bands: DataFrame) -> DataFrame:
     """(node, centre): every member of a band group with the group's centre.
 
@@ -176,9 +239,13 @@ def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     rows = rows.withColumn("lone", F.col("component") != F.coalesce("_home", "centre")).drop("_home")
     open_stars = rows.filter("lone").select("centre").distinct()
     rows = checkpointed(rows.join(checkpointed(open_stars), "centre"))
-    figures = ["centre", "lone", "n_added", "n_removed", "n"]
+    # What 32-bit hashes may bend is allowed for, but in small sets, where it takes a pair at the very edge and a
+    # collision of probability 2e-5 to lose a link.
+    bent = [_doubt(F.col(a), F.col(b), 2e-5) for a, b in ("nn", "nm", "mm")]
+    rows = rows.withColumn("bent", F.greatest(*bent))
+    figures = ["centre", "lone", "n_added", "n_removed", "n", "bent"]
     y, z = ({c: F.col(f"{side}.{c}") for c in [*figures, "k", "node", "component", "unit"]} for side in "yz")
-    slack = F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (y["n"] + z["n"]) + 1e-9
+    slack = F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (y["n"] + z["n"]) + 1e-9 + 2 * (y["bent"] + z["bent"])
     removed = F.abs(y["n_removed"] - z["n_removed"])
     apart = F.abs(y["n_added"] - z["n_added"]) + removed <= slack
     other = (y["component"] != z["component"]) & (~z["lone"] | (y["node"] < z["node"]))
@@ -224,58 +291,64 @@ def _unsettled(stars: DataFrame, label: DataFrame) -> DataFrame:
     return checkpointed(pairs.select(F.least("u", "v").alias("node"), F.greatest("u", "v").alias("centre")).distinct())
 
 
-def links(members: DataFrame, docs: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (u, v) that span the same components as all links of the band groups.
 
-    `members` has (node, bands) for each distinct text.
+    `nodes` has (node, doc_id, key, bands) for each distinct text, `doc_id` a document that holds it.
     """
-    stars = _stars(members.select("node", F.posexplode("bands").alias("band", "key")))
-    wanted = checkpointed(stars.select("node").distinct())
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_of().alias("text"))
-    units = texts.join(wanted, "node", "left_semi").mapInArrow(_expand, "node bigint, units array<int>")
-    units = checkpointed(units.dropDuplicates(["node"]))
+    stars = _stars(nodes.select("node", F.posexplode("bands").alias("band", "key")))
+    starred = nodes.select("node", "doc_id", "key").join(stars.select("node").distinct(), "node", "left_semi")
+    units = checkpointed(_units(docs, checkpointed(starred)))
     both = _compared(stars.filter("node <> centre"), units)
-    both = both.select("node", "centre", F.size("a").alias("n"), F.size("b").alias("m"), F.array_except("a", "b").alias("added"))
-    both = both.withColumn("n_added", F.size("added")).withColumn("n_removed", F.col("m") - F.col("n") + F.col("n_added"))
-    stars = checkpointed(both)
-    shared = F.col("n") - F.col("n_added")
-    found = checkpointed(stars.filter(_near(shared, F.col("n"), F.col("m"))).select(F.col("node").alias("u"), F.col("centre").alias("v")))
+    both = both.select("node", "centre", "n", "m", F.size("a").alias("_a"), F.size("b").alias("_b"), F.array_except("a", "b").alias("added"))
+    both = both.withColumn("n_added", F.size("added")).withColumn("shared", F.col("_a") - F.col("n_added"))
+    stars = checkpointed(both.withColumn("n_removed", F.col("_b") - F.col("shared")).drop("_a", "_b"))
+    found = _verified(stars.select("node", "centre", "n", "m", "shared"), nodes, docs)
     several = checkpointed(stars.groupBy("centre").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("centre"))
-    more = _unsettled(stars.join(several, "centre", "left_semi"), checkpointed(components(found)))
+    more = _unsettled(stars.join(several, "centre", "left_semi").drop("shared"), checkpointed(components(found)))
     both = _compared(more, units)
-    shared = F.size(F.array_intersect("a", "b"))
-    late = both.filter(_near(shared, F.size("a"), F.size("b"))).select(F.col("node").alias("u"), F.col("centre").alias("v"))
-    return found.unionByName(checkpointed(late))
+    late = both.select("node", "centre", "n", "m", F.size(F.array_intersect("a", "b")).alias("shared"))
+    return found.unionByName(_verified(checkpointed(late), nodes, docs))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class_id) per row of `docs`; the class is its smallest doc_id."""
+    """(doc_id, mark, key, class_id, kept) per row of `docs`.
+
+    The class is its smallest doc_id; `kept` marks the rows with the text that stays.
+    """
     rows = checkpointed(signed(docs))
     texts = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    first = checkpointed(texts.groupBy("key").agg(F.min("doc_id").alias("node")))
-    members = rows.withColumnRenamed("doc_id", "node").withColumnRenamed("key", "own").join(first, "node")
-    members = checkpointed(members.filter("own = key").select("node", "bands", "key"))
-    label = components(links(members.select("node", "bands"), docs))
-    named = members.select("node", "key").join(label, "node", "left")
-    # One doc_id may stand for several texts; then they share a class.
-    named = checkpointed(named.select("key", F.coalesce("component", "node").alias("class_id")).distinct())
-    joined = rows.select("doc_id", "key").join(named, "key", "left")
-    return joined.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    nodes = texts.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "bands")).alias("_first"))
+    # Numbers hold once they are written.
+    nodes = checkpointed(nodes.select("key", "_first.*", F.monotonically_increasing_id().alias("node")))
+    label = checkpointed(components(links(nodes, docs)))
+    least = nodes.select("node", "doc_id", "mark").join(label, "node").groupBy("component")
+    least = checkpointed(least.agg(F.min(F.struct("doc_id", "mark")).alias("_least")))
+    linked = label.join(least, "component").select("node", "_least")
+    named = nodes.join(linked, "node", "left")
+    named = checkpointed(named.select("key", F.coalesce("_least", F.struct("doc_id", "mark")).alias("_least")))
+    joined = rows.drop("bands").join(named, "key", "left")
+    known = F.col("doc_id").isNotNull()
+    kept = F.col("_least").isNull() | (F.struct("doc_id", "mark") == F.col("_least"))
+    class_id = F.when(known, F.coalesce("_least.doc_id", "doc_id"))
+    return joined.select("doc_id", "mark", "key", class_id.alias("class_id"), (~known | kept).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class (the one with the smallest doc_id) with its own columns."""
+    """One document of each class (its smallest doc_id, of several texts under that the smallest hash) with its own columns."""
+    if clash := {"_d_mark", "_d_row"} & set(docs.columns):
+        raise ValueError(f"reserved column names: {sorted(clash)}")
     kind = docs.schema["doc_id"].dataType
-    keep = classes(docs).filter("doc_id = class_id").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct()
-    # The join deals the texts by doc_id, which the window needs too.
-    kept = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    keep = classes(docs).filter("kept").select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("mark").alias("_d_mark"))
+    # The join deals the texts by id and text, which the window needs too.
+    kept = docs.filter("doc_id IS NOT NULL").withColumn("_d_mark", F.xxhash64("text"))
+    kept = kept.join(keep, ["doc_id", "_d_mark"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", "_d_mark").orderBy(F.lit(0)))
     kept = kept.withColumn("_d_row", again).filter("_d_row = 1").drop("_d_row")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionByName(docs.filter("doc_id IS NULL").select(*columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: its class, and whether it is the one that stays."""
-    rows = classes(docs.select("doc_id", "text"))
-    return rows.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_kept"))
+    """One row per document: its class, and whether its text is the one that stays."""
+    return classes(docs.select("doc_id", "text")).select("doc_id", "class_id", F.col("kept").alias("is_kept"))

@@ -142,6 +142,30 @@ def test_links_that_no_centre_shows(spark):
     assert found == classes_by_brute_force(rows)
 
 
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b, c = (words(seed, 80) for seed in (21, 22, 23))
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, c + " more"), (4, a), (4, b), (5, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted((r.doc_id, r.text or "") for r in dartminhash.one_of_each(docs).collect())
+    assert kept == sorted([(1, a), (2, b), (2, c), (5, ""), (5, "")])
+    found = Counter((r.doc_id, r.class_id, r.is_kept) for r in dartminhash.digest(docs).collect())
+    assert found == {(1, 1, True): 1, (2, 2, True): 3, (3, 2, False): 1, (4, 1, False): 1, (4, 2, False): 1, (5, 5, True): 3}
+    with pytest.raises(ValueError, match="_d_row"):
+        dartminhash.one_of_each(docs.withColumn("_d_row", F.lit(1)))
+
+
+def test_pairs_at_the_edge_of_the_threshold(spark):
+    """Nine shingles of which eight are shared are 0.8 alike, eight of which seven are shared are less."""
+    rows = []
+    for n in range(40):
+        text = words(100 + n, 13 - n % 2)
+        rows += [(10 * n, text), (10 * n + 1, text + "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.class_id for r in dartminhash.digest(docs).collect()}
+    assert found == {i: i - i % 10 if i // 10 % 2 == 0 else i for i, _ in rows}
+    assert found == classes_by_brute_force(rows)
+
+
 def test_substrings_query(spark):
     expected = kept_by_brute_force(given())
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op7_substrings(spark, SF).collect()}
@@ -276,7 +300,7 @@ def test_odd_rows(spark, odd):
     assert {r.class_id for r in classes if r.doc_id == 3} == {1}
     assert {r.class_id for r in classes if r.doc_id in (4, 5, 6)} == {4, 5, 6}
     stay = [r.doc_id for r in dartminhash.one_of_each(odd).collect()]
-    assert sorted(stay, key=str) == sorted([1, 4, 5, 6, 7, 8, None, 9, 10], key=str)
+    assert sorted(stay, key=str) == sorted([1, 4, 5, 6, 7, 8, 8, None, 9, 10], key=str)
     removed = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.digest(odd).collect()}
     assert removed[2] == (200, 200) and removed[10] == (150, 60) and removed[1] == (200, 0) and removed[7] == (30_000, 0)
     pieces = packing.pack(odd).collect()
