@@ -15,6 +15,7 @@ rows; only the named columns are read, so others may have any names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,8 @@ from pairlake.session import checkpointed
 class Rule:
     """A pattern (Java and RE2 syntax); a match counts if `least` characters are in `group`.
 
-    A text without a match of `needs` has the matches of `lone`, which is then searched instead:
-    it spares a pattern with a far end from looking for it from every beginning.
+    Behind a text's last match of `needs` (all of it where there is none) only `lone` can match and is searched
+    instead: it spares a pattern with a far end from looking for it from every beginning.
     """
 
     kind: str
@@ -82,11 +83,34 @@ _SPAN = "struct<start:bigint,nth:int,kind:string,stop:bigint>"
 LEDGER = f"blob string, tags array<string>, spans array<{_SPAN}>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans_of(text: Column, rule: Rule, nth: int) -> Column:
     """All spans of a rule in a text, in order."""
     if rule.needs:
         whole, lone = replace(rule, needs=""), replace(rule, pattern=rule.lone, needs="")
-        return F.when(text.rlike(rule.needs), spans_of(text, whole, nth)).otherwise(spans_of(text, lone, nth))
+        # Up to the last end every match is closed by one and is passed once; behind it none needs a search for an end.
+        head = F.regexp_extract(text, rf"([\s\S]*{rule.needs})", 1)
+
+        def both(h: Column) -> Column:
+            return _bound(spans_of(h, whole, nth), lambda found: F.concat(found, behind(F.length(h).cast("bigint"), found)))
+
+        def behind(stop: Column, found: Column) -> Column:
+            # A header may begin with the last five dashes of an end that closes nothing.
+            used = F.coalesce(F.try_element_at(found, F.lit(-1))["stop"], F.lit(-1)) == stop
+            return _bound(F.when(used, stop).otherwise(stop - 5), rest)
+
+        def rest(at: Column) -> Column:
+            tail = F.substring(text, (at + 1).cast("int"), F.length(text))
+            return F.transform(
+                spans_of(tail, lone, nth),
+                lambda x: F.struct((x["start"] + at).alias("start"), x["nth"].alias("nth"), x["kind"].alias("kind"), (x["stop"] + at).alias("stop")),
+            )
+
+        return F.when(text.rlike(rule.needs), _bound(head, both)).otherwise(spans_of(text, lone, nth))
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     body = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found

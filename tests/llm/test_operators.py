@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -378,6 +379,7 @@ def test_oracles(spark, name):
         ("-----BEGIN RSA PRIVATE KEY----- x\n" * 20_000, 20_000),
         ("-----BEGIN RSA PRIVATE KEY----- " + "ab/+\n" * 200_000 + "-----END RSA PRIVATE KEY-----", 1),
         ("-----END " + "B " * 300_000 + "-----BEGIN EC PRIVATE KEY-----", 1),
+        ("-----BEGIN A PRIVATE KEY-----\n-----END A PRIVATE KEY-----\n" + "-----BEGIN RSA PRIVATE KEY----- x\n" * 20_000, 20_001),
     ],
 )
 def test_long_key_like_texts_end(spark, text, spans):
@@ -386,6 +388,17 @@ def test_long_key_like_texts_end(spark, text, spans):
     assert len(found) == spans
 
 
+def test_keys_as_one_pattern_finds_them(spark):
+    rule = next(r for r in secrets.MORE if r.kind == "private_key")
+    parts = ["-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "BEGIN A PRIVATE KEY-----", "END A PRIVATE KEY-----", "-----", "x", "\n"]
+    chooser = random.Random(8)
+    texts = {i: "".join(chooser.choices(parts, k=chooser.randint(1, 9))) for i in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in secrets.digest(docs).collect()}
+    expected = {i: ",".join(f"private_key:{m.start()}:{m.end()}" for m in re.finditer(rule.pattern, t)) for i, t in texts.items()}
+    assert found == expected and sum("," in x for x in expected.values()) > 100
+
+
 def test_token_files_hold_their_order_under_any_split(spark, tmp_path):
     path = _tokenizer("byte_bpe_50k.json")
     rows = [(i // 2 if i % 3 else None, f"text number {i % 7} of many") for i in range(60)]
