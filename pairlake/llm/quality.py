@@ -82,13 +82,16 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def measured(texts: Column) -> Column:
-    """The numbers in `_FIELDS` as a struct."""
+    """The numbers in `_FIELDS` as a struct.
+
+    Marked as not deterministic, so that a filter on the numbers does not measure the texts again below a join.
+    """
 
     @F.pandas_udf(", ".join(f"{name} {kind}" for name, kind in _FIELDS.items()))
     def run(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t.encode()) for t in batch], columns=list(_FIELDS))
 
-    return run(texts)
+    return run.asNondeterministic()(texts)
 
 
 def rules() -> dict[str, Column]:
