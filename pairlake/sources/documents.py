@@ -10,23 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlake.operators.batches import map_rows
+from pairlake.session import shuffle_width
 
 TEXTS = "map<string, string>"
 
 
+def _yaml(text: str):
+    """`yaml.safe_load` by libyaml; a text that libyaml does not take is left to the slower parser."""
+    import yaml
+
+    if not yaml.__with_libyaml__:
+        return yaml.safe_load(text)
+    try:
+        return yaml.load(text, yaml.CSafeLoader)
+    except yaml.YAMLError:
+        return yaml.safe_load(text)
+
+
 def parse_descriptors(items: DataFrame, ddl: str) -> DataFrame:
-    """YAML list items (column `item`, with or without the leading dash) to typed rows."""
+    """YAML list items (column `item`, with or without the leading dash) to typed rows.
 
-    def run(r: SimpleNamespace) -> Iterator[tuple]:
-        import yaml
+    Parsing does far more work per byte than reading, so items are dealt to all tasks: a small
+    file is one split.
+    """
 
+    def run(r: SimpleNamespace) -> Iterator[tuple]:
         text = r.item.strip("\n")
         if not text.startswith("- "):
             text = "- " + text
-        for entry in yaml.safe_load(text) or []:
+        for entry in _yaml(text) or []:
             yield (json.dumps(entry),)
 
-    parsed = map_rows(items.select("item"), run, "doc string")
+    dealt = items.select("item").repartition(shuffle_width(items.sparkSession))
+    parsed = map_rows(dealt, run, "doc string")
     return parsed.select(F.from_json("doc", ddl).alias("d")).select("d.*")
 
 
@@ -64,9 +80,7 @@ def yaml_as_json(docs: DataFrame) -> DataFrame:
     """(model, doc) logs in YAML as the same logs in JSON; an empty log stays empty."""
 
     def run(r: SimpleNamespace) -> Iterator[tuple]:
-        import yaml
-
-        yield r.model, json.dumps(yaml.safe_load(r.doc or "") or {}, default=str)
+        yield r.model, json.dumps(_yaml(r.doc or "") or {}, default=str)
 
     return map_rows(docs.select("model", "doc"), run, "model string, doc string")
 

@@ -35,3 +35,15 @@ def test_outgoing_batches_are_bounded_by_bytes():
     assert max(b.nbytes for b in found) < 20 << 20
     assert [k for b in found for k in b.column(0).to_pylist()] == list(range(40))
     assert all(set(row.values.to_numpy()) == {float(k)} for b in found for k, row in zip(b.column(0).to_pylist(), b.column(1)))
+
+
+def test_items_of_one_split_are_parsed_by_all_tasks(spark):
+    items = spark.range(400).selectExpr("'a: n' || id || '\n  b: [1, 2]' AS item").coalesce(1)
+    rows = D.parse_descriptors(items, "a string, b array<int>")
+    assert rows.rdd.getNumPartitions() > 1
+    assert sorted(tuple(r) for r in rows.collect()) == sorted((f"n{i}", [1, 2]) for i in range(400))
+
+
+@pytest.mark.parametrize("text", ["- a: 1\n  b: [x, 'y', null, ~, 2.5, 1e3, yes, 0o7, 010]", "- a: \"\\u00e9 \\U0001F600\"\n- é: ☃\n", "", "- {a: 1, b: {c: [1]}}"])
+def test_yaml_is_read_as_by_the_plain_parser(text):
+    assert D._yaml(text) == yaml.safe_load(text)
