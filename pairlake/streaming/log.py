@@ -10,13 +10,19 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairlake.session import checkpoint_folder
 
-SALTS = 16
+#: Salts of a (model, metric): its entries arrive reduced, so one state holds any model.
+SALTS = 1
+#: Entries of a task that are reduced together.
+REDUCED_ROWS = 200_000
+#: A null step stays an integer column's null.
+_KEPT = {pa.int64(): pd.Int64Dtype()}
 
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -42,26 +48,60 @@ def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
 # -- best steps --------------------------------------------------------------------
 
 
+def _order(value: float, step: int) -> tuple:
+    """A NaN comes after all numbers, as in the batch twin."""
+    return (True, 0.0, step) if value != value else (False, value, step)
+
+
+def _least(rows: pd.DataFrame) -> pd.DataFrame:
+    """The row of least (value, step) per (model, metric, salt)."""
+    return rows.sort_values(["value", "step"], kind="stable").drop_duplicates(["model", "metric", "salt"])
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least entry per (model, metric, salt) among the entries of a task that are held together."""
+    held: list[pd.DataFrame] = []
+    rows, schema = 0, None
+    for batch in batches:
+        schema = batch.schema
+        least = _least(batch.to_pandas(types_mapper=_KEPT.get))
+        held.append(least)
+        rows += len(least)
+        if rows > REDUCED_ROWS:
+            held = [_least(pd.concat(held))]
+            rows = len(held[0])
+            if rows > REDUCED_ROWS // 2:
+                yield pa.RecordBatch.from_pandas(held[0], schema, preserve_index=False)
+                held, rows = [], 0
+    if held:
+        yield pa.RecordBatch.from_pandas(_least(pd.concat(held)), schema, preserve_index=False)
+
+
 def stream_improvements(results: DataFrame, salts: int = SALTS) -> DataFrame:
     """Entries that improve the best value of their (model, metric, salt) so far.
 
-    A model with many entries is spread over salts by step. The best entry of a group is
-    among the improvements of one of its salts, so `settled_best` is exact.
+    Tasks send on the least entry that they hold of a group, so a model with many entries brings a
+    few rows per task to its state, and a state is called for each group, not for each entry. More
+    `salts` spread a model by step over more states, each of them a group of its own. The best
+    entry of a group is among the improvements of one of its salts, so `settled_best` is exact.
     """
 
     def update(
         key: tuple, batches: Iterable[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         # Batch by batch: a group of a micro-batch may be long.
-        value, step = min(min(zip(rows["value"].tolist(), rows["step"].tolist())) for rows in batches)
-        if not state.exists or (value, step) < tuple(state.get):
+        entries = (e for rows in batches for e in zip(rows["value"].tolist(), rows["step"].tolist()))
+        value, step = min(entries, key=lambda e: _order(*e))
+        if not state.exists or _order(value, step) < _order(*state.get):
             state.update((value, step))
             yield pd.DataFrame({"model": [key[0]], "metric": [key[1]], "step": [step], "value": [value]})
 
     salted = results.filter(F.col("value").isNotNull()).select(
-        "model", "metric", "step", "value", F.pmod(F.xxhash64("step"), F.lit(salts)).alias("salt")
-    )
-    return salted.groupBy("model", "metric", "salt").applyInPandasWithState(
+        "model", "metric", F.col("step").cast("bigint").alias("step"), F.col("value").cast("double").alias("value"),
+        F.pmod(F.xxhash64("step"), F.lit(salts)).alias("salt"),
+    )
+    least = salted.mapInArrow(_reduced, "model string, metric string, step bigint, value double, salt bigint")
+    return least.groupBy("model", "metric", "salt").applyInPandasWithState(
         update,
         "model string, metric string, step bigint, value double",
         "value double, step bigint",

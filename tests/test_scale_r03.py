@@ -47,3 +47,31 @@ def test_items_of_one_split_are_parsed_by_all_tasks(spark):
 @pytest.mark.parametrize("text", ["- a: 1\n  b: [x, 'y', null, ~, 2.5, 1e3, yes, 0o7, 010]", "- a: \"\\u00e9 \\U0001F600\"\n- é: ☃\n", "", "- {a: 1, b: {c: [1]}}"])
 def test_yaml_is_read_as_by_the_plain_parser(text):
     assert D._yaml(text) == yaml.safe_load(text)
+
+
+def test_a_model_brings_few_rows_to_its_state(spark, tmp_path):
+    schema = "model string, step bigint, metric string, value double"
+    spark.range(500).selectExpr("'m' AS model", "id AS step", "'k' AS metric", "double(1000 - id) AS value").coalesce(1).write.parquet(
+        str(tmp_path / "log")
+    )
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+    found = J.run_available(J.stream_improvements(stream), str(tmp_path / "best"))
+    assert [tuple(r) for r in found.select("model", "metric", "step", "value").collect()] == [("m", "k", 499, 501.0)]
+
+
+def test_entries_of_a_task_are_reduced(monkeypatch):
+    monkeypatch.setattr(J, "REDUCED_ROWS", 10)
+    rng = np.random.default_rng(1)
+    rows = pd.DataFrame({"model": [f"m{i}" for i in rng.integers(0, 30, 600)], "metric": "k"})
+    rows["step"], rows["value"], rows["salt"] = np.arange(600), rng.integers(0, 9, 600).astype(float), 0
+    rows.loc[::7, "value"] = np.nan
+    sent = [pa.RecordBatch.from_pandas(rows[i : i + 50], preserve_index=False) for i in range(0, 600, 50)]
+    got = pd.concat([b.to_pandas() for b in J._reduced(iter(sent))])
+    least = lambda f: f.sort_values(["value", "step"]).drop_duplicates("model").sort_values("model")[["model", "step", "value"]]
+    pd.testing.assert_frame_equal(least(got).reset_index(drop=True), least(rows).reset_index(drop=True), check_dtype=False)
+    assert len(got) < len(rows)
+
+
+def test_nan_never_stays_the_best():
+    assert J._order(1.0, 5) < J._order(float("nan"), 1)
+    assert J._order(float("nan"), 1) < J._order(float("nan"), 2)
