@@ -252,12 +252,12 @@ def merge_results(new: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def missing_scenes(reserve: DataFrame, files: DataFrame) -> DataFrame:
-    """Reserved scenes without files."""
-    return reserve.select("image_set").subtract(files.select("image_set"))
+    """Reserved scenes without files. Each side is one row per scene before they meet, so no task sorts a scene's files."""
+    return reserve.select("image_set").distinct().subtract(files.select("image_set").distinct())
 
 
 def reserved_present(reserve: DataFrame, files: DataFrame) -> DataFrame:
-    return files.select("image_set").intersect(reserve.select("image_set"))
+    return files.select("image_set").distinct().intersect(reserve.select("image_set").distinct())
 
 
 def reserve_from_content(descriptors: DataFrame) -> DataFrame:

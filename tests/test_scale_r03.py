@@ -49,6 +49,18 @@ def test_yaml_is_read_as_by_the_plain_parser(text):
     assert D._yaml(text) == yaml.safe_load(text)
 
 
+def test_scenes_are_distinct_before_they_meet(spark):
+    reserve = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "image_set string")
+    files = spark.createDataFrame([("a",)] * 50 + [("c",)] * 50, "image_set string")
+    missing, present = C.missing_scenes(reserve, files), C.reserved_present(reserve, files)
+    assert sorted((r[0] for r in missing.collect()), key=str) == [None, "b"]
+    assert [r[0] for r in present.collect()] == ["a"]
+    for found in (missing, present):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Join") :]
+        assert below.count("Aggregate") >= 2
+
+
 def test_a_model_brings_few_rows_to_its_state(spark, tmp_path):
     schema = "model string, step bigint, metric string, value double"
     spark.range(500).selectExpr("'m' AS model", "id AS step", "'k' AS metric", "double(1000 - id) AS value").coalesce(1).write.parquet(
