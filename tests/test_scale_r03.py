@@ -87,3 +87,33 @@ def test_entries_of_a_task_are_reduced(monkeypatch):
 def test_nan_never_stays_the_best():
     assert J._order(1.0, 5) < J._order(float("nan"), 1)
     assert J._order(float("nan"), 1) < J._order(float("nan"), 2)
+
+
+def test_small_tiles_are_compared_together_as_one_by_one():
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(60):
+        frame_h, frame_w = (8, 8) if n % 3 else (7, 5)
+        image = {side: rng.random((3, frame_h, frame_w)) for side in ("gt", "f")}
+        parts = {k: [{"y": 0, "x": 0, "h": frame_h, "w": frame_w, "data": v.ravel()}] for k, v in image.items()}
+        y0, x0 = (0, 4 * (n % 2))
+        rows.append(
+            SimpleNamespace(
+                gt_id=n, f_id=-n, c=3, y0=y0, x0=x0, h=4, w=min(4, frame_w - x0), frame_h=frame_h, frame_w=frame_w,
+                gain=1 + n / 50, dy=n % 3 - 1, dx=n % 4 - 2, py=None if n % 2 else 0, px=0, gt_parts=parts["gt"], f_parts=parts["f"],
+            )
+        )
+    calls = []
+    plain, P_small = P._small_sums, P.SMALL
+    P._small_sums = lambda key, held: calls.append(len(held)) or plain(key, held)
+    try:
+        together = [tuple(v.as_py() if hasattr(v, "as_py") else v for v in t) for cols in P._shift_sums(iter(rows), P._fresh) for t in zip(*cols)]
+        P.SMALL = 0
+        alone = [t for cols in P._shift_sums(iter(rows), P._fresh) for t in zip(*cols)]
+    finally:
+        P._small_sums, P.SMALL = plain, P_small
+    assert max(calls) > 1
+    got, expected = sorted(together), sorted(alone)
+    assert [t[:4] for t in got] == [t[:4] for t in expected] and len(got) > 500
+    np.testing.assert_allclose(np.array([t[4:] for t in got], float), np.array([t[4:] for t in expected], float), rtol=1e-12)
+    assert K.overlap(3, 8) == (3, 7)
