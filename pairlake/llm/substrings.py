@@ -172,16 +172,23 @@ def _split(blob: bytes) -> list[bytes]:
     return [raw[edges[i] : edges[i + 1]] for i in range(8)]
 
 
+def numbered(strings: list[bytes]) -> np.ndarray:
+    """A number for each word of all strings, equal for equal words; words stand one space apart."""
+    joined = b" ".join([*strings, b""])
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) == ord(" ")) + 1
+    # The words as one Arrow column over the joined bytes, each with the space behind it.
+    edges = np.r_[0, ends].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(joined)])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def repeated(strings: list[bytes], doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(string, first word, last word + 1) of runs of windows that also start under a smaller `doc`.
 
     Words are numbered exactly, windows are sorted by a hash of their numbers, and windows
     of one hash are compared word by word before they count as equal.
     """
-    numbers: dict[bytes, int] = {}
-    words = b" ".join(strings).split()
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    del words
+    ids = numbered(strings)
     lengths = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
     windows = lengths - WINDOW + 1
     owner = np.repeat(np.arange(len(strings)), windows)

@@ -117,3 +117,10 @@ def test_small_tiles_are_compared_together_as_one_by_one():
     assert [t[:4] for t in got] == [t[:4] for t in expected] and len(got) > 500
     np.testing.assert_allclose(np.array([t[4:] for t in got], float), np.array([t[4:] for t in expected], float), rtol=1e-12)
     assert K.overlap(3, 8) == (3, 7)
+
+
+def test_words_are_numbered_exactly():
+    strings = [b"a b a c", "\u00e9 x".encode(), b"c", b"b \xc2\xa0 a"]
+    words = b" ".join(strings).split(b" ")
+    seen: dict = {}
+    assert substrings.numbered(strings).tolist() == [seen.setdefault(w, len(seen)) for w in words]
