@@ -8,8 +8,8 @@ doc_id order; the ids before a file are the sum over the files before it.
 
 Encoding works on chunks: a text is cut before white space that follows other characters.
 The tokenizer's own cuts include these places, so a chunk's ids do not depend on its
-surroundings, and the tokenizer library encodes each distinct chunk of a task once: chunks are
-joined for it, and the bytes that each id stands for tell them apart again. A text with
+surroundings, and the tokenizer library encodes each distinct chunk once as long as a worker
+remembers it, over tasks too: chunks are joined for it, and the bytes that each id stands for tell them apart again. A text with
 control characters on which the two definitions of white space differ, or with special strings, is
 encoded whole.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -41,7 +42,7 @@ ROW_GROUP = 32 << 20
 PAGE = 256 << 10
 #: First character of a key that is a chunk as it is; texts that hold it are one chunk.
 MARK = "\x1c"
-#: Distinct chunks whose ids a task remembers.
+#: Distinct chunks whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -161,6 +162,25 @@ class Chunks(dict):
         return ids, offsets
 
 
+def remembered(path: str) -> Chunks:
+    """The chunks of a tokenizer file that this worker has met, in this task or an earlier one.
+
+    They hang on `sys`, since this module may travel by value and anew with every task. A task that
+    failed half way may leave new chunks without ids, so all are forgotten then. Another file under
+    the same name is another tokenizer.
+    """
+    stat = os.stat(path)
+    key = path, stat.st_mtime_ns, stat.st_size
+    known = vars(sys).setdefault("_pairlake_chunks", {})
+    if key not in known:
+        known.clear()
+        known[key] = Chunks(path)
+    found = known[key]
+    if found.new:
+        found.forget()
+    return found
+
+
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write the token files of `docs`; `tokenizer` is a file that every executor has."""
     bounded_batches(docs.sparkSession)
@@ -170,7 +190,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, start = Chunks(tokenizer), 0
+        chunks, start = remembered(tokenizer), 0
         for batch in batches:
             ids, offsets = chunks.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(

@@ -124,3 +124,23 @@ def test_words_are_numbered_exactly():
     words = b" ".join(strings).split(b" ")
     seen: dict = {}
     assert substrings.numbered(strings).tolist() == [seen.setdefault(w, len(seen)) for w in words]
+
+
+def test_a_worker_remembers_chunks():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    vars(sys).pop("_pairlake_chunks", None)
+    first = tokenfiles.remembered(path)
+    texts = ["one two  three\n\nfour", "", "two \x1c three", "five"]
+    ids, ends = first.encode(texts)
+    again = tokenfiles.remembered(path)
+    assert again is first and not again.new
+    # A failed task leaves a chunk without ids.
+    again["left behind"]
+    mended = tokenfiles.remembered(path)
+    got, edges = mended.encode(["left behind", *texts])
+    fresh, places = tokenfiles.Chunks(path).encode(["left behind", *texts])
+    assert got.tolist() == fresh.tolist() and edges.tolist() == places.tolist()
+    assert ids.tolist() == got[edges[1] :].tolist()
+    vars(sys).pop("_pairlake_chunks", None)
