@@ -1,6 +1,9 @@
-"""Multi-scale similarity of aligned pairs on a pyramid of tiles.
+"""Multi-scale similarity of aligned pairs: small frames in one piece, large ones on a pyramid of tiles.
 
-Each scale is one pass over tiles with the lines that a window needs beyond them. A tile adds
+Pairs of one clean image are dealt to groups of a few megabytes. A group gets the clean frame once and each other frame,
+as packed tiles, and scores its pairs one by one; nothing but scores is written.
+
+Where frames are larger than that, each scale is one pass over tiles with the lines that a window needs beyond them. A tile adds
 up the similarity maps of the windows that begin in it, and sends on its share of the next,
 half as large scale, which is cut into tiles anew. So the samples of a pair move once, and a
 third more for all coarser scales; every tile has the same small border at any scale.
@@ -8,24 +11,33 @@ third more for all coarser scales; every tile has the same small border at any s
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlake.operators import kernels as K
-from pairlake.operators.batches import map_rows
+from pairlake.operators.batches import map_groups, map_rows
 from pairlake.operators.frames import TILE
-from pairlake.operators.windows import PAIR, pair_windows
-from pairlake.session import checkpointed, shuffle_width
+from pairlake.operators.skew import salted_join, within_rows
+from pairlake.operators.windows import PAIR, SALT_BYTES, image_frames, pair_windows
+from pairlake.session import SAMPLES, checkpointed, shuffle_width
 
 SCALES = len(K.SSIM_WEIGHTS)
 #: Lines that a window reaches beyond its first.
 BEYOND = K.SSIM_TAPS - 1
 #: A side of this many lines has no window at the coarsest scale.
 TOO_SMALL = BEYOND * 2 ** (SCALES - 1)
+#: Samples of a frame that a task scores in one piece.
+WHOLE = 1 << 19
+#: Bytes of other frames that meet their clean frame in one group, and of groups in a partition, which sorts them in memory.
+GROUP_BYTES, PARTITION_BYTES = 16 << 20, 128 << 20
+#: Rows (image, group), of some 100 bytes, that every executor gets, so that tiles move to their groups at once.
+ASKED_ROWS = 250_000
 
 _OUT = (
     "gt_id {t}, f_id {t}, ch int, scale int, cs double, ssim double, n bigint, "
@@ -77,9 +89,9 @@ def _looked_at(r, scale: int, a: np.ndarray, b: np.ndarray, y: int, x: int, h: i
             yield (*key, None, scale + 1, None, None, None, *sent)
 
 
-def _first_scale(aligned: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+def _first_scale(framed: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     """The finest scale, on windows of the stored tiles; the overlap is an image of its own."""
-    rows = aligned.select(*PAIR, "dy", "dx", "aligned_gain").filter("aligned_gain IS NOT NULL")
+    rows = framed.select(*PAIR, "dy", "dx", "aligned_gain", "frame_h", "frame_w")
     kind = dict(rows.dtypes)["gt_id"]
 
     def run(r: SimpleNamespace) -> Iterator[tuple]:
@@ -124,16 +136,85 @@ def _next_scale(found: DataFrame, scale: int, size: int) -> DataFrame:
     return map_rows(grouped, run, _OUT.format(t=kind))
 
 
-def ms_ssim(aligned: DataFrame, tiles: DataFrame, size: int = TILE) -> DataFrame:
-    """`rgb_msssim_score` of each aligned, gain-matched pair; null if a side is too small or the pair has no gain.
-
-    The maps' sums are additive; the product over scales is taken after the sum. Each scale is
-    written to the checkpoint folder. Tiles need at least `BEYOND` lines a side to have few parts.
+def _framed(aligned: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pairs that have a gain and a clean frame, with its size and their group, as a written table."""
+    rows = aligned.select(*PAIR, "dy", "dx", "aligned_gain").filter("aligned_gain IS NOT NULL")
+    shared = rows.groupBy("gt_id").agg(F.count(F.lit(1)).alias("pairs"))
+    frames = image_frames(tiles).withColumnRenamed("image_id", "gt_id").withColumn("samples", F.expr("CAST(c AS bigint) * frame_h * frame_w"))
+    framed = salted_join(rows, frames.join(shared, "gt_id"), ["gt_id"], spread=["f_id"])
+    groups = F.ceil(F.col("pairs") * F.col("samples") * 8 / GROUP_BYTES)
+    return checkpointed(framed.withColumn("group", F.pmod(F.xxhash64("f_id"), groups)).drop("pairs"))
+
+
+def _packed(tiles: DataFrame) -> DataFrame:
+    """Tiles with their samples as compressed bytes: frames that have flat or repeated parts move as a part of their size."""
+
+    def task():
+        codec = pa.Codec("zstd", compression_level=1)
+
+        def run(r: SimpleNamespace) -> Iterator[tuple]:
+            data = np.ascontiguousarray(r.data, dtype=np.float64)
+            yield r.image_id, r.y0, r.x0, r.h, r.w, data.nbytes, codec.compress(data, asbytes=True)
+
+        return run
+
+    kind = dict(tiles.dtypes)["image_id"]
+    ddl = f"image_id {kind}, y0 int, x0 int, h int, w int, bytes int, packed binary"
+    return map_rows(tiles.select("image_id", "y0", "x0", "h", "w", "data"), task, ddl, per_task=True)
+
+
+def _part(r: SimpleNamespace, codec: pa.Codec) -> dict:
+    data = np.frombuffer(codec.decompress(r.packed, r.bytes), dtype=np.float64)
+    return {"y": r.y0, "x": r.x0, "h": r.h, "w": r.w, "data": data}
+
+
+def _in_one_piece(framed: DataFrame, samples: int, tiles: DataFrame, whole: int) -> DataFrame:
+    """Scores of pairs whose frames a task can hold; `samples` is the sum over the pairs."""
+    spark, kind = framed.sparkSession, dict(framed.dtypes)["gt_id"]
+    asked = framed.selectExpr("f_id AS image_id", "gt_id", "group").union(framed.select("gt_id", "gt_id", "group"))
+    asked = checkpointed(asked.distinct())
+    stored = _packed(tiles)
+    if within_rows(asked, ASKED_ROWS):
+        sent = stored.join(F.broadcast(asked), "image_id")
+    else:
+        # One task sends an image to so many groups only.
+        sent = salted_join(asked, stored, ["image_id"], ["gt_id", "group"], rows_per_salt=max(1, SALT_BYTES // (8 * whole)))
+    # Pairs come along as rows without an image, also those whose other frame is missing.
+    about = framed.select("gt_id", "group", "f_id", "dy", "dx", "aligned_gain", "c", "frame_h", "frame_w")
+    both = sent.unionByName(about, allowMissingColumns=True)
+    parts = max(shuffle_width(spark), samples * 8 // PARTITION_BYTES + 1)
+
+    def run(rows: Iterator[SimpleNamespace]) -> Iterator[tuple]:
+        codec, pairs, stored = pa.Codec("zstd"), {}, defaultdict(list)
+        for r in rows:
+            if r.image_id is None:
+                pairs.setdefault((r.gt_id, r.f_id), r)
+            else:
+                stored[r.image_id].append(r)
+        cleans = {gt_id: [_part(r, codec) for r in stored[gt_id]] for gt_id in {gt for gt, _ in pairs}}
+        for (gt_id, f_id), p in pairs.items():
+            (top, bottom), (left, right) = K.overlap(p.dy, p.frame_h), K.overlap(p.dx, p.frame_w)
+            h, w = bottom - top, right - left
+            if min(h, w) > TOO_SMALL:
+                other = [_part(r, codec) for r in stored[f_id]]
+                a = K.assemble(cleans[gt_id], p.c, top, left, h, w)
+                b = K.assemble(other, p.c, top - p.dy, left - p.dx, h, w) * p.aligned_gain
+                yield gt_id, f_id, K.ms_ssim(a, b)
+
+    dealt = both.repartition(parts, "gt_id", "group")
+    return checkpointed(map_groups(dealt, ["gt_id", "group"], run, f"gt_id {kind}, f_id {kind}, rgb_msssim_score double"))
+
+
+def _on_a_pyramid(framed: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Scores of pairs of frames of any size.
+
+    The maps' sums are additive; the product over scales is taken after the sum. Each scale is written to the checkpoint
+    folder. Tiles need at least `BEYOND` lines a side to have few parts.
     """
-    found = checkpointed(_first_scale(aligned, tiles, size))
+    found = checkpointed(_first_scale(framed, tiles, size), **SAMPLES)
     sums = [found.filter("a IS NULL")]
     for scale in range(1, SCALES):
-        found = checkpointed(_next_scale(found, scale, size))
+        found = checkpointed(_next_scale(found, scale, size), **SAMPLES)
         sums.append(found.filter("a IS NULL"))
     names = (*PAIR, "ch", "scale", "cs", "ssim", "n")
     whole = sums[0].select(*names)
@@ -145,8 +226,24 @@ def ms_ssim(aligned: DataFrame, tiles: DataFrame, size: int = TILE) -> DataFrame
         for s, weight in enumerate(K.SSIM_WEIGHTS)
     ]
     per_channel = whole.groupBy(*PAIR, "ch").agg(F.expr(" * ".join(terms)).alias("score"))
-    per_pair = per_channel.groupBy(*PAIR).agg(F.avg("score").alias("rgb_msssim_score"))
-    return aligned.select(*PAIR).join(per_pair, PAIR, "left")
+    return per_channel.groupBy(*PAIR).agg(F.avg("score").alias("rgb_msssim_score"))
+
+
+def ms_ssim(aligned: DataFrame, tiles: DataFrame, size: int = TILE, whole: int = WHOLE) -> DataFrame:
+    """`rgb_msssim_score` of each aligned, gain-matched pair; null if a side is too small or the pair has no gain.
+
+    Frames of up to `whole` samples are scored in one piece, larger ones scale by scale. `tiles` are read once for
+    the frames' sizes, without samples, and once for each of the two kinds of frames that there is.
+    """
+    framed = _framed(aligned, tiles)
+    scores = None
+    small, large = framed.filter(F.col("samples") <= whole), framed.filter(F.col("samples") > whole)
+    if samples := small.agg(F.sum("samples")).first()[0]:
+        scores = _in_one_piece(small, samples, tiles, whole)
+    if scores is None or not large.isEmpty():
+        scaled = _on_a_pyramid(large, tiles, size)
+        scores = scaled if scores is None else scores.unionByName(scaled)
+    return aligned.select(*PAIR).join(scores, PAIR, "left")
 
 
 def with_scores(aligned: DataFrame, tiles: DataFrame, size: int = TILE) -> DataFrame:

@@ -15,7 +15,7 @@ from pairlake.plans.common import query, table
 from pairlake.plans.result_queries import MULTIPLIER
 from pairlake.plans.sample_queries import _CORNER_SQL, _OVERLAP_SQL, _SHIFTED_SQL, _UNIFORM
 from pairlake.plans.sample_queries import _matrix_sql, _plane_frames
-from pairlake.session import checkpoint_folder, checkpointed
+from pairlake.session import checkpoint_folder, checkpointed, shuffle_width
 from pairlake.sources import documents as D
 from pairlake.sources import files as L
 from pairlake.sources import sinks as W
@@ -264,7 +264,10 @@ def match_output(spark, sf):
 
 
 def _large_frames(spark, sf):
-    """176 x 176 frames: each sample becomes a 22 x 22 block, textured by the frame's own samples."""
+    """176 x 176 frames: each sample becomes a 22 x 22 block, textured by the frame's own samples.
+
+    They have hundreds of times the bytes of the rows they come from, so these are dealt to all tasks first.
+    """
 
     def spread(r):
         small = np.asarray(r.data).reshape(8, 8)
@@ -272,7 +275,7 @@ def _large_frames(spark, sf):
         yield r.image_id, 1, 176, 176, (np.kron(small, np.ones((22, 22))) * (0.75 + 0.25 * texture)).ravel()
 
     return map_rows(
-        T.mono_frames(spark, sf).select("image_id", "data"),
+        T.mono_frames(spark, sf).select("image_id", "data").repartition(shuffle_width(spark)),
         spread,
         "image_id bigint, c int, frame_h int, frame_w int, data array<double>",
     )
@@ -284,7 +287,8 @@ def ms_ssim(spark, sf):
     pairs = T.frame_pairs(T.rgb_frames(spark, sf)).selectExpr(
         "*", "CAST(f_id % 3 AS int) AS dy", "CAST(-(f_id % 2) AS int) AS dx", "1.0D AS aligned_gain"
     )
-    return N.ms_ssim(pairs, checkpointed(M.tile_frames(frames, 96)), size=96)
+    # Two passes make the tiles anew: kept, they would take more disk than all that the scores move.
+    return N.ms_ssim(pairs, M.tile_frames(frames, 96), size=96)
 
 
 @query("scored_bands", "band:d images:i mean_score:d")
