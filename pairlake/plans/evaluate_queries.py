@@ -15,7 +15,7 @@ from pairlake.plans.common import query, table
 from pairlake.plans.result_queries import MULTIPLIER
 from pairlake.plans.sample_queries import _CORNER_SQL, _OVERLAP_SQL, _SHIFTED_SQL, _UNIFORM
 from pairlake.plans.sample_queries import _matrix_sql, _plane_frames
-from pairlake.session import checkpoint_folder, checkpointed, shuffle_width
+from pairlake.session import checkpoint_folder, shuffle_width
 from pairlake.sources import documents as D
 from pairlake.sources import files as L
 from pairlake.sources import sinks as W
@@ -297,7 +297,7 @@ def scored_bands(spark, sf):
     pairs = T.frame_pairs(T.rgb_frames(spark, sf)).selectExpr(
         "*", "CAST(f_id % 3 AS int) AS dy", "CAST(-(f_id % 2) AS int) AS dx", "1.0D AS aligned_gain"
     )
-    scored = N.with_scores(pairs, checkpointed(M.tile_frames(_large_frames(spark, sf), 96)), 96)
+    scored = N.with_scores(pairs, M.tile_frames(_large_frames(spark, sf), 96), 96)
     bounds = F.explode(F.array(*[F.lit(b) for b in (0.0, 0.2, 0.4, 0.6)])).alias("band")
     banded = scored.select("rgb_msssim_score", bounds).filter("rgb_msssim_score >= band")
     return banded.groupBy("band").agg(F.count(F.lit(1)).alias("images"), F.avg("rgb_msssim_score").alias("mean_score"))

@@ -76,3 +76,17 @@ def test_products_over_bands_are_the_blur(shape):
     a = np.random.default_rng(3).random(shape)
     weights = K.gaussian(K.SSIM_TAPS, K.SSIM_SIGMA)
     assert K._banded(a, weights) == pytest.approx(K.blur_valid(a, weights), abs=1e-13)
+
+
+def test_scored_bands_keeps_no_tiles(spark, monkeypatch, tmp_path):
+    from pairlake.plans.common import QUERIES
+
+    monkeypatch.setattr(S, "checkpoint_folder", lambda spark: str(tmp_path / "kept"))
+    rows = np.random.default_rng(7).normal(0, 0.1, (6, 64))
+    rows[3] = rows[1]
+    table = [(i, row.tolist(), i % 2) for i, row in enumerate(rows)]
+    spark.createDataFrame(table, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r.band: (r.images, r.mean_score) for r in QUERIES["scored_bands"](spark, str(tmp_path)).collect()}
+    assert found[0.0][0] == 6 and found[0.6][0] >= 2
+    kept = [pq.ParquetFile(path) for path in glob(f"{tmp_path}/kept/*/*.parquet")]
+    assert kept and not [name for file in kept for name in file.schema.names if name in ("element", "list")]
